@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessella.llm._shared import Words, byte_slices, mix64, text_buffers
 
 #: N-gram lengths, and the percentage of word characters in later copies that a text may have.
-GRAMS = {5: 15, 7: 13, 10: 10}
+GRAMS = {5: 30, 7: 25, 10: 20}
 #: The same for repeated lines.
 LINES = 30
 #: The symbols that n_symbols counts.
