@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import exact, mixing, packing, quality, sharding, tokenbin
+from tessella.llm import exact, mixing, packing, quality, secrets, sharding, tokenbin, warc
 
 
 def _vocabulary() -> str:
@@ -19,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(_table(spark, sf_dir, "pages"), least=1000)
+
+
 #: Bytes of text in a shard of the query op2_extendible_shards.
 SHARD_BYTES = 2 << 20
 
@@ -31,6 +35,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _vocabulary(), capacity=1024, end_id=2)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
@@ -48,11 +56,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_archives": op1_warc_archives,
     "op2_extendible_shards": op2_extendible_shards,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_ids": op7_token_ids,
     "op8_mix_sources": op8_mix_sources,
     "op10_exact_dedup": op10_exact_dedup,
 }
-SQL = {"op2_extendible_shards": sharding.shard_sql(SHARD_BYTES), "op6_quality_rules": quality.QUALITY_SQL, "op8_mix_sources": mixing.MIX_SQL, "op10_exact_dedup": exact.EXACT_SQL}
+SQL = {"op1_warc_archives": warc.WARC_SQL, "op2_extendible_shards": sharding.shard_sql(SHARD_BYTES), "op6_quality_rules": quality.QUALITY_SQL, "op8_mix_sources": mixing.MIX_SQL, "op10_exact_dedup": exact.EXACT_SQL}
