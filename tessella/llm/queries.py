@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import exact, mixing, packing, quality, secrets, sharding, tokenbin, warc
+from tessella.llm import exact, mixing, packing, quality, secrets, sharding, substring, tokenbin, warc
 
 
 def _vocabulary() -> str:
@@ -51,6 +51,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, sf_dir, "documents"), window=50)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_token_ids": op7_token_ids,
     "op8_mix_sources": op8_mix_sources,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
-SQL = {"op1_warc_archives": warc.WARC_SQL, "op2_extendible_shards": sharding.shard_sql(SHARD_BYTES), "op6_quality_rules": quality.QUALITY_SQL, "op8_mix_sources": mixing.MIX_SQL, "op10_exact_dedup": exact.EXACT_SQL}
+SQL = {"op9_substring_dedup": substring.REPEATS_SQL, "op1_warc_archives": warc.WARC_SQL, "op2_extendible_shards": sharding.shard_sql(SHARD_BYTES), "op6_quality_rules": quality.QUALITY_SQL, "op8_mix_sources": mixing.MIX_SQL, "op10_exact_dedup": exact.EXACT_SQL}
