@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import exact, mixing, packing, quality, secrets, sharding, substring, tokenbin, warc
+from tessella.llm import exact, jaccard, mixing, packing, quality, secrets, sharding, substring, tokenbin, warc
 
 
 def _vocabulary() -> str:
@@ -35,6 +35,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _vocabulary(), capacity=1024, end_id=2)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = jaccard.Rule(words=4, num=85, den=100)
+    return jaccard.near_groups(_table(spark, sf_dir, "documents"), rule).drop("text_hash")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archives": op1_warc_archives,
     "op2_extendible_shards": op2_extendible_shards,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_ids": op7_token_ids,
