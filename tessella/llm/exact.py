@@ -23,7 +23,7 @@ def normalised(text: str | F.Column) -> F.Column:
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each document: doc_id, keep_id, group_size, kept, text_sha256 (and `keep`).
+    """A row for each document: doc_id, keep_id, group_size, kept, text_sha256 (and `keep`, as keep_<name>).
 
     Texts are equal if their normalised forms are. Of equal texts the row with the most code points
     stays, then that with the smallest id (a null id last); of rows that agree in both, one stays.
@@ -59,14 +59,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is_top = (F.col("place") == 1) & (-F.col("n") == F.col("top.n")) & F.col("doc_id").eqNullSafe(F.col("top.id"))
     warm = joined.select("doc_id", F.col("top.id").alias("keep_id"), F.col("all_many").alias("group_size"), is_top.alias("kept"), "text_sha256", *[f"keep_{c}" for c in keep])
     out = cold.unionByName(warm)
-    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256", *[F.col(f"keep_{c}").alias(c) for c in keep])
+    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256", *[f"keep_{c}" for c in keep])
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with their columns."""
-    others = tuple(c for c in docs.columns if c != id_col)
-    groups = exact_groups(docs, id_col, text_col, keep=others).filter("kept")
-    return groups.drop("keep_id", "group_size", "kept", "text_sha256").select(*[F.col("doc_id").alias(id_col) if c == id_col else F.col(c) for c in docs.columns])
+    groups = exact_groups(docs, id_col, text_col, keep=tuple(docs.columns)).filter("kept")
+    return groups.select(*[F.col(f"keep_{c}").alias(c) for c in docs.columns])
 
 
 EXACT_SQL = r"""

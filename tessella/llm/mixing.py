@@ -61,8 +61,13 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), tot
     return ranked.select("source", "source_size", F.round(F.least(cap, F.col("weight") * F.lit(level)), 6).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total: float = 1.5, most: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each document: doc_id, source, size, source_size, target, copies, taken (and `keep`).
+def mix(docs: DataFrame, **settings) -> DataFrame:
+    """A row for each document: doc_id, source, size, source_size, target, copies, taken. See allot() for settings."""
+    return allot(docs, **settings)
+
+
+def allot(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total: float = 1.5, most: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each document: doc_id, source, size, source_size, target, copies, taken (and `keep`, as keep_<name>).
 
     Size is the number of words; a null or empty text has size 0 and is taken as its source's rate
     says, with no words. Rows with equal ids draw alike. Of the candidate hashes each source uses
@@ -93,17 +98,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total: float =
     factor = F.element_at(F.array(*[F.lit(a) for a in MULTIPLIERS]), F.col("choice") + 1)
     copies = (whole + ((F.pmod(F.col("h") * factor + F.col("g"), F.lit(PRIME)) / F.lit(float(PRIME))) < fraction).cast("long")).cast("long")
     out = out.withColumn("copies", copies)
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *[F.col(f"keep_{c}").alias(c) for c in keep if c not in ("doc_id", "source")])
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *[f"keep_{c}" for c in keep])
 
 
 def emit(docs: DataFrame, **settings) -> DataFrame:
     """The mixed corpus: each document as often as mix() takes it, with the columns of docs."""
-    named = {k: settings.get(k, d) for k, d in (("id_col", "doc_id"), ("source_col", "source"))}
-    others = tuple(c for c in docs.columns if c not in named.values())
-    mixed = mix(docs, keep=others, **settings)
-    out = mixed.filter("copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    back = {named["id_col"]: F.col("doc_id"), named["source_col"]: F.col("source")}
-    return out.select(*[back.get(c, F.col(c)).alias(c) for c in docs.columns])
+    mixed = allot(docs, keep=tuple(docs.columns), **settings).filter("copies > 0")
+    mixed = mixed.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return mixed.select(*[F.col(f"keep_{c}").alias(c) for c in docs.columns])
 
 
 MIX_SQL = r"""
@@ -121,7 +123,7 @@ c AS (SELECT *, coalesce(sum(source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDE
              sum(source_size) OVER () AS all_size FROM o),
 lv AS (SELECT *, (CAST(1.5 AS DOUBLE) * all_size - CAST(2.0 AS DOUBLE) * full_before) / free AS level FROM c),
 one AS (SELECT level FROM lv WHERE cap > weight * level ORDER BY k LIMIT 1),
-t AS (SELECT source, source_size, round(least(cap, weight * coalesce((SELECT level FROM one), 1e300)), 6) AS target FROM w JOIN o USING (source, source_size, weight)),
+t AS (SELECT source, source_size, round(least(cap, weight * coalesce((SELECT level FROM one), 1e300)), 6) AS target FROM o),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
 j AS (SELECT s.*, r.source_size, r.target, r.rate, floor(r.rate) AS whole FROM s JOIN r ON s.source IS NOT DISTINCT FROM r.source),
 m AS (SELECT unnest([%(multipliers)s]) AS a, unnest(range(16)) AS i),

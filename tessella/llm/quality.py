@@ -88,7 +88,7 @@ def measure(offsets: np.ndarray, text: np.ndarray) -> list[np.ndarray]:
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Figures and verdict for each document: doc_id, COLUMNS, base_failed, kept (and `keep`).
+    """Figures and verdict for each document: doc_id, COLUMNS, base_failed, kept (and `keep`, as keep_<name>).
 
     A null, empty or blank text has no words and fails the base rule. Rows that repeat are judged
     each for itself. Other columns are not read, so their names don't matter.
@@ -110,14 +110,13 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     for n, most in GRAMS.items():
         bad |= 100 * F.col(f"dup_chars_{n}") > most * F.col("word_chars")
     judged = judged.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~bad)
-    return judged.select("doc_id", *[x.split()[0] for x in COLUMNS.split(", ")], "base_failed", "kept", *[F.col(f"keep_{c}").alias(c) for c in keep])
+    return judged.select("doc_id", *[x.split()[0] for x in COLUMNS.split(", ")], "base_failed", "kept", *[f"keep_{c}" for c in keep])
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are kept, with their columns."""
-    others = tuple(c for c in docs.columns if c != id_col)
-    good = quality(docs, id_col, text_col, keep=others).filter("kept")
-    return good.withColumnRenamed("doc_id", id_col).select(*docs.columns)
+    good = quality(docs, id_col, text_col, keep=tuple(docs.columns)).filter("kept")
+    return good.select(*[F.col(f"keep_{c}").alias(c) for c in docs.columns])
 
 
 def _sql() -> str:

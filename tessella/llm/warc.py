@@ -147,7 +147,7 @@ def roles(pages: DataFrame, least: int = 1000, id_col: str = "page_id", url_col:
     return rows.join(alike, "digest", "left")
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 1000, date: str = "1970-01-01T00:00:00Z", level: int = 6, archive_bytes: int = ARCHIVE_BYTES, **columns: str) -> DataFrame:
+def write_archives(pages: DataFrame, path: str, least: int = 1000, date: str = "1970-01-01T00:00:00Z", level: int = 6, archive_bytes: int = ARCHIVE_BYTES, training_bytes: int = TRAINING_BYTES, **columns: str) -> DataFrame:
     """Write the archives below path (a URI) and return their manifest: archive, records, bytes.
 
     A null payload is empty, a null url or page_id leaves its header out. Pages with equal payloads
@@ -177,7 +177,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000, date: str = "
                 if archive is None:
                     waiting.append(data)
                     held += len(data)
-                    if held >= TRAINING_BYTES:
+                    if held >= training_bytes:
                         archive = begin()
                     continue
                 archive.add(data)

@@ -1,0 +1,212 @@
+"""Archives, shards, secrets, quality rules and mixing."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from tessella.llm import mixing, quality, secrets, sharding, warc
+from tessella.llm import queries as q
+from tessella.llm._shared import scratch_dir
+
+
+def oracle(sql, **tables):
+    con = duckdb.connect()
+    for name, (columns, rows) in tables.items():
+        con.sql(f"CREATE TABLE {name} ({columns})")
+        con.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(rows[0]))})", rows)
+    return con.sql(sql)
+
+
+# --- archives
+PAGES = [(1, "http://a/x", "é" * 700), (2, "http://b/\r\nz", "é" * 700), (9, None, "é" * 700), (3, "http://c", "short"), (4, "http://d", "short"), (5, "http://e", None), (6, "http://f", ""), (None, "http://g", "y" * 2000), (7, "http://h", "y" * 2000), (8, "u", "HTTP\r\n\r\n" + "z" * 5000)]
+
+
+def pages(spark, rows=PAGES):
+    return spark.createDataFrame([(i, u, h, "x", "y") for i, u, h in rows], "page_id long, url string, html string, digest string, main_id string")
+
+
+def test_archives_round_trip(spark):
+    path = scratch_dir(spark, "warc-test")
+    many = [(100 + i, f"http://m/{i}", f"<html><body>{'words and tags ' * 90}{i % 40}</body></html>") for i in range(400)]
+    rows = PAGES + many
+    manifest = warc.write_archives(pages(spark, rows).coalesce(2), path, archive_bytes=1 << 12, training_bytes=1 << 16)
+    got = {(r.page_id, r.url): r for r in warc.read_pages(manifest, path, with_html=True).collect()}
+    assert len(got) == len(rows) and manifest.count() > 2 and manifest.agg(F.sum("records")).first()[0] == len(rows)
+    best = {}
+    for i, _, h in rows:
+        if h is not None and len(h.encode()) >= 1000 and i is not None:
+            best[h] = max(i, best.get(h, i))
+    html = {r.page_id: r.html for r in got.values() if r.record_type == "response"}
+    for i, u, h in rows:
+        u = None if u is None else u.replace("\r", "%0D").replace("\n", "%0A")
+        r = got[(i, u)]
+        raw = (h or "").encode()
+        assert (r.payload_bytes, r.payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
+        main = best.get(h)
+        if main is not None and i is not None and main != i:
+            assert (r.record_type, r.refers_to, html[main]) == ("revisit", main, h)
+        else:
+            assert r.record_type in ("response", "revisit") and (r.html == (h or "") or i is None)
+
+
+def test_archive_layout(spark):
+    import io
+
+    import zstandard
+    from pyarrow import fs
+
+    path = scratch_dir(spark, "warc-layout")
+    rows = [(i, f"http://m/{i}", f"<p>{'some words ' * 200}{i}</p>") for i in range(300)]
+    manifest = warc.write_archives(pages(spark, rows).coalesce(1), path)
+    data = fs.FileSystem.from_uri(path)[0].open_input_stream(manifest.first().archive).read()
+    assert data[:4] == (0x184D2A5D).to_bytes(4, "little")
+    size = int.from_bytes(data[4:8], "little")
+    assert size > 0 and data[8 + size : 12 + size] == warc.FRAME
+    dictionary = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(data[8 : 8 + size]))
+    one = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj().decompress(data[8 + size :])
+    assert one.startswith(b"WARC/1.1\r\nWARC-Type: response") and len(list(warc.read_archive(io.BytesIO(data)))) == 300
+    assert warc.warc_round_trip(pages(spark).limit(0)).count() == 0
+
+
+def test_archives_against_sql(spark):
+    rows = [r for r in PAGES if r[0] is not None]
+    want = oracle(warc.WARC_SQL, pages=("page_id BIGINT, url VARCHAR, html VARCHAR", rows)).fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in warc.warc_round_trip(pages(spark, rows)).collect())
+
+
+# --- shards
+@pytest.mark.parametrize("limit", [1, 300, 5000, 1 << 30])
+def test_shards(spark, limit):
+    rng = random.Random(4)
+    rows = [(i, "x" * rng.choice([0, 5, 50, 200])) for i in range(300)] + [(1000, "y" * 6000), (1001, None)]
+    df = spark.createDataFrame([(i, x, "old", 1) for i, x in rows], "doc_id long, text string, shard string, cell int")
+    got = [tuple(r) for r in sharding.shard_table(df, limit).select("doc_id", "shard", "shard_depth", "n_bytes", "shard_bytes").collect()]
+    if limit > 1:
+        want = oracle(sharding.shard_sql(limit), documents=("doc_id BIGINT, text VARCHAR", rows)).fetchall()
+        assert sorted(got) == sorted(want)
+    assert len(got) == 302 and all(b <= limit or Counter(g[1] for g in got)[s] == 1 for _, s, _, _, b in got)
+    prefixes = sorted({g[1] for g in got})
+    assert prefixes == ["*"] or not any(b.startswith(a) for a, b in zip(prefixes, prefixes[1:]))
+
+
+def test_shard_edge_rows(spark):
+    df = spark.createDataFrame([(1, "a" * 50), (1, "a" * 50), (None, "b"), (None, None)], "doc_id long, text string")
+    got = sharding.assign_shards(df, 60)
+    assert got.columns == ["doc_id", "text", "shard", "shard_depth"] and got.count() == 4
+    assert sharding.shard_table(df.limit(0), 10).count() == 0
+
+
+# --- secrets
+BASE = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+
+
+def plain_spans(text):
+    out = [("assign", m.start(), m.end()) for m in BASE.finditer(text) if len(m[2]) >= 12]
+    out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    order = {"assign": 0, "access": 1, "hex": 2}
+    return sorted(out, key=lambda s: (s[1], order[s[0]]))
+
+
+def test_base_spans_against_brute_force(spark):
+    rng = random.Random(9)
+    bits = ["password", "Token", "api_key", "apikey", "SECRET", ' = "', ": ", "='", "abc", "0123456789abcdef", "AKIA", "ABCDEFGHIJKLMN", "é", "\n", " ", '"', "x-Y_z.1", "ſecret", "toKen"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(1500)] + [None, ""]
+    rows = secrets.find_secrets(spark.createDataFrame([(i, x, "z") for i, x in enumerate(texts)], "doc_id long, text string, spans string")).collect()
+    for r in rows:
+        base = plain_spans(texts[r.doc_id] or "")
+        n = Counter(k for k, _, _ in base)
+        show = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert (r.n_assign, r.n_access, r.n_hex) == (n["assign"], n["access"], n["hex"])
+        assert r.base_sha256 == hashlib.sha256(",".join(show).encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert [s for s in spans if not s.startswith("lexed")] == show and len(spans) - len(show) == r.n_lexed
+        assert spans == sorted(spans, key=lambda s: (int(s.split(":")[1]), secrets.KINDS.index(s.split(":")[0])))
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ('const dbPassword = "hunter2-X9f3kQ";', ["hunter2-X9f3kQ"]),
+        ('{"client_secret": "aB3dE5gH7jK9mN1p"}', ["aB3dE5gH7jK9mN1p"]),
+        ('x = "Zq83nfL20xPw"\nconnect(password=x)', ["Zq83nfL20xPw"]),
+        ('half = "sk_live_9f"\nAPI_KEY = half + "8A7b6C5d4E"', ["sk_live_9f", "8A7b6C5d4E"]),
+        ('pwd := os.Getenv("DB_PWD", "f00b4r-baz-9917")', ["f00b4r-baz-9917"]),
+        ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCY", ["wJalrXUtnFEMI/K7MDENG/bPxRfiCY"]),
+        ("<password>s3cr3tPa55w0rd</password>", ["s3cr3tPa55w0rd"]),
+        ('config["secret_key"] = "p9Qz71LmVv0"', ["p9Qz71LmVv0"]),
+        ('let apiKey: string = "AbC123xyz789Q"', ["AbC123xyz789Q"]),
+        ("password: changeme", []),
+        ("The key: to everything is patience", []),
+        ('public_key = "abcdefgh12345678"', []),
+        ("primary key = user_id", []),
+        ('color = "aB3dE5gH7jK9mN1p"', []),
+    ],
+)
+def test_lexer(text, found):
+    assert [text[a:b] for a, b in secrets.lexed_spans(text)] == found
+
+
+def test_redaction():
+    text = 'a token = "0123456789abcdef0" b'
+    assert secrets.redact(text, secrets.scan(text)[4]) == "a [SECRET]\" b" and secrets.redact(None, "") is None
+
+
+# --- quality rules
+def test_quality_against_sql(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["a", "bb", "#c", "dé", "e\n", "\n\n", "f|g", "\t"] + [f"w{i}" for i in range(rng.choice([3, 60]))]) for _ in range(rng.choice([0, 2, 30, 60, 300]))) for _ in range(150)]
+    texts += [None, "", "\n", "one line\n" * 60, " ".join(f"u{i}" for i in range(80)), ("x" * 5000 + " ") * 60]
+    rows = list(enumerate(texts))
+    want = oracle(quality.QUALITY_SQL, documents=("doc_id BIGINT, text VARCHAR", rows))
+    got = quality.quality(spark.createDataFrame([(i, x, 1, True) for i, x in rows], "doc_id long, text string, n_words int, kept boolean"))
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+    kept = quality.keep_good(spark.createDataFrame([(i, x, 1, True) for i, x in rows], "doc_id long, text string, n_words int, kept boolean"))
+    assert kept.columns == ["doc_id", "text", "n_words", "kept"] and sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in want.fetchall() if r[-1])
+
+
+# --- mixing
+def mixed_rows():
+    rng = random.Random(3)
+    sources = ["s1"] * 200 + ["é"] * 60 + ["S0"] * 10 + [None] * 5 + ["zero"] * 3 + [f"t{i}" for i in range(40)]
+    rows = [(i, None if s == "zero" else " ".join(["w"] * rng.randint(0, 400)), s) for i, s in enumerate(sources)]
+    return rows
+
+
+def test_mix_against_sql_and_rules(spark):
+    rows = mixed_rows()
+    df = spark.createDataFrame([(i, x, s, 5, 1.0) for i, x, s in rows], "doc_id long, text string, source string, size int, rate double")
+    got = mixing.mix(df)
+    flat = sorted(tuple(r) for r in got.select("doc_id", "size", "source_size", "target", "taken").collect())
+    want = oracle(mixing.MIX_SQL, documents=("doc_id BIGINT, text VARCHAR, source VARCHAR", rows)).fetchall()
+    assert [(*r[:3], round(r[3], 4), r[4]) for r in flat] == [(*r[:3], round(r[3], 4), r[4]) for r in sorted(want)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, mixing.mix(df).collect()), key=str)
+    by, targets, sizes = defaultdict(int), {}, {}
+    for r in got.collect():
+        assert r.taken <= 2 * r.size
+        by[r.source] += r.taken
+        targets[r.source], sizes[r.source] = r.target, r.source_size
+    assert abs(sum(targets.values()) - 1.5 * sum(sizes.values())) < 1e-3
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    levels = {s: targets[s] / weights[s] for s in order if targets[s] < 2 * sizes[s] - 1e-3}
+    top = max(levels.values())
+    assert all(abs(x - top) < 1e-3 for x in levels.values()) and all(2 * sizes[s] <= weights[s] * top + 1e-3 for s in order if s not in levels)
+    assert abs(by["s1"] - targets["s1"]) < 0.05 * targets["s1"]
+
+
+def test_emit(spark):
+    df = spark.createDataFrame([(i, x, s, 5, "c") for i, x, s in mixed_rows()], "doc_id long, text string, source string, copies int, target string")
+    got = mixing.emit(df)
+    taken = {r.doc_id: r.copies for r in mixing.mix(df).collect()}
+    assert got.columns == df.columns and Counter(r.doc_id for r in got.collect()) == Counter({i: c for i, c in taken.items() if c})
+    assert mixing.emit(df.limit(0)).count() == 0
+
+
+def test_queries_have_known_names():
+    assert {int(n[2:].split("_")[0]) for n in q.QUERIES} == set(range(1, 11)) and set(q.SQL) <= set(q.QUERIES)
