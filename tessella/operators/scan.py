@@ -59,7 +59,7 @@ def scan_tree(spark, path: str, lines: int = v.PREVIEW_LINES) -> DataFrame:
     from tessella.sources.tree import read_tree
 
     files = read_tree(spark, path)
-    files = files.withColumns({"project": F.lit(path), "size": F.col("size"), "ord": F.row_number().over(Window.orderBy("path")).cast("long")})
+    files = files.withColumns({"project": F.lit(path), "ord": F.col("path")})
     decoded = files.withColumn("content", t.decode_utf8("content"))
     return decoded.withColumns({"language": t.language("path"), "preview": t.preview("path", "content", lines)})
 
