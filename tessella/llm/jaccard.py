@@ -9,9 +9,12 @@ need(a, b) shingles. The join is exact at every step:
   each shingle: sizes fall into classes, and a class deals its shingles into m parts, more than two
   linked sets of that class can differ in. So linked sets agree in a whole part, and a common passage
   alone makes no list. Sets near the next class's sizes are entered there too.
-* Lists are scanned. Members are first compared with one hub of each list; only lists whose members
-  are not one component after that are compared across components, after two exact filters (sizes,
-  and counts of shingles in 256 cells, whose distance bounds the sets' difference from below).
+* Lists are scanned. Members are compared with their lists' hubs first, in a few rounds, so that a
+  group of near copies becomes one component at a cost in proportion to its size. Lists that still
+  hold several components are compared across them, after two exact filters (sizes, and counts of
+  shingles in 256 cells, whose distance bounds the sets' difference from below). Linked heavy sets
+  agree in two parts at least; so in a long list only members that share a second long list are
+  compared (those that share a short one are compared there).
 
 Equal sets are one node, named by a 64-bit digest; shingles are 64-bit hashes.
 """
@@ -24,7 +27,6 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +37,18 @@ from tessella.llm._shared import Words, byte_slices, mix64, parallelism, text_bu
 ENTRY_COST = 4
 #: The boundary is at most this size; the histogram up to here is what the driver reads.
 MOST_LIGHT = 40
-#: Largest over smallest size of a class of heavy sets.
+#: Largest over smallest size of a class of heavy sets, or the largest ratio that can link if that is more.
 CLASS_RATIO = 1.4
 #: Cells of the counts that bound a difference, and members of a list that are compared in one task.
-CELLS, BLOCK = 256, 2048
+CELLS, BLOCK = 256, 1024
+#: Lists of parts with more components are narrowed to members that share a second such list.
+LONG_LIST = 48
+#: Rounds of comparisons with hubs, and then of comparisons of the nearest pair of two components.
+HUB_ROUNDS, PAIR_ROUNDS = 4, 2
+#: So many links (16 bytes each) are joined up in one task.
+FEW_LINKS = 200_000
+#: Up to so many documents to drop (16 bytes each) are broadcast; beyond, texts are shuffled to them.
+FEW_GONE = 1_000_000
 #: Followers of one hub in one task, about, and entries that a task gathers before it passes them on.
 FOLLOWERS, FLUSH = 2000, 1_000_000
 _LAST = (1 << 63) - 1
@@ -65,15 +75,15 @@ class Rule:
         return sorted(sizes)
 
     def parts(self, largest: int) -> tuple[int, int]:
-        """(parts, spare): one of `parts` agrees and has shingles, for sets with at most `spare` empty parts."""
+        """(parts, spare): two of `parts` agree and have shingles, for sets with at most `spare` empty parts."""
         differ = 2 * largest - 2 * self.need(largest, largest)
         spare = 1 + differ // 64
-        return differ + 1 + spare, spare
+        return differ + 2 + spare, spare
 
     def classes(self, boundary: int, largest: int) -> list[tuple[int, int, int, int]]:
         out, low = [], boundary + 1
         while low <= largest:
-            high = max(low, int(low * CLASS_RATIO))
+            high = max(low, int(low * max(CLASS_RATIO, self.den / self.num)))
             out.append((low, high, *self.parts(high)))
             low = high + 1
         return out
@@ -136,7 +146,7 @@ def signatures(rule: Rule, boundary: int, classes: list[tuple[int, int, int, int
         for c in rule.subset_sizes(len(mine), boundary):
             own += [((total - sum(out)) * 31 + c) & 0xFFFFFFFFFFFFFFFF for out in combinations(mine, len(mine) - c)]
         docs.append(np.full(len(own), i))
-        keys.append(mix64(np.array(own, np.uint64)))
+        keys.append(mix64(np.array(own, np.uint64)) & ~np.uint64(1))  # even: of subsets
     if classes:
         lows = np.array([c[0] for c in classes])
         many, spare = np.array([c[2] for c in classes]), np.array([c[3] for c in classes])
@@ -165,7 +175,7 @@ def signatures(rule: Rule, boundary: int, classes: list[tuple[int, int, int, int
             number = np.arange(slots) - base[owner]
             key = mix64(_sum64(slot, g[token], slots) ^ mix64((cls[pick][owner].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64) + np.uint64(1)))
             docs.append(pick[owner[keep]])
-            keys.append(key[keep])
+            keys.append(key[keep] | np.uint64(1))  # odd: of parts
     if not docs:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(docs), np.concatenate(keys)
@@ -233,7 +243,7 @@ def _entries(rule: Rule, boundary: int, classes: list, buckets: int):
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists with two nodes or more, from all entries of a bucket: list number, hub, node."""
+    """Lists with two nodes or more, from all entries of a bucket: list number, node."""
     keys, members = [], []
     for batch in batches:
         for k, n, r in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
@@ -260,17 +270,10 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     edge[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(edge)
     count = np.diff(np.append(at, len(key)))
-    group = np.repeat(np.arange(len(at)), count)
-    number = _sum64(group, mix64(node ^ _A), len(at)) ^ mix64(count.astype(np.uint64))  # equal lists, equal number
-    _, once = np.unique(number, return_index=True)
-    keep = np.zeros(len(at), bool)
-    keep[once] = True
-    keep &= count > 1
-    mine = keep[group]
-    hub = node[at][group]
-    for i in range(0, int(mine.sum()), 100_000):
-        part = np.flatnonzero(mine)[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(x[part].view(np.int64)) for x in (number[group], hub, node)], names=["list", "hub", "node"])
+    mine = np.flatnonzero(np.repeat(count > 1, count))
+    for i in range(0, len(mine), 100_000):
+        part = mine[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(x[part].view(np.int64)) for x in (key, node)], names=["list", "node"])
 
 
 def _fetch(rule: Rule):
@@ -319,73 +322,216 @@ def _compare(rule: Rule):
 
 
 def _links(rule: Rule, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (hub, node) that link, verified on whole sets. Hubs with many followers are salted."""
-    pairs = written(pairs.select("hub", "node"), "pairs")
+    """The pairs (hub, node) that link, verified on whole sets; pairs is a written table. Hubs with many followers are salted."""
     salts = F.ceil(F.count("*") / F.lit(FOLLOWERS)).cast("int")
     hubs = pairs.groupBy("hub").agg(salts.alias("salts"))
     mine = sets.select("node", "shingles")
     followers = pairs.join(hubs, "hub").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).select("hub", "salt", "node").join(mine, "node")
-    selves = hubs.join(mine.withColumnRenamed("node", "hub"), "hub").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    selves = hubs.join(mine, F.col("hub") == F.col("node")).drop("node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     rows = followers.select("hub", "node", F.lit(False).alias("self"), "shingles", "salt").unionByName(selves.select("hub", F.col("hub").alias("node"), F.lit(True).alias("self"), "shingles", "salt"))
     rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("self").desc())
     return rows.select("hub", "node", "self", "shingles").mapInArrow(_compare(rule), "a long, b long")
 
 
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The smallest node that each node of at most FEW_LINKS links leads to."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = top(a), top(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    if parent:
+        yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([top(x) for x in parent], pa.int64())], names=["a", "to"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) for every node of links (a, b).
 
     Each turn every node takes the smallest of itself and its neighbours, and links are drawn again
-    between what they took; nodes at least halve, so turns grow with the logarithm of the longest path.
+    between what they took; nodes at least halve, so turns grow with the logarithm of the longest
+    path. Once FEW_LINKS or fewer are left, one task ends the work.
     """
-    links = written(links.filter("a <> b").distinct(), "links")
-    both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = written(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     labels = None
     while True:
-        step = both(links).groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))
-        step = written(step, "step")
+        few = links.count() <= FEW_LINKS
+        if few:
+            step = links.coalesce(1).mapInArrow(_union, "a long, to long")
+        else:
+            both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            step = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")), "step")
         if labels is None:
             labels = step.select(F.col("a").alias("node"), F.col("to").alias("component"))
         else:
             labels = labels.join(step.withColumnRenamed("a", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
         labels = written(labels, "labels")
+        if few:
+            return labels
         links = links.join(step, "a").select(F.col("to").alias("a"), "b")
         links = links.join(step.withColumnRenamed("a", "b").withColumnRenamed("to", "to_b"), "b").select("a", F.col("to_b").alias("b"))
-        links = written(links.filter("a <> b").distinct(), "links")
-        if links.isEmpty():
-            return labels
+        links = written(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+
+
+def _far(rule: Rule, n: np.ndarray, cells: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs (i, j) may link, by sizes and cells, and the least difference of each."""
+    both = n[i] + n[j]
+    need = -(-rule.num * both // (rule.num + rule.den))
+    far = np.zeros(len(i), np.int64)
+    ok = need <= np.minimum(n[i], n[j])
+    at = np.flatnonzero(ok)
+    for k in range(0, len(at), 20_000):
+        part = at[k : k + 20_000]
+        far[part] = np.abs(cells[i[part]] - cells[j[part]]).sum(1)
+    return ok & (far <= both - 2 * need), far
+
+
+def _blob_cells(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+
+
+def _near_enough(rule: Rule):
+    """Pairs (hub, node) that pass the filters, with their least difference."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 20_000):
+                part = batch.slice(k, 20_000)
+                n = np.concatenate([part.column(2).to_numpy(), part.column(3).to_numpy()])
+                cells = np.concatenate([_blob_cells(part.column(4)), _blob_cells(part.column(5))])
+                i = np.arange(part.num_rows)
+                ok, far = _far(rule, n, cells, i, i + part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), part.column(1).filter(pa.array(ok)), pa.array(far[ok])], names=["hub", "node", "far"])
+
+    return run
 
 
 def _across(rule: Rule):
-    """Pairs of nodes of one list in different components that the filters let pass."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["node"]).sort_values("node")
-        node, comp, n = (pdf[c].to_numpy() for c in ("node", "component", "n"))
-        cells = np.frombuffer(b"".join(pdf["cells"]), np.uint8).reshape(-1, CELLS).astype(np.int16)
-        first = pdf["chunk"].to_numpy() == pdf["low"].to_numpy()
-        diagonal = bool((pdf["low"] == pdf["high"]).all())
-        hubs, followers = [], []
-        for i in range(len(node)):
-            if not diagonal and not first[i]:
+    """Pairs of members of one list block in different components that pass the filters, from rows sorted by block."""
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        block, low, high, chunk, node, comp, n = (rows.column(k).to_numpy() for k in range(7))
+        cells = _blob_cells(rows.column(7).combine_chunks())
+        edge = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+        size = np.diff(np.append(edge, len(block)))
+        whole = low[edge] == high[edge]
+        left, right = [], []
+        for g in range(2, 17):  # small lists, all of one size together
+            begin = edge[whole & (size == g)]
+            i, j = np.triu_indices(g, 1)
+            left.append((begin[:, None] + i).ravel())
+            right.append((begin[:, None] + j).ravel())
+        for a, g, all_ in zip(edge.tolist(), size.tolist(), whole.tolist()):
+            if all_ and g > 16:
+                i, j = np.triu_indices(g, 1)
+            elif not all_:
+                x, y = np.flatnonzero(chunk[a : a + g] == low[a]), np.flatnonzero(chunk[a : a + g] == high[a])
+                i, j = np.repeat(x, len(y)), np.tile(y, len(x))
+            else:
                 continue
-            other = comp != comp[i]
-            other &= (node > node[i]) if diagonal else ~first
-            j = np.flatnonzero(other)
-            if not len(j):
-                continue
-            need = -(-rule.num * (n[i] + n[j]) // (rule.num + rule.den))
-            j = j[need <= np.minimum(n[i], n[j])]
-            far = np.abs(cells[j] - cells[i]).sum(1)
-            j = j[far <= n[i] + n[j] - 2 * (-(-rule.num * (n[i] + n[j]) // (rule.num + rule.den)))]
-            hubs.append(np.full(len(j), node[i]))
-            followers.append(node[j])
-        if not hubs:
-            return pd.DataFrame({"hub": np.zeros(0, np.int64), "node": np.zeros(0, np.int64)})
-        return pd.DataFrame({"hub": np.concatenate(hubs), "node": np.concatenate(followers)})
+            left.append(i + a)
+            right.append(j + a)
+        i, j = np.concatenate(left), np.concatenate(right)
+        other = comp[i] != comp[j]
+        i, j = i[other], j[other]
+        swap = node[i] > node[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        order = np.lexsort((node[j], node[i]))
+        i, j = i[order], j[order]
+        new = np.ones(len(i), bool)
+        new[1:] = (node[i[1:]] != node[i[:-1]]) | (node[j[1:]] != node[j[:-1]])
+        i, j = i[new], j[new]
+        ok, far = _far(rule, n, cells, i, j)
+        return pa.RecordBatch.from_arrays([pa.array(node[i[ok]]), pa.array(node[j[ok]]), pa.array(far[ok])], names=["hub", "node", "far"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            for k in range(0, batch.num_rows, 10_000):
+                table = pa.Table.from_batches([batch.slice(k, 10_000)])
+                held = table if held is None else pa.concat_tables([held, table])
+                key = [held.column(c).to_numpy() for c in range(3)]
+                last = np.ones(len(key[0]), bool)
+                for c in key:
+                    last &= c == c[-1]
+                cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+                if cut:
+                    yield pairs(held.slice(0, cut))
+                    held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield pairs(held)
 
     return run
 
 
+def _placed(rows: DataFrame, found: DataFrame, node: str, component: str) -> DataFrame:
+    """rows with the component of a node; a node without links is its own."""
+    named = found.select(F.col("node").alias(node), F.col("component").alias(component))
+    return rows.join(named, node, "left").withColumn(component, F.coalesce(component, node))
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found, with what further links join: only components are looked at again."""
+    ends = _placed(_placed(links, found, "a", "x"), found, "b", "y")
+    between = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    moved = found.join(between.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    new = between.join(found.select("node"), "node", "left_anti")
+    return written(moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(new), "found")
+
+
+def _grow(rule: Rule, lists: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """node, component of all nodes with links, from the lists."""
+    found = None
+    figures = sets.select("node", "n", "cells")
+    for turn in range(HUB_ROUNDS):  # a list's hub is its least member in another order each turn; nodes try their nearest hub
+        hubs = lists.groupBy("list").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("hub"))
+        pairs = lists.join(hubs, "list").filter("hub <> node").select("hub", "node").distinct()
+        if found is not None:
+            pairs = _placed(_placed(pairs, found, "node", "x"), found, "hub", "y").filter("x <> y").select("hub", "node")
+        pairs = pairs.join(figures, "node").join(figures.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("cells").alias("hub_cells")), "hub")
+        near = pairs.select("hub", "node", "hub_n", "n", "hub_cells", "cells").mapInArrow(_near_enough(rule), "hub long, node long, far long")
+        near = written(near.groupBy("node").agg(F.min_by("hub", F.struct("far", "hub")).alias("hub")).select("hub", "node"), "near-hubs")
+        linked = _links(rule, near, sets)
+        found = components(linked) if found is None else _joined(found, linked)
+    placed = _placed(lists.select("list", "node"), found, "node", "component")
+    spans = placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"), F.count_distinct("component").alias("parts")).filter("x <> y").select("list", "members", "parts")
+    open_ = written(placed.join(spans, "list"), "open-lists")
+    if open_.isEmpty():
+        return found
+    long = (F.col("parts") > LONG_LIST) & (F.pmod(F.col("list"), F.lit(2)) == 1)
+    first, second = open_.filter(long).select("list", "node", "component"), open_.filter(long).select("node", F.col("list").alias("second"))
+    twice = first.join(second, "node").filter("list < second")
+    twice = twice.select(F.xxhash64("list", "second").alias("list"), "node", "component")
+    both = twice.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).filter("x <> y").select("list", "members")
+    narrow = open_.filter(~long).select("list", "node", "component", "members").unionByName(twice.join(both, "list").select("list", "node", "component", "members"))
+    chunks = F.ceil(F.col("members") / F.lit(block)).cast("int")
+    spread = narrow.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    spread = spread.select("list", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "component").join(figures, "node")
+    spread = spread.select("list", "low", "high", "chunk", "node", "component", "n", "cells").repartition("list", "low", "high").sortWithinPartitions("list", "low", "high")
+    pairs = written(spread.mapInArrow(_across(rule), "hub long, node long, far long").distinct(), "across")
+    tried = None
+    for turn in range(PAIR_ROUNDS + 1):
+        left = _placed(_placed(pairs, found, "node", "x"), found, "hub", "y").filter("x <> y")
+        if tried is not None:
+            left = left.join(tried, ["hub", "node"], "left_anti")
+        if turn < PAIR_ROUNDS:  # of two components the nearest pair first
+            left = left.groupBy(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).agg(F.min(F.struct("far", "hub", "node")).alias("b")).select("b.hub", "b.node")
+        left = written(left.select("hub", "node"), "tries")
+        if left.isEmpty():
+            break
+        tried = left if tried is None else tried.unionByName(left)
+        found = _joined(found, _links(rule, left, sets))
+    return found
+
+
 def near_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (and text_hash, of the text).
 
@@ -404,32 +550,14 @@ def near_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", te
     classes = rule.classes(boundary, figures["largest"] or 0)
     buckets = max(parallelism(spark), (figures["all"] or 0) // 5_000_000 + 1)
     entries = rows.select("text").mapInArrow(_entries(rule, boundary, classes, buckets), "bucket int, keys binary, nodes binary, runs binary")
-    lists = entries.repartitionById(buckets, F.col("bucket")).mapInArrow(_lists, "list long, hub long, node long")
+    lists = entries.repartitionById(buckets, F.col("bucket")).mapInArrow(_lists, "list long, node long")
     lists = written(lists, "lists")
-    first = lists.filter("hub <> node").groupBy("node").agg(F.min("hub").alias("hub"))
     one = every.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("one"))
     wanted = lists.select("node").distinct().join(one, "node").select("node", "one.id", "one.text_hash")
-    texts = rows.join(wanted, ["id", "text_hash"]).select("node", "text")
-    sets = written(texts.mapInArrow(_fetch(rule), "node long, n long, cells binary, shingles array<long>").dropDuplicates(["node"]), "shingles")
-    found = components(_links(rule, first, sets))
-    # Lists that are still of several components are compared across them.
-    placed = lists.select("list", "node").distinct().join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).filter("x <> y").select("list", "members")
-    open_ = written(placed.join(open_, "list"), "open-lists")
-    if not open_.isEmpty():
-        chunks = F.ceil(F.col("members") / F.lit(block)).cast("int")
-        chunk = F.pmod(F.xxhash64("node"), chunks).cast("int")
-        spread = open_.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        spread = spread.select("list", "node", "component", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
-        spread = spread.join(sets.select("node", "n", "cells"), "node")
-        more = spread.groupBy("list", "low", "high").applyInPandas(_across(rule), "hub long, node long").distinct()
-        again = _links(rule, more, sets)
-        ends = lambda e, c: e.join(found.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")
-        between = components(ends(ends(again, "a"), "b"))
-        joined = found.withColumnRenamed("component", "node_component").join(between.withColumnRenamed("node", "node_component"), "node_component", "left")
-        joined = joined.select("node", F.coalesce("component", "node_component").alias("component"))
-        found = joined.unionByName(between.join(found.select("node"), "node", "left_anti"))
-    grouped = every.join(found.dropDuplicates(["node"]), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    texts = rows.join(wanted, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]).select("node", "text")
+    sets = written(texts.mapInArrow(_fetch(rule), "node long, n long, cells binary, shingles array<long>"), "shingles")
+    found = _grow(rule, lists, sets, block)
+    grouped = every.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     grouped = written(grouped, "grouped")
     # One smallest id for each component, combined before the shuffle; sets that nothing repeats need none.
     least = grouped.filter("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -444,6 +572,7 @@ def keep_one(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_
     Texts without words all stay. Of rows that repeat the smallest id with one text, all stay.
     """
     gone = near_groups(docs, rule, id_col, text_col).filter("component_id < doc_id OR (doc_id IS NULL AND component_id IS NOT NULL)")
-    gone = gone.select(F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("_id"), F.col("text_hash").alias("_hash"))
+    gone = written(gone.select(F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("_id"), F.col("text_hash").alias("_hash")), "gone")
+    gone = F.broadcast(gone) if gone.count() <= FEW_GONE else gone
     hashed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), "_hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     return hashed.join(gone, ["_id", "_hash"], "left_anti").select(*docs.columns)
