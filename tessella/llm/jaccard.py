@@ -12,7 +12,7 @@ need(a, b) shingles. The join is exact at every step:
 * Lists are scanned. Members are compared with their lists' hubs first, in a few rounds, so that a
   group of near copies becomes one component at a cost in proportion to its size. Lists that still
   hold several components are compared across them, after two exact filters (sizes, and counts of
-  shingles in 256 cells, whose distance bounds the sets' difference from below). Linked heavy sets
+  shingles in hashed cells, whose distance bounds the sets' difference from below). Linked heavy sets
   agree in two parts at least; so in a long list only members that share a second long list are
   compared (those that share a short one are compared there).
 
@@ -39,16 +39,19 @@ ENTRY_COST = 4
 MOST_LIGHT = 40
 #: Largest over smallest size of a class of heavy sets, or the largest ratio that can link if that is more.
 CLASS_RATIO = 1.4
-#: Cells of the counts that bound a difference, and members of a list that are compared in one task.
-CELLS, BLOCK = 256, 1024
+#: Cells of the counts that bound a difference (a power of two: about a quarter of the set's size, within
+#: these bounds), and members of a list that are compared in one task.
+CELLS, MOST_CELLS, BLOCK = 256, 4096, 1024
 #: Lists of parts with more components are narrowed to members that share a second such list.
-LONG_LIST = 48
+LONG_LIST = 1024
 #: Rounds of comparisons with hubs, and then of comparisons of the nearest pair of two components.
 HUB_ROUNDS, PAIR_ROUNDS = 4, 2
 #: So many links (16 bytes each) are joined up in one task.
 FEW_LINKS = 200_000
 #: Up to so many documents to drop (16 bytes each) are broadcast; beyond, texts are shuffled to them.
 FEW_GONE = 1_000_000
+#: Pairs that a task remembers, to name each once.
+SEEN = 500_000
 #: Followers of one hub in one task, about, and entries that a task gathers before it passes them on.
 FOLLOWERS, FLUSH = 2000, 1_000_000
 _LAST = (1 << 63) - 1
@@ -283,10 +286,13 @@ def _fetch(rule: Rule):
                 part = batch.slice(a, b - a)
                 d, h = shingle_sets(*text_buffers(part.column(1)), rule.words)
                 size = np.bincount(d, minlength=b - a)
-                cell = (mix64(h ^ _B) % np.uint64(CELLS)).astype(np.int64)
-                cells = np.minimum(np.bincount(d * CELLS + cell, minlength=(b - a) * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
+                width = np.clip(1 << np.ceil(np.log2(np.maximum(size, 4) / 4)).astype(np.int64), CELLS, MOST_CELLS)
+                base = np.cumsum(width) - width
+                cell = base[d] + (mix64(h ^ _B) & (width[d] - 1).astype(np.uint64)).astype(np.int64)
+                counts = np.minimum(np.bincount(cell, minlength=int(width.sum())), 255).astype(np.uint8).tobytes()
+                cells = [counts[x:y] for x, y in zip(base.tolist(), (base + width).tolist())]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array([c.tobytes() for c in cells], pa.binary()), lists], names=["node", "n", "cells", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(cells, pa.binary()), lists], names=["node", "n", "cells", "shingles"])
 
     return run
 
@@ -380,7 +386,32 @@ def components(links: DataFrame) -> DataFrame:
         links = written(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
 
 
-def _far(rule: Rule, n: np.ndarray, cells: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class _Cells:
+    """Counts of shingles by cell: of all sets in CELLS cells, and of larger sets in more."""
+
+    def __init__(self, column: pa.Array):
+        raw = column.to_pylist()
+        width = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.coarse = np.zeros((len(raw), CELLS), np.int16)
+        self.fine: list[np.ndarray | None] = [None] * len(raw)
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            part = np.frombuffer(b"".join([raw[i] for i in at.tolist()]), np.uint8).reshape(len(at), -1, CELLS)
+            self.coarse[at] = part.sum(1, dtype=np.int16)
+            if w > CELLS:
+                for i, x in zip(at.tolist(), part.reshape(len(at), w)):
+                    self.fine[i] = x
+
+    def apart(self, i: int, j: int) -> int:
+        """A lower bound of the difference, in as many cells as both have."""
+        a, b = self.fine[i], self.fine[j]
+        if a is None or b is None:
+            return 0
+        w = min(len(a), len(b))
+        return int(np.abs(a.reshape(-1, w).sum(0, dtype=np.int16) - b.reshape(-1, w).sum(0, dtype=np.int16)).sum())
+
+
+def _far(rule: Rule, n: np.ndarray, cells: _Cells, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which of the pairs (i, j) may link, by sizes and cells, and the least difference of each."""
     both = n[i] + n[j]
     need = -(-rule.num * both // (rule.num + rule.den))
@@ -389,12 +420,12 @@ def _far(rule: Rule, n: np.ndarray, cells: np.ndarray, i: np.ndarray, j: np.ndar
     at = np.flatnonzero(ok)
     for k in range(0, len(at), 20_000):
         part = at[k : k + 20_000]
-        far[part] = np.abs(cells[i[part]] - cells[j[part]]).sum(1)
-    return ok & (far <= both - 2 * need), far
-
-
-def _blob_cells(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        far[part] = np.abs(cells.coarse[i[part]] - cells.coarse[j[part]]).sum(1)
+    most = both - 2 * need
+    ok &= far <= most
+    for k in np.flatnonzero(ok & (np.minimum(n[i], n[j]) > 4 * CELLS)).tolist():
+        far[k] = max(int(far[k]), cells.apart(int(i[k]), int(j[k])))
+    return ok & (far <= most), far
 
 
 def _near_enough(rule: Rule):
@@ -405,7 +436,7 @@ def _near_enough(rule: Rule):
             for k in range(0, batch.num_rows, 20_000):
                 part = batch.slice(k, 20_000)
                 n = np.concatenate([part.column(2).to_numpy(), part.column(3).to_numpy()])
-                cells = np.concatenate([_blob_cells(part.column(4)), _blob_cells(part.column(5))])
+                cells = _Cells(pa.concat_arrays([part.column(4), part.column(5)]))
                 i = np.arange(part.num_rows)
                 ok, far = _far(rule, n, cells, i, i + part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), part.column(1).filter(pa.array(ok)), pa.array(far[ok])], names=["hub", "node", "far"])
@@ -416,19 +447,31 @@ def _near_enough(rule: Rule):
 def _across(rule: Rule):
     """Pairs of members of one list block in different components that pass the filters, from rows sorted by block."""
 
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
+    seen: set[tuple[int, int, int]] = set()  # pairs meet in many lists; a task names each once
+
+    def passing(node: np.ndarray, comp: np.ndarray, n: np.ndarray, cells: _Cells, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        other = comp[i] != comp[j]
+        i, j = i[other], j[other]
+        ok, far = _far(rule, n, cells, i, j)
+        x, y = node[i[ok]], node[j[ok]]
+        rows = [r for r in zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), far[ok].tolist()) if r not in seen]
+        if len(seen) > SEEN:
+            seen.clear()
+        rows = list(dict.fromkeys(rows))
+        seen.update(rows)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([], [], []))], names=["hub", "node", "far"])
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = rows.combine_chunks()
         block, low, high, chunk, node, comp, n = (rows.column(k).to_numpy() for k in range(7))
-        cells = _blob_cells(rows.column(7).combine_chunks())
+        cells = _Cells(rows.column(7).combine_chunks())
         edge = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
         size = np.diff(np.append(edge, len(block)))
         whole = low[edge] == high[edge]
-        left, right = [], []
         for g in range(2, 17):  # small lists, all of one size together
             begin = edge[whole & (size == g)]
             i, j = np.triu_indices(g, 1)
-            left.append((begin[:, None] + i).ravel())
-            right.append((begin[:, None] + j).ravel())
+            yield passing(node, comp, n, cells, (begin[:, None] + i).ravel(), (begin[:, None] + j).ravel())
         for a, g, all_ in zip(edge.tolist(), size.tolist(), whole.tolist()):
             if all_ and g > 16:
                 i, j = np.triu_indices(g, 1)
@@ -437,20 +480,7 @@ def _across(rule: Rule):
                 i, j = np.repeat(x, len(y)), np.tile(y, len(x))
             else:
                 continue
-            left.append(i + a)
-            right.append(j + a)
-        i, j = np.concatenate(left), np.concatenate(right)
-        other = comp[i] != comp[j]
-        i, j = i[other], j[other]
-        swap = node[i] > node[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        order = np.lexsort((node[j], node[i]))
-        i, j = i[order], j[order]
-        new = np.ones(len(i), bool)
-        new[1:] = (node[i[1:]] != node[i[:-1]]) | (node[j[1:]] != node[j[:-1]])
-        i, j = i[new], j[new]
-        ok, far = _far(rule, n, cells, i, j)
-        return pa.RecordBatch.from_arrays([pa.array(node[i[ok]]), pa.array(node[j[ok]]), pa.array(far[ok])], names=["hub", "node", "far"])
+            yield passing(node, comp, n, cells, i + a, j + a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -464,10 +494,10 @@ def _across(rule: Rule):
                     last &= c == c[-1]
                 cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
                 if cut:
-                    yield pairs(held.slice(0, cut))
+                    yield from pairs(held.slice(0, cut))
                     held = held.slice(cut)
         if held is not None and held.num_rows:
-            yield pairs(held)
+            yield from pairs(held)
 
     return run
 
