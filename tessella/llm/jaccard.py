@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import Words, byte_slices, mix64, parallelism, text_buffers, written
+from tessella.llm._shared import Words, byte_slices, lean, mix64, parallelism, text_buffers, written
 
 #: A list entry costs as much as so many subsets: it brings sets to compare that share a few shingles.
 ENTRY_COST = 4
@@ -336,7 +336,7 @@ def _links(rule: Rule, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     selves = hubs.join(mine, F.col("hub") == F.col("node")).drop("node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     rows = followers.select("hub", "node", F.lit(False).alias("self"), "shingles", "salt").unionByName(selves.select("hub", F.col("hub").alias("node"), F.lit(True).alias("self"), "shingles", "salt"))
     rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("self").desc())
-    return rows.select("hub", "node", "self", "shingles").mapInArrow(_compare(rule), "a long, b long")
+    return rows.select("hub", "node", "self", "shingles").mapInArrow(lean(_compare(rule)), "a long, b long")
 
 
 def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,7 +370,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         few = links.count() <= FEW_LINKS
         if few:
-            step = links.coalesce(1).mapInArrow(_union, "a long, to long")
+            step = links.coalesce(1).mapInArrow(lean(_union), "a long, to long")
         else:
             both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
             step = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")), "step")
@@ -527,7 +527,7 @@ def _grow(rule: Rule, lists: DataFrame, sets: DataFrame, block: int) -> DataFram
         if found is not None:
             pairs = _placed(_placed(pairs, found, "node", "x"), found, "hub", "y").filter("x <> y").select("hub", "node")
         pairs = pairs.join(figures, "node").join(figures.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("cells").alias("hub_cells")), "hub")
-        near = pairs.select("hub", "node", "hub_n", "n", "hub_cells", "cells").mapInArrow(_near_enough(rule), "hub long, node long, far long")
+        near = pairs.select("hub", "node", "hub_n", "n", "hub_cells", "cells").mapInArrow(lean(_near_enough(rule)), "hub long, node long, far long")
         near = written(near.groupBy("node").agg(F.min_by("hub", F.struct("far", "hub")).alias("hub")).select("hub", "node"), "near-hubs")
         linked = _links(rule, near, sets)
         found = components(linked) if found is None else _joined(found, linked)
@@ -546,7 +546,7 @@ def _grow(rule: Rule, lists: DataFrame, sets: DataFrame, block: int) -> DataFram
     spread = narrow.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     spread = spread.select("list", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "component").join(figures, "node")
     spread = spread.select("list", "low", "high", "chunk", "node", "component", "n", "cells").repartition("list", "low", "high").sortWithinPartitions("list", "low", "high")
-    pairs = written(spread.mapInArrow(_across(rule), "hub long, node long, far long").distinct(), "across")
+    pairs = written(spread.mapInArrow(lean(_across(rule)), "hub long, node long, far long").distinct(), "across")
     tried = None
     for turn in range(PAIR_ROUNDS + 1):
         left = _placed(_placed(pairs, found, "node", "x"), found, "hub", "y").filter("x <> y")
@@ -573,19 +573,19 @@ def near_groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", te
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    every = written(rows.select("id", "text_hash", "text").mapInArrow(_describe(rule), "id long, text_hash long, n_shingles long, node long"), "sets")
+    every = written(rows.select("id", "text_hash", "text").mapInArrow(lean(_describe(rule)), "id long, text_hash long, n_shingles long, node long"), "sets")
     figures = every.agg(F.max("n_shingles").alias("largest"), F.sum("n_shingles").alias("all")).first()
     few = every.filter(F.col("n_shingles").between(1, MOST_LIGHT)).groupBy("n_shingles").count().collect()  # at most MOST_LIGHT rows
     boundary = rule.boundary({r["n_shingles"]: r["count"] for r in few})
     classes = rule.classes(boundary, figures["largest"] or 0)
     buckets = max(parallelism(spark), (figures["all"] or 0) // 5_000_000 + 1)
-    entries = rows.select("text").mapInArrow(_entries(rule, boundary, classes, buckets), "bucket int, keys binary, nodes binary, runs binary")
-    lists = entries.repartitionById(buckets, F.col("bucket")).mapInArrow(_lists, "list long, node long")
+    entries = rows.select("text").mapInArrow(lean(_entries(rule, boundary, classes, buckets)), "bucket int, keys binary, nodes binary, runs binary")
+    lists = entries.repartitionById(buckets, F.col("bucket")).mapInArrow(lean(_lists), "list long, node long")
     lists = written(lists, "lists")
     one = every.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("one"))
     wanted = lists.select("node").distinct().join(one, "node").select("node", "one.id", "one.text_hash")
     texts = rows.join(wanted, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]).select("node", "text")
-    sets = written(texts.mapInArrow(_fetch(rule), "node long, n long, cells binary, shingles array<long>"), "shingles")
+    sets = written(texts.mapInArrow(lean(_fetch(rule)), "node long, n long, cells binary, shingles array<long>"), "shingles")
     found = _grow(rule, lists, sets, block)
     grouped = every.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     grouped = written(grouped, "grouped")

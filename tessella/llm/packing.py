@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import written
+from tessella.llm._shared import lean, written
 from tessella.llm.tokenbin import encode_column
 
 #: Pieces in a partition, on average, and the most rounds of exchange.
@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
                 yield pa.RecordBatch.from_arrays([ids_of.slice(a, b - a).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(cut, PIECE)
+    return rows.mapInArrow(lean(cut), PIECE)
 
 
 def _placer(capacity: int, turn: int, last: bool):

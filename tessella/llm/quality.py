@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import Words, byte_slices, mix64, text_buffers
+from tessella.llm._shared import Words, byte_slices, lean, mix64, text_buffers
 
 #: N-gram lengths, and the percentage of word characters in later copies that a text may have.
 GRAMS = {5: 30, 7: 25, 10: 20}
@@ -104,7 +104,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *map(pa.array, figures)], names=[*part.schema.names[1:], *[x.split()[0] for x in COLUMNS.split(", ")]])
 
     kinds = ", ".join(f"`{name}` {rows.schema[name].dataType.simpleString()}" for name in rows.columns[1:])
-    judged = rows.mapInArrow(judge, f"{kinds}, {COLUMNS}")
+    judged = rows.mapInArrow(lean(judge), f"{kinds}, {COLUMNS}")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     bad = 100 * F.col("dup_line_chars") > LINES * F.col("word_chars")
     for n, most in GRAMS.items():

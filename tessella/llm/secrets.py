@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm._shared import lean
+
 #: The kinds of spans in their order.
 KINDS = ("assign", "access", "hex", "lexed")
 #: The base patterns. Group 2 of the first must have 12 characters, the others' matches 18 and 16.
@@ -236,7 +238,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(find, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_lexed long")
+    return rows.mapInArrow(lean(find), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_lexed long")
 
 
 def redact(text: str | None, spans: str, mark: str = "[SECRET]") -> str | None:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import Words, byte_slices, mix64, text_buffers, written
+from tessella.llm._shared import Words, byte_slices, lean, mix64, text_buffers, written
 
 WINDOW, ANCHOR = 50, 16
 #: Documents that share a key, above which the group gets the longest prefix.
@@ -210,7 +210,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, g
     """(all documents, documents that may repeat others with their text, runs of words to remove)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("text_hash"), "text")
-    every = written(rows.mapInArrow(_describe(window, anchor), "id long, text_hash long, n_words long, sha string, keys array<long>"), "described")
+    every = written(rows.mapInArrow(lean(_describe(window, anchor)), "id long, text_hash long, n_words long, sha string, keys array<long>"), "described")
     # One document of each text: the sha is that of its words.
     firsts = every.filter(F.col("n_words") >= window).groupBy("sha").agg(F.min(F.struct("id", "text_hash", "keys")).alias("d")).select("d.*")
     firsts = written(firsts, "first-copies")
@@ -219,10 +219,10 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, g
     wanted = held.join(shared, "key").groupBy("id", "text_hash").agg(F.collect_list(F.struct("key", "heavy")).alias("k"))
     wanted = wanted.select("id", "text_hash", F.col("k.key").alias("keys"), F.col("k.heavy").alias("heavy"))
     texts = written(rows.filter(F.length("text") >= 2 * window - 1).join(wanted, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]).select("id", "text_hash", "text", "keys", "heavy"), "repeating-texts")
-    parts = texts.mapInArrow(_segments(window, anchor), "key long, id long, text_hash long, at int, words binary")
+    parts = texts.mapInArrow(lean(_segments(window, anchor)), "key long, id long, text_hash long, at int, words binary")
     parts = written(parts, "segments", compression="zstd")
     light = parts.filter("words IS NOT NULL").repartition("key").sortWithinPartitions("key")
-    runs = light.mapInArrow(_trees(window), "id long, text_hash long, `from` long, `to` long")
+    runs = light.mapInArrow(lean(_trees(window)), "id long, text_hash long, `from` long, `to` long")
     heavy = parts.filter("words IS NULL").drop("words")
     least = heavy.groupBy("key").agg(F.min("id").alias("least"))
     deep = heavy.join(least, "key").filter("id > least").select("id", "text_hash", F.col("at").cast("long").alias("from"), (F.col("at") + window).cast("long").alias("to"))
@@ -240,7 +240,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """
     every, texts, runs = repeated_runs(docs, window, anchor, group_docs, id_col, text_col)
     by_doc = runs.groupBy("id", "text_hash").agg(F.collect_list("from").alias("begin"), F.collect_list("to").alias("end"))
-    cut = texts.select("id", "text_hash", "text").join(by_doc, ["id", "text_hash"]).mapInArrow(_cut_out, "id long, text_hash long, n_removed long, kept_sha256 string")
+    cut = texts.select("id", "text_hash", "text").join(by_doc, ["id", "text_hash"]).mapInArrow(lean(_cut_out), "id long, text_hash long, n_removed long, kept_sha256 string")
     cut = written(cut, "cut-texts")
     narrow = every.drop("keys")
     first = narrow.filter(F.col("n_words") >= window).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import byte_slices, parallelism, scratch_dir, text_buffers
+from tessella.llm._shared import byte_slices, lean, parallelism, scratch_dir, text_buffers
 from tessella.llm.tokens import encoder
 
 #: Parquet settings: version 2 pages have delta-packed integers where no dictionary pays; dictionaries
@@ -74,7 +74,7 @@ def write_token_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2
                 )
                 total += int(at[-1])
 
-    out = rows.mapInArrow(encode, "doc_id long, part int, local_start long, n_tokens long, tokens array<int>")
+    out = rows.mapInArrow(lean(encode), "doc_id long, part int, local_start long, n_tokens long, tokens array<int>")
     out.write.options(**LAYOUT).parquet(path)
 
 
@@ -109,7 +109,7 @@ def read_token_digest(spark, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), size, pa.array(crc, pa.int64())], names=["doc_id", "part", "local_start", "n_tokens", "ids_crc32"])
 
     rows = spark.read.parquet(path).select("doc_id", "part", "local_start", "tokens")
-    rows = rows.mapInArrow(digest, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
+    rows = rows.mapInArrow(lean(digest), "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
     return _with_start(rows, path)
 
 

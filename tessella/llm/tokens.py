@@ -14,7 +14,7 @@ import numpy as np
 from tessella.llm._shared import _BASE, _BYTE, _INV, _IS_SPACE, _STEP, _power, mix64
 
 #: Cached pieces for each worker process (a power of two), and the most ids of one of them.
-SLOTS, WIDTH = 1 << 21, 8
+SLOTS, WIDTH = 1 << 20, 8
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True

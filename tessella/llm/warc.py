@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import parallelism, scratch_dir, written
+from tessella.llm._shared import lean, parallelism, scratch_dir, written
 
 #: Magic number of the dictionary's skippable frame, and of a Zstandard frame.
 SKIPPABLE, FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
@@ -192,7 +192,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000, date: str = "
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*made)], names=["archive", "records", "bytes"])
 
     rows = roles(pages, least, **columns).select("page_id", "url", "html", "digest", "size", "main_id")
-    return written(rows.mapInArrow(write, "archive string, records long, bytes long"), "manifest")
+    return written(rows.mapInArrow(lean(write), "archive string, records long, bytes long"), "manifest")
 
 
 def read_pages(manifest: DataFrame, path: str, with_html: bool = False) -> DataFrame:
@@ -236,7 +236,7 @@ def read_pages(manifest: DataFrame, path: str, with_html: bool = False) -> DataF
     schema = pa.schema(fields + [("html", pa.string())] * with_html)
     n = max(1, min(parallelism(manifest.sparkSession), manifest.count()))
     spread = manifest.select("archive").repartition(n)
-    return spread.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", html string" * with_html)
+    return spread.mapInArrow(lean(read), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", html string" * with_html)
 
 
 def warc_round_trip(pages: DataFrame, path: str | None = None, **settings) -> DataFrame:
