@@ -19,7 +19,7 @@ SPACE_BYTES = b" \t\n\x0b\x0c\r"
 #: The word pattern, for Spark and DuckDB regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Python works on at most about this many bytes of text at a time (at least one document).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 
 def scratch_dir(spark: SparkSession, what: str) -> str:
