@@ -47,6 +47,7 @@ THRESHOLD = 6
 #: One token of source or configuration text.
 LEXEME = re.compile(
     r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
+    |(?P<option>(?<![A-Za-z0-9+/_.~)\]-])(?:-D|--?)(?=[A-Za-z_]))
     |(?P<name>[A-Za-z_$][A-Za-z0-9_$]*(?:[.-][A-Za-z_$][A-Za-z0-9_$]*)*)
     |(?P<bind>:=|=>|==|!=|<=|>=|[:=](?!=))
     |(?P<join>\+|\.\.(?!\.)|(?<=\s)\.(?=\s)|\|\||\?\?)
@@ -57,8 +58,13 @@ LEXEME = re.compile(
 )
 #: What an unquoted value consists of.
 BARE = re.compile(r"[A-Za-z0-9+/_.=~!@$%^&*-]+", re.ASCII)
+#: Options with their value behind white space or as the next string, and header lines and options within a string.
+OPTION = re.compile(r"--?(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)", re.ASCII)
+INSIDE = re.compile(r"""(?:(?:\A|(?<=["']))(?P<header>[A-Za-z][A-Za-z0-9-]*):[ \t]*(?:(?:Bearer|Basic|Token|ApiKey)[ \t]+)?|(?<![^\s"'])(?:-D|--?)(?P<option>[A-Za-z_][A-Za-z0-9_.-]*)(?:=|[ \t]+(?!-)))(?P<value>[^\s"'`\\,;]+)""", re.IGNORECASE | re.ASCII)
+#: Words before a credential.
+SCHEME = re.compile(r"\s*(?:Bearer|Basic|Token|ApiKey)[ \t]+", re.IGNORECASE | re.ASCII)
 #: Lines worth lexing hold a bound name part of SENSITIVE; constants may be bound on any line with a binding.
-WORTH = re.compile(r"(?:pass|pwd|secret|token|key|credential|auth|bearer|signature|salt|dsn|connection)[A-Za-z0-9_$.\-]*[\"'`]?\s*(?:\)\s*)?(?::=|=>|[:=]|>)|[\"'][^\"'\n]*(?:pass|pwd|secret|token|key|credential|auth)[^\"'\n]*[\"']\s*(?:[:,\]]|=>)", re.IGNORECASE | re.ASCII)
+WORTH = re.compile(r"(?:pass|pwd|secret|token|key|credential|auth|bearer|signature|salt|dsn|connection)[A-Za-z0-9_$.\-]*[\"'`]?\s*(?:\)\s*)?(?::=|=>|[:=]|>)|[\"'][^\"'\n]*(?:pass|pwd|secret|token|key|credential|auth)[^\"'\n]*[\"']\s*(?:[:,\]]|=>)|(?<!\w)--?[A-Za-z0-9_.\-]*(?:pass|pwd|secret|token|key|credential|auth|dsn)[A-Za-z0-9_.\-]*\s", re.IGNORECASE | re.ASCII)
 XML = re.compile(r"<(?P<name>[A-Za-z_][A-Za-z0-9_.:-]*)(?:\s[^<>\n]*)?>(?P<value>[^<>\n]+)</(?P=name)>|<add\s+key=\"(?P<key>[^\"\n]+)\"\s+value=\"(?P<setting>[^\"\n]+)\"", re.ASCII)
 #: A binding at the start of a line or behind a declaration word, whose constant may be used later.
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -100,9 +106,13 @@ def pairs(text: str, start: int = 0, known: dict[str, _Literal] | None = None) -
     """(name, literal) pairs of a piece of text, in order; known holds constants and gains those found."""
     known = {} if known is None else known
     lexemes = [(m.lastgroup, m.group(), m.start() + start, m.end() + start) for m in LEXEME.finditer(text)]
+    for kind, got, a, _ in lexemes:
+        if kind == "string" and ("-" in got or ":" in got):
+            for m in INSIDE.finditer(got[1:-1]):
+                yield m["header"] or m["option"], _Literal(m["value"], [(a + 1 + m.start("value"), a + 1 + m.end("value"))])
     i, n = 0, len(lexemes)
     while i < n:
-        kind, got, _, _ = lexemes[i]
+        kind, got, a, b = lexemes[i]
         if kind not in ("name", "string"):
             i += 1
             continue
@@ -111,25 +121,47 @@ def pairs(text: str, start: int = 0, known: dict[str, _Literal] | None = None) -
             j += 1
         if j < n and lexemes[j][1] == ":" and kind == "name" and j + 2 < n and lexemes[j + 1][0] == "name" and lexemes[j + 2][1] == "=":
             j += 2  # a type between name and value
+        dashed = kind == "name" and i > 0 and lexemes[i - 1][0] == "option" and lexemes[i - 1][3] == a
         if j >= n or lexemes[j][0] != "bind" or lexemes[j][1] in ("==", "!=", "<=", ">="):
+            option = OPTION.fullmatch(got, 1, len(got) - 1) if kind == "string" else None
+            if option and j + 1 < n and lexemes[j][1] == "," and lexemes[j + 1][0] == "string":
+                yield option["name"], _literal(lexemes[j + 1][1][1:-1], lexemes[j + 1][2] + 1)
+            elif dashed and j == i + 1 and j < n and lexemes[j][0] in ("string", "name", "bare") and text[b - start] in " \t\\" and not lexemes[j][1].startswith("-") and name_score(got) > 0 and not (j + 1 < n and lexemes[j + 1][0] == "bind"):
+                value, j = _value(text, start, lexemes, j, known)
+                if value is not None:
+                    yield got, value
+                i = j
             i += 1
             continue
         name = got[1:-1] if kind == "string" else got
         value, j = _value(text, start, lexemes, j + 1, known)
-        if value is not None and name:
+        if value is not None and name and dashed:  # an option is no constant
+            yield name, value
+        elif value is not None and name:
             known[name] = _Literal(value.value, value.spans, (*value.names, name)[-4:])
             yield name, value
         i = max(j, i + 1)
 
 
+def _literal(content: str, a: int) -> _Literal:
+    """The literal of a string's content at a; of a scheme word and a credential, the credential."""
+    m = SCHEME.match(content)
+    if m and m.end() < len(content):
+        a += m.end()
+        content = content[m.end() :].rstrip()
+    return _Literal(content, [(a, a + len(content))])
+
+
 def _value(text: str, start: int, lexemes: list[tuple], j: int, known: dict[str, _Literal]) -> tuple[_Literal | None, int]:
     """The constant value that starts at lexeme j (joined literals and known names), and the next lexeme."""
     parts: list[_Literal] = []
     while j < len(lexemes):
         kind, got, a, b = lexemes[j]
         if kind == "string":
-            parts.append(_Literal(got[1:-1], [(a + 1, b - 1)]))
-        elif kind in ("name", "bare"):
+            parts.append(_literal(got[1:-1], a + 1))
+        elif kind == "option" and j + 2 < len(lexemes) and lexemes[j + 1][0] == "name" and lexemes[j + 2][0] == "bind":
+            return None, j
+        elif kind in ("name", "bare", "option"):
             if kind == "name" and j + 1 < len(lexemes) and lexemes[j + 1][1] == "(":
                 return _call(lexemes, j)
             if kind == "name" and got in known:
@@ -137,7 +169,11 @@ def _value(text: str, start: int, lexemes: list[tuple], j: int, known: dict[str,
             elif parts:
                 return None, j + 1
             else:  # unquoted, as in configuration files: up to white space or a closing sign
-                m = BARE.match(text, a - start)
+                m = SCHEME.match(text, a - start)
+                m = BARE.match(text, m.end()) if m else None
+                if m:
+                    a = m.start() + start
+                m = m or BARE.match(text, a - start)
                 end = (m.end() if m else b - start) + start
                 raw = text[a - start : end - start].rstrip(".,;")
                 while j < len(lexemes) and lexemes[j][2] < end:
@@ -150,6 +186,8 @@ def _value(text: str, start: int, lexemes: list[tuple], j: int, known: dict[str,
             continue
         j += 1
         break
+    if len(parts) > 1 and SCHEME.fullmatch(parts[0].value):
+        del parts[0]
     if not parts:
         return None, j
     return _Literal("".join(p.value for p in parts), [s for p in parts for s in p.spans], tuple(x for p in parts for x in p.names)), j
@@ -183,7 +221,7 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
         known: dict[str, _Literal] = {}
         at = 0
         for line in text.split("\n"):
-            if "=" in line or ":" in line:
+            if "=" in line or ":" in line or "-" in line:
                 for name, value in pairs(line, at, known):
                     best = max(name_score(x) for x in (name, *value.names))
                     if best > 0 and best + literal_score(value.value) >= THRESHOLD:

@@ -152,6 +152,29 @@ def test_lexer(text, found):
     assert [text[a:b] for a, b in secrets.lexed_spans(text)] == found
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("tool --aws-secret-access-key=wJalrXUtnFEMI/K7MDENG x", ["wJalrXUtnFEMI/K7MDENG"]),
+        ("java -Ddb.pwd=f00b4r-9917-Q -jar a.jar", ["f00b4r-9917-Q"]),
+        ("mysql --db-pwd f00b4r-9917-Q -u x", ["f00b4r-9917-Q"]),
+        ("OPTS=-Ddb.pwd=f00b4r-9917-Q", ["f00b4r-9917-Q"]),
+        ('OPTS="-Xmx1g -Ddb.pwd=f00b4r-9917-Q"', ["f00b4r-9917-Q"]),
+        ('args: ["--db-pwd", "f00b4r-9917-Q"]', ["f00b4r-9917-Q"]),
+        ("Authorization: Bearer eyJhbGciOi.J9x7Qw2", ["eyJhbGciOi.J9x7Qw2"]),
+        ('{"Authorization": "Bearer eyJhbGciOi.J9x7Qw2"}', ["eyJhbGciOi.J9x7Qw2"]),
+        ('h["Authorization"] = "Bearer " + "eyJhbGciOi.J9x7Qw2"', ["eyJhbGciOi.J9x7Qw2"]),
+        ('curl -H "Authorization: Basic ZGV2OmYwMGI0cg==" http://x', ["ZGV2OmYwMGI0cg=="]),
+        ("Authorization: token ghx_16C7e42F292c", ["ghx_16C7e42F292c"]),
+        ("The two-token rule --secret of life", []),
+        ("Authorization: Basic knowledge", []),
+        ("tool --verbose --token --key", []),
+    ],
+)
+def test_lexer_of_options_and_headers(text, found):
+    assert [text[a:b] for a, b in secrets.lexed_spans(text)] == found
+
+
 def test_redaction():
     text = 'a token = "0123456789abcdef0" b'
     assert secrets.redact(text, secrets.scan(text)[4]) == "a [SECRET]\" b" and secrets.redact(None, "") is None
