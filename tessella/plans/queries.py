@@ -22,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: File names that documents get by doc_id modulo 14, in order; {} is the doc_id.
 NAMES = ("{}.py", "{}/README.md", "{}.png", "{}.TS", "node_modules/{}.js", "{}/yarn.lock", "../../{}.py", "a/../{}.go", "x.egg-info/{}.txt", ".env", "{}.R", "{}/Makefile", "{}/config.py", "..{}/x.rs")
-#: Files of a project that the capped queries keep: low enough to bite on small tables.
+#: Files of a project that the capped queries keep: low enough to bite on small tables. Their _default forms keep MAX_FILES.
 CAP = 20
 #: A low quota, which these events reach.
 QUOTA = 3
@@ -66,8 +66,11 @@ c AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY project ORDER BY o
 k AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY CASE WHEN {_config('path')} THEN 0 ELSE 1 END, path, ord) AS rank FROM c)"""
 
 
-def ranked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.rank(scan.cap(scan.scan_upload(uploads(spark, sf_dir)), CAP))
+_ranked_default = _ranked.replace(f"<= {CAP})", f"<= {v.MAX_FILES})")
+
+
+def ranked_files(spark: SparkSession, sf_dir: str, most: int = CAP) -> DataFrame:
+    return scan.rank(scan.cap(scan.scan_upload(uploads(spark, sf_dir)), most))
 
 
 # --- queries -----------------------------------------------------------------------------------
@@ -75,8 +78,12 @@ def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.scan_upload(uploads(spark, sf_dir)).select("project", "ord", "path", "size", "language", "preview")
 
 
-def project_rank_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked_files(spark, sf_dir).select("project", "ord", "path", F.col("rank").cast("long").alias("rank"))
+def project_rank_cap(spark: SparkSession, sf_dir: str, most: int = CAP) -> DataFrame:
+    return ranked_files(spark, sf_dir, most).select("project", "ord", "path", F.col("rank").cast("long").alias("rank"))
+
+
+def project_rank_cap_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project_rank_cap(spark, sf_dir, v.MAX_FILES)
 
 
 def content_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,11 +94,19 @@ def overview_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.overview_keys(ranked_files(spark, sf_dir))
 
 
-def project_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = scan.project_meta(ranked_files(spark, sf_dir))
+def overview_key_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keys.overview_keys(ranked_files(spark, sf_dir, v.MAX_FILES))
+
+
+def project_meta(spark: SparkSession, sf_dir: str, most: int = CAP) -> DataFrame:
+    meta = scan.project_meta(ranked_files(spark, sf_dir, most))
     return meta.select("project", "total_files", "total_size", F.array_join(F.transform("files", lambda f: F.concat(f["path"], F.lit(":"), f["language"], F.lit(":"), f["preview"])), "|").alias("files"))
 
 
+def project_meta_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project_meta(spark, sf_dir, v.MAX_FILES)
+
+
 def reject_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = uploads(spark, sf_dir)
     return u.select("ord", scan.upload_reject_reason().alias("upload_reason"), F.coalesce(F.when(t.in_skipped_dir("path"), F.lit("directory")), F.when(t.is_skipped_extension("path"), F.lit("extension")), F.when(F.octet_length("content") > v.MAX_FILE_SIZE, F.lit("too_large")), F.when(F.octet_length("content") == 0, F.lit("empty")), F.when(t.is_binary(F.encode("content", "UTF-8")), F.lit("binary"))).alias("tree_reason"), scan.client_reject_reason().alias("client_reason"))
@@ -167,6 +182,10 @@ def overview_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.overview_prompts(ranked_files(spark, sf_dir))
 
 
+def overview_prompt_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prompts.overview_prompts(ranked_files(spark, sf_dir, v.MAX_FILES))
+
+
 def annotation_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = scan.scan_upload(uploads(spark, sf_dir))
     return files.select("ord", prompts.annotation_prompt().alias("prompt"), F.md5(prompts.annotation_prompt(most=PAIR_LINES)).alias("short_prompt_md5"))
@@ -230,7 +249,7 @@ def ui_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(names, "project").select("ord", scan.client_path().alias("client_path"), t.client_ip("forwarded", "host").alias("client_ip"), t.importance_bucket("importance").alias("icon"), t.highlight_language(t.language("path")).alias("highlight"), scan.client_reject_reason().alias("client_reason"), "project_name")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (file_scan, project_rank_cap, content_key, overview_key, project_meta, reject_audit, file_content_lookup, language_histogram, quota_daily, quota_daily_default, quota_counts, ttl_cache_replay, cache_upsert, cache_lookup, annotation_lookup, annotation_labels, overview_prompt, annotation_prompt, url_parse, html_preview, json_extract, chunk_assembly, sse_roundtrip, completed_annotations, ui_columns)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (file_scan, project_rank_cap, content_key, overview_key, project_meta, reject_audit, file_content_lookup, language_histogram, quota_daily, quota_daily_default, quota_counts, ttl_cache_replay, cache_upsert, cache_lookup, annotation_lookup, annotation_labels, overview_prompt, annotation_prompt, url_parse, html_preview, json_extract, chunk_assembly, sse_roundtrip, completed_annotations, ui_columns, project_rank_cap_default, overview_key_default, project_meta_default, overview_prompt_default)}
 
 _client = rf"""CASE WHEN strlen(content) > {v.MAX_FILE_SIZE} THEN 'too_large' WHEN starts_with({_name('path')}, '.') THEN 'dot_file' WHEN contains(content, chr(0)) THEN 'binary' END"""
 _notes = f"""n AS (SELECT ord AS doc_id, unnest(range(1, len({_lines('content')}) + 1)) AS line FROM u),
@@ -289,3 +308,5 @@ SELECT page_id, regexp_matches(link, '^https?://github\.com/.+/.+') AS is_repo,
 SELECT ord, CASE WHEN ord % 4 < 2 THEN path ELSE {_name('path')} END AS client_path, CASE WHEN ord % 3 = 0 THEN '10.0.0.' || ord % 250 WHEN ord % 2 = 0 THEN '192.168.0.1' ELSE 'unknown' END AS client_ip,
   ['high', 'medium', 'other', 'other'][ord % 4 + 1] AS icon, CASE WHEN {_language('path')} IN ({_list(v.HIGHLIGHTED)}) THEN {_language('path')} ELSE 'text' END AS highlight, {_client} AS client_reason, project_name FROM u JOIN pn USING (project)""",
 }
+#: The same queries with the full number of files to a project.
+SQL |= {f"{name}_default": SQL[name].replace(_ranked, _ranked_default) for name in ("project_rank_cap", "overview_key", "project_meta", "overview_prompt")}

@@ -132,6 +132,28 @@ def test_query_against_sql(spark, name):
     assert norm(tuple(r[c] for c in cols) for r in got.collect()) == norm(want.select(*[f'"{c}"' for c in cols]).fetchall())
 
 
+@pytest.mark.parametrize("name", ["project_rank_cap", "overview_key", "project_meta", "overview_prompt"])
+def test_default_forms_keep_500_files(spark, tmp_path, name):
+    import duckdb
+
+    rows = [(i, f"text {i}", "src1" if i < 700 else "src2") for i in range(740)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = plans.QUERIES[f"{name}_default"](spark, str(tmp_path))
+    cols = sorted(got.columns)
+    rows = sorted(tuple(r[c] for c in cols) for r in got.collect())
+    assert rows == sorted(con.sql(plans.SQL[f"{name}_default"]).select(*[f'"{c}"' for c in cols]).fetchall())
+    files = {p: sum(i % 14 not in (2, 5, 6) for i in ids) for p, ids in (("src1", range(700)), ("src2", range(700, 740)))}
+    assert files["src1"] > 500 and files["src2"] > plans.CAP
+    kept = {p: min(n, 500) for p, n in files.items()}
+    if name == "project_meta":
+        assert {r.project: r.total_files for r in got.collect()} == kept
+    if name == "overview_prompt":
+        assert {r.project: r.prompt.count("\n### ") for r in got.collect()} == kept
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
