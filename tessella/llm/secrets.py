@@ -4,7 +4,8 @@ The lexer reads source and configuration syntax into pairs of a name and a liter
 (`=`, `:=`, `:`, `=>`), quoted keys, call arguments by keyword, `export` and `-D`/`--name` options,
 header lines and XML or INI entries. Constants are propagated: a name that was bound to a literal, a
 concatenation of literals and such names, and defaults of environment look-ups stand for their
-values. A literal is scored by its target name (and the names it passed through) and by its form.
+values. Values go on over line ends behind a binding or a join sign, within brackets, behind a
+backslash, and in triple-quoted and block strings. A literal is scored by its target name (and the names it passed through) and by its form.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -46,25 +48,32 @@ THRESHOLD = 6
 
 #: One token of source or configuration text.
 LEXEME = re.compile(
-    r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
+    r"""(?P<string>"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*'|`[^`\n]*`)
     |(?P<option>(?<![A-Za-z0-9+/_.~)\]-])(?:-D|--?)(?=[A-Za-z_]))
     |(?P<name>[A-Za-z_$][A-Za-z0-9_$]*(?:[.-][A-Za-z_$][A-Za-z0-9_$]*)*)
     |(?P<bind>:=|=>|==|!=|<=|>=|[:=](?!=))
     |(?P<join>\+|\.\.(?!\.)|(?<=\s)\.(?=\s)|\|\||\?\?)
     |(?P<open>[(\[{,;])|(?P<close>[)\]}])
-    |(?P<line>\n)
+    |(?P<line>(?<!\\)(?<!\\\r)\n)
     |(?P<bare>[A-Za-z0-9+/_=.~-]+)""",
     re.VERBOSE | re.ASCII,
 )
 #: What an unquoted value consists of.
 BARE = re.compile(r"[A-Za-z0-9+/_.=~!@$%^&*-]+", re.ASCII)
+#: Values in several lines: a line that goes on, a triple-quoted string, the head of a block, and a line of settings.
+GOES_ON = re.compile(r"\\\r?\n[ \t]*")
+TRIPLE = re.compile(r'"""([\s\S]*?)"""|\'\'\'([\s\S]*?)\'\'\'')
+BLOCK = re.compile(r"[ \t]*[|>][+-]?[0-9]?[+-]?[ \t]*(?:#[^\n]*)?\r?\n")
+SETTING = re.compile(r"""["']?[A-Za-z_][A-Za-z0-9_.-]*["']?(?::?=|:(?!//))["']?[^=\s]""", re.ASCII)
+BOUND = re.compile(r"""["']?[ \t]*(?::?=|:)""")
+ARMOR = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]+-----")
 #: Options with their value behind white space or as the next string, and header lines and options within a string.
 OPTION = re.compile(r"--?(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)", re.ASCII)
 INSIDE = re.compile(r"""(?:(?:\A|(?<=["']))(?P<header>[A-Za-z][A-Za-z0-9-]*):[ \t]*(?:(?:Bearer|Basic|Token|ApiKey)[ \t]+)?|(?<![^\s"'])(?:-D|--?)(?P<option>[A-Za-z_][A-Za-z0-9_.-]*)(?:=|[ \t]+(?!-)))(?P<value>[^\s"'`\\,;]+)""", re.IGNORECASE | re.ASCII)
 #: Words before a credential.
 SCHEME = re.compile(r"\s*(?:Bearer|Basic|Token|ApiKey)[ \t]+", re.IGNORECASE | re.ASCII)
 #: Lines worth lexing hold a bound name part of SENSITIVE; constants may be bound on any line with a binding.
-WORTH = re.compile(r"(?:pass|pwd|secret|token|key|credential|auth|bearer|signature|salt|dsn|connection)[A-Za-z0-9_$.\-]*[\"'`]?\s*(?:\)\s*)?(?::=|=>|[:=]|>)|[\"'][^\"'\n]*(?:pass|pwd|secret|token|key|credential|auth)[^\"'\n]*[\"']\s*(?:[:,\]]|=>)|(?<!\w)--?[A-Za-z0-9_.\-]*(?:pass|pwd|secret|token|key|credential|auth|dsn)[A-Za-z0-9_.\-]*\s", re.IGNORECASE | re.ASCII)
+WORTH = re.compile(r"(?:pass|pwd|secret|token|key|credential|auth|bearer|signature|salt|dsn|connection)[A-Za-z0-9_$.\-]*[\"'`]?\s*(?:\)\s*)?(?::=|=>|[:=]|>)|[\"'][^\"'\n]*(?:pass|pwd|secret|token|key|credential|auth)[^\"'\n]*[\"']\s*(?:[:,\]]|=>)|(?<![\w.\-])--?(?=[A-Za-z])[A-Za-z0-9_.\-]*(?:pass|pwd|secret|token|key|credential|auth|dsn)[A-Za-z0-9_.\-]*\s", re.IGNORECASE | re.ASCII)
 XML = re.compile(r"<(?P<name>[A-Za-z_][A-Za-z0-9_.:-]*)(?:\s[^<>\n]*)?>(?P<value>[^<>\n]+)</(?P=name)>|<add\s+key=\"(?P<key>[^\"\n]+)\"\s+value=\"(?P<setting>[^\"\n]+)\"", re.ASCII)
 #: A binding at the start of a line or behind a declaration word, whose constant may be used later.
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -110,6 +119,12 @@ def pairs(text: str, start: int = 0, known: dict[str, _Literal] | None = None) -
         if kind == "string" and ("-" in got or ":" in got):
             for m in INSIDE.finditer(got[1:-1]):
                 yield m["header"] or m["option"], _Literal(m["value"], [(a + 1 + m.start("value"), a + 1 + m.end("value"))])
+    closing, opened = {}, []
+    for k, lexeme in enumerate(lexemes):
+        if lexeme[1] == "(":
+            opened.append(k)
+        elif lexeme[1] == ")" and opened:
+            closing[opened.pop()] = k
     i, n = 0, len(lexemes)
     while i < n:
         kind, got, a, b = lexemes[i]
@@ -127,14 +142,14 @@ def pairs(text: str, start: int = 0, known: dict[str, _Literal] | None = None) -
             if option and j + 1 < n and lexemes[j][1] == "," and lexemes[j + 1][0] == "string":
                 yield option["name"], _literal(lexemes[j + 1][1][1:-1], lexemes[j + 1][2] + 1)
             elif dashed and j == i + 1 and j < n and lexemes[j][0] in ("string", "name", "bare") and text[b - start] in " \t\\" and not lexemes[j][1].startswith("-") and name_score(got) > 0 and not (j + 1 < n and lexemes[j + 1][0] == "bind"):
-                value, j = _value(text, start, lexemes, j, known)
+                value, j = _value(text, start, lexemes, j, known, closing, a)
                 if value is not None:
                     yield got, value
                 i = j
             i += 1
             continue
         name = got[1:-1] if kind == "string" else got
-        value, j = _value(text, start, lexemes, j + 1, known)
+        value, j = _value(text, start, lexemes, j + 1, known, closing, a)
         if value is not None and name and dashed:  # an option is no constant
             yield name, value
         elif value is not None and name:
@@ -144,26 +159,149 @@ def pairs(text: str, start: int = 0, known: dict[str, _Literal] | None = None) -
 
 
 def _literal(content: str, a: int) -> _Literal:
-    """The literal of a string's content at a; of a scheme word and a credential, the credential."""
+    """The literal of a string's content at a, without escaped line ends; of a scheme word and a credential, the credential."""
     m = SCHEME.match(content)
     if m and m.end() < len(content):
         a += m.end()
         content = content[m.end() :].rstrip()
-    return _Literal(content, [(a, a + len(content))])
+    pieces, at = [], 0
+    for m in GOES_ON.finditer(content):
+        pieces.append((at, m.start()))
+        at = m.end()
+    pieces.append((at, len(content)))
+    return _Literal("".join(content[x:y] for x, y in pieces), [(a + x, a + y) for x, y in pieces])
+
+
+def _lines(content: str, a: int) -> _Literal | None:
+    """The literal of the lines at a, a word each; lines of words or of settings are none. Armor is left out."""
+    value, spans = [], []
+    for line in content.split("\n"):
+        word = line.strip().removesuffix("\\").rstrip()
+        m = SCHEME.match(word)
+        skip = m.end() if m and not value else 0
+        if word and not ARMOR.fullmatch(word):
+            x = a + len(line) - len(line.lstrip()) + skip
+            word = word[skip:]
+            if any(c.isspace() for c in word) or SETTING.match(word):
+                return None
+            value.append(word)
+            spans.append((x, x + len(word)))
+        a += len(line) + 1
+    return _Literal("".join(value), spans) if value else None
+
+
+def _block(text: str, at: int, begin: int, start: int) -> _Literal | None:
+    """The literal of a block: the lines from begin on that stand deeper than the name at at."""
+    deep, end = at - (text.rfind("\n", 0, at) + 1), begin
+    while end < len(text):
+        stop = text.find("\n", end)
+        stop = len(text) if stop < 0 else stop
+        line = text[end:stop]
+        if line.strip() and len(line) - len(line.lstrip()) <= deep:
+            break
+        end = stop + 1
+    return _lines(text[begin:end], begin + start)
 
 
-def _value(text: str, start: int, lexemes: list[tuple], j: int, known: dict[str, _Literal]) -> tuple[_Literal | None, int]:
-    """The constant value that starts at lexeme j (joined literals and known names), and the next lexeme."""
-    parts: list[_Literal] = []
+def _over(text: str, start: int, lexemes: list[tuple], j: int) -> int:
+    """The next lexeme from j on behind line ends and what is noted in front of them."""
     while j < len(lexemes):
+        kind, got, a, _ = lexemes[j]
+        before = text[lexemes[j - 1][3] - start : a - start] if j else ""
+        if kind == "line":
+            j += 1
+        elif "# " in before or got == "//":
+            stop = text.find("\n", a - start)
+            if stop < 0:
+                return len(lexemes)
+            j = bisect_left(lexemes, stop + start, j + 1, key=lambda x: x[2])
+        else:
+            break
+    return j
+
+
+def _starts(text: str, start: int, lexemes: list[tuple], j: int, known: dict[str, _Literal], closing: dict[int, int], at: int) -> bool:
+    """Whether the lexeme j, on a later line than the name at at, is that name's value."""
+    n = len(lexemes)
+    if j >= n:
+        return False
+    kind, got, a, b = lexemes[j]
+    follows = lexemes[j + 1] if j + 1 < n else ("line", "", 0, 0)
+    if kind == "string":
+        return follows[0] != "bind"
+    if kind == "open":
+        return got == "(" and j in closing
+    line = text.rfind("\n", 0, at - start) + 1
+    indent = len(text[line : at - start]) - len(text[line : at - start].lstrip())
+    if kind not in ("name", "bare") or a - start - (text.rfind("\n", 0, a - start) + 1) <= indent:
+        return False
+    if kind == "name" and follows[1] == "(":
+        return j + 1 in closing
+    if kind == "name" and got in known:
+        return follows[0] != "bind"
+    m = SCHEME.match(text, a - start)
+    m = BARE.match(text, m.end() if m else a - start)
+    if not m:
+        return False
+    stop = text.find("\n", m.end())
+    rest = text[m.end() : stop if stop >= 0 else len(text)].strip()
+    return not SETTING.match(m.group()) and (not rest or rest[0] in "#;,\\")
+
+
+def _bracketed(text: str, start: int, lexemes: list[tuple], j: int, known: dict[str, _Literal], closing: dict[int, int]) -> tuple[list[_Literal], int] | None:
+    """The literals between the bracket j and its end, if there is nothing but literals, known names and join signs."""
+    parts, end, k = [], closing[j], _over(text, start, lexemes, j + 1)
+    while k < end:
+        kind, got, a, _ = lexemes[k]
+        if kind == "string":
+            m = TRIPLE.match(text, a - start)
+            part = _lines(m[m.lastindex], start + m.start(m.lastindex)) if m else _literal(got[1:-1], a + 1)
+            if part is None:
+                return None
+            parts.append(part)
+            while m and k + 1 < end and lexemes[k + 1][2] < start + m.end():
+                k += 1
+        elif kind == "name" and got in known and lexemes[k + 1][1] != "(":
+            parts.append(known[got])
+        elif kind != "join" and got not in "()":
+            return None
+        k = _over(text, start, lexemes, k + 1)
+    return (parts, end + 1) if parts else None
+
+
+def _value(text: str, start: int, lexemes: list[tuple], j: int, known: dict[str, _Literal], closing: dict[int, int], at: int) -> tuple[_Literal | None, int]:
+    """The constant value that starts at lexeme j (joined literals and known names) and belongs to the name at at, and the next lexeme."""
+    n, bind, first = len(lexemes), lexemes[j - 1], j
+    block = BLOCK.match(text, bind[3] - start) if bind[1] == ":" else None
+    if block:  # what stands in it is lexed on its own, too
+        return _block(text, at - start, block.end(), start), j
+    j = _over(text, start, lexemes, j)
+    if j > first and not _starts(text, start, lexemes, j, known, closing, at):
+        j = first
+    spaced = text[bind[3] - start : bind[3] - start + 1].isspace() and bind[1] != ":"
+    parts: list[_Literal] = []
+    crossed, run = False, 0
+    while j < n:
         kind, got, a, b = lexemes[j]
+        if parts and crossed and j + 1 < n and lexemes[j + 1][0] == "bind":
+            break
         if kind == "string":
+            m = TRIPLE.match(text, a - start)
+            if m and parts and crossed:
+                break
+            if m and not parts:
+                return _lines(m[m.lastindex], start + m.start(m.lastindex)), j + 1
             parts.append(_literal(got[1:-1], a + 1))
-        elif kind == "option" and j + 2 < len(lexemes) and lexemes[j + 1][0] == "name" and lexemes[j + 2][0] == "bind":
+        elif kind == "open" and got == "(" and j in closing and (inner := _bracketed(text, start, lexemes, j, known, closing)):
+            parts += inner[0]
+            j = inner[1] - 1
+        elif kind == "option" and j + 2 < n and lexemes[j + 1][0] == "name" and lexemes[j + 2][0] == "bind":
             return None, j
         elif kind in ("name", "bare", "option"):
-            if kind == "name" and j + 1 < len(lexemes) and lexemes[j + 1][1] == "(":
-                return _call(lexemes, j)
+            if parts and crossed and not (kind == "name" and got in known):
+                break
+            if kind == "name" and j + 1 < n and lexemes[j + 1][1] == "(":
+                return _call(lexemes, j, closing)
             if kind == "name" and got in known:
                 parts.append(known[got])
             elif parts:
@@ -174,15 +312,31 @@ def _value(text: str, start: int, lexemes: list[tuple], j: int, known: dict[str,
                 if m:
                     a = m.start() + start
                 m = m or BARE.match(text, a - start)
-                end = (m.end() if m else b - start) + start
-                raw = text[a - start : end - start].rstrip(".,;")
-                while j < len(lexemes) and lexemes[j][2] < end:
+                end = m.end() if m else b - start
+                pieces = [(a - start, end)]
+                while (m := GOES_ON.match(text, end)) and (word := BARE.match(text, m.end())) and not (m.group()[-1] != "\n" and word.group()[0] == "-" or SETTING.match(word.group()) or BOUND.match(text, word.end())):
+                    end = word.end()
+                    pieces.append(word.span())
+                raw = [text[x:y] for x, y in pieces]
+                raw[-1] = raw[-1].rstrip(".,;")
+                while j < n and lexemes[j][2] < pieces[0][1] + start:
                     j += 1
-                return _Literal(raw, [(a, a + len(raw))]), j
+                return _Literal("".join(raw), [(x + start, x + start + len(r)) for (x, _), r in zip(pieces, raw)]), j
+        elif parts and crossed:
+            break
         else:
             return None, j
-        if j + 1 < len(lexemes) and lexemes[j + 1][0] == "join":
-            j += 2
+        k = _over(text, start, lexemes, j + 1)
+        if j + 1 < n and lexemes[j + 1][0] == "join":
+            j, k = _over(text, start, lexemes, j + 2), j + 2
+            crossed = j > k
+            continue
+        whole = k < n and (k + 1 == n or lexemes[k + 1][0] != "bind")
+        if k > j + 1 and k + 1 < n and lexemes[k][1] in ("+", ".", "..") and (lexemes[k + 1][0] == "string" or lexemes[k + 1][1] in known) and (k + 2 == n or lexemes[k + 2][0] != "bind"):
+            j, crossed = k + 1, True  # the join sign leads the next line
+            continue
+        if whole and spaced and lexemes[k][0] == "string" and kind == "string" and (k < run or (run := _adjacent(text, start, lexemes, j, k))):
+            j, crossed = k, True
             continue
         j += 1
         break
@@ -193,21 +347,24 @@ def _value(text: str, start: int, lexemes: list[tuple], j: int, known: dict[str,
     return _Literal("".join(p.value for p in parts), [s for p in parts for s in p.spans], tuple(x for p in parts for x in p.names)), j
 
 
-def _call(lexemes: list[tuple], j: int) -> tuple[_Literal | None, int]:
+def _adjacent(text: str, start: int, lexemes: list[tuple], j: int, k: int) -> int:
+    """The end of the strings from k on that go on with the string j: behind a backslash, or to a ; or , on later lines; else 0."""
+    if k == j + 1:
+        return k + 1 if GOES_ON.search(text, lexemes[j][3] - start, lexemes[k][2] - start) else 0
+    while k < len(lexemes) and lexemes[k][0] == "string":
+        last, k = k, _over(text, start, lexemes, k + 1)
+    return k if k == last + 1 and k < len(lexemes) and lexemes[k][1] in (";", ",") else 0
+
+
+def _call(lexemes: list[tuple], j: int, closing: dict[int, int]) -> tuple[_Literal | None, int]:
     """An environment look-up with a default, or another call: its last string argument if it looks up or decodes."""
     name = lexemes[j][1].lower()
-    k, depth, last = j + 1, 0, None
-    while k < len(lexemes):
-        kind, got, a, b = lexemes[k]
-        depth += got == "("
-        depth -= got == ")"
-        if depth == 0 or kind == "line":
-            break
-        if kind == "string":
-            last = (k, _Literal(got[1:-1], [(a + 1, b - 1)]))
-        k += 1
-    if last and (re.search(r"getenv|environ|env\.get|config|decode|bytes|string|encode", name)) and last[0] > j + 2:
-        return last[1], k + 1
+    if re.search(r"getenv|environ|env\.get|config|decode|bytes|string|encode", name):
+        line = next((k for k in range(j, len(lexemes)) if lexemes[k][0] == "line"), len(lexemes))
+        for k in range(closing.get(j + 1, line) - 1, j + 2, -1):
+            bound = k > line and lexemes[k - 1][0] == "bind" and lexemes[k - 2][1].lower() not in ("default", "fallback")
+            if lexemes[k][0] == "string" and not bound:
+                return _literal(lexemes[k][1][1:-1], lexemes[k][2] + 1), j + 2
     return None, j + 2  # what stands between the brackets is lexed on its own
 
 
@@ -218,15 +375,10 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
         if "<" not in text:
             return []
     else:
-        known: dict[str, _Literal] = {}
-        at = 0
-        for line in text.split("\n"):
-            if "=" in line or ":" in line or "-" in line:
-                for name, value in pairs(line, at, known):
-                    best = max(name_score(x) for x in (name, *value.names))
-                    if best > 0 and best + literal_score(value.value) >= THRESHOLD:
-                        found.update(value.spans)
-            at += len(line) + 1
+        for name, value in pairs(text):
+            best = max(name_score(x) for x in (name, *value.names))
+            if best > 0 and best + literal_score(value.value) >= THRESHOLD:
+                found.update(value.spans)
     if "<" in text:
         for m in XML.finditer(text):
             name, group = (m["name"], "value") if m["name"] else (m["key"], "setting")
