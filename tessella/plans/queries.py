@@ -201,9 +201,13 @@ def url_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(spark, sf_dir).select("page_id", t.is_repo_url("link").alias("is_repo"), parts["owner"].alias("owner"), parts["repo"].alias("repo"), t.clone_url("link").alias("clone_url"), t.clone_folder("link").alias("folder"), t.repo_name("link").alias("name"), t.repo_name("url").alias("page_name"))
 
 
-def html_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+def html_preview(spark: SparkSession, sf_dir: str, most: int = PAIR_LINES) -> DataFrame:
     pages = table(spark, sf_dir, "pages").withColumn("html", F.coalesce("html", F.lit("")))
-    return pages.select("page_id", t.first_lines("html", PAIR_LINES).alias("preview"), F.size(t.splitlines("html")).alias("lines"), t.strip("html").alias("stripped"))
+    return pages.select("page_id", t.first_lines("html", most).alias("preview"), F.size(t.splitlines("html")).alias("lines"), t.strip("html").alias("stripped"))
+
+
+def html_preview_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_preview(spark, sf_dir, v.PREVIEW_LINES)
 
 
 def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +253,7 @@ def ui_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(names, "project").select("ord", scan.client_path().alias("client_path"), t.client_ip("forwarded", "host").alias("client_ip"), t.importance_bucket("importance").alias("icon"), t.highlight_language(t.language("path")).alias("highlight"), scan.client_reject_reason().alias("client_reason"), "project_name")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (file_scan, project_rank_cap, content_key, overview_key, project_meta, reject_audit, file_content_lookup, language_histogram, quota_daily, quota_daily_default, quota_counts, ttl_cache_replay, cache_upsert, cache_lookup, annotation_lookup, annotation_labels, overview_prompt, annotation_prompt, url_parse, html_preview, json_extract, chunk_assembly, sse_roundtrip, completed_annotations, ui_columns, project_rank_cap_default, overview_key_default, project_meta_default, overview_prompt_default)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (file_scan, project_rank_cap, content_key, overview_key, project_meta, reject_audit, file_content_lookup, language_histogram, quota_daily, quota_daily_default, quota_counts, ttl_cache_replay, cache_upsert, cache_lookup, annotation_lookup, annotation_labels, overview_prompt, annotation_prompt, url_parse, html_preview, json_extract, chunk_assembly, sse_roundtrip, completed_annotations, ui_columns, project_rank_cap_default, overview_key_default, project_meta_default, overview_prompt_default, html_preview_default)}
 
 _client = rf"""CASE WHEN strlen(content) > {v.MAX_FILE_SIZE} THEN 'too_large' WHEN starts_with({_name('path')}, '.') THEN 'dot_file' WHEN contains(content, chr(0)) THEN 'binary' END"""
 _notes = f"""n AS (SELECT ord AS doc_id, unnest(range(1, len({_lines('content')}) + 1)) AS line FROM u),
@@ -310,3 +314,4 @@ SELECT ord, CASE WHEN ord % 4 < 2 THEN path ELSE {_name('path')} END AS client_p
 }
 #: The same queries with the full number of files to a project.
 SQL |= {f"{name}_default": SQL[name].replace(_ranked, _ranked_default) for name in ("project_rank_cap", "overview_key", "project_meta", "overview_prompt")}
+SQL["html_preview_default"] = SQL["html_preview"].replace(f"1, {PAIR_LINES})", f"1, {v.PREVIEW_LINES})")

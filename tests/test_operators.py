@@ -154,6 +154,18 @@ def test_default_forms_keep_500_files(spark, tmp_path, name):
         assert {r.project: r.prompt.count("\n### ") for r in got.collect()} == kept
 
 
+def test_default_preview_keeps_80_lines(spark, tmp_path):
+    import duckdb
+
+    html = "\n".join(f"line {i}" for i in range(1, 101))
+    spark.createDataFrame([(1, "u", html), (2, "u", "a\nb")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = sorted(tuple(r) for r in plans.QUERIES["html_preview_default"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.sql(plans.SQL["html_preview_default"]).fetchall())
+    assert got[0][1] == "\n".join(f"line {i}" for i in range(1, 81)) and got[1][1] == "a\nb"
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
