@@ -1,8 +1,8 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Token counts are summed for each source; a budget is shared by weight; a source's repetition rate is
-its target over its size. Each document is taken floor(rate) times, and once more if a hash of its id
-falls below the fraction.
+its target over its size. Each document is taken floor(rate) times, and once more by a Bernoulli draw
+that a hash of its id seeds, with the fraction as probability.
 """
 
 from __future__ import annotations
@@ -10,11 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import WORD, parallelism, written
+from tessella.llm._shared import WORD, discard, parallelism, written
 
-#: Modulus and multipliers of the candidate hashes (any numbers below the modulus do).
-PRIME = 2147483647
-MULTIPLIERS = (48271, 69621, 16807, 1043618065, 630360016, 742938285, 950706376, 1226874159, 62089911, 1343714438, 39373, 397204094, 2082061899, 764261123, 1114127, 918273645)
+#: Hexadecimal digits of a document's hash that make its draw: as many as a double holds exactly.
+DIGITS = 13
 #: Fewer sources than this are broadcast (three numbers and a name each).
 BROADCAST_SOURCES = 50_000
 
@@ -31,20 +30,15 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), tot
     among the others. Ranks are taken within sorted ranges, so no task holds all sources. A source
     of size 0 has target 0.
     """
-    spark = sizes.sparkSession
-    ranged = sizes.repartitionByRange(parallelism(spark), F.col("source").asc_nulls_last())
+    ranged = sizes.repartitionByRange(parallelism(sizes.sparkSession), F.col("source").asc_nulls_last())
     ranged = written(ranged.withColumn("part", F.spark_partition_id()), "sources")
-    counts = sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect())  # a row for each partition
-    before, at = [], 0
-    for part, n in counts:
-        before.append((part, at))
-        at += n
-    if not before:
-        return sizes.limit(0).withColumn("target", F.lit(0.0))
+    # A row for each partition, so that one task can order them.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     local = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
-    base = spark.createDataFrame(before, "part int, base long")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("base") + F.col("local") - 1, F.lit(len(weights))) + 1).cast("int"))
     ranked = written(ranged.withColumn("local", local).join(F.broadcast(base), "part").select("source", "source_size", weight.alias("weight")), "ranks")
+    discard(ranged)
     cap = F.col("source_size") * F.lit(float(most))
     all_size = ranked.agg(F.sum("source_size")).first()[0] or 0
     budget, level = total * all_size, 0.0
@@ -70,34 +64,23 @@ def allot(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total: float
     """A row for each document: doc_id, source, size, source_size, target, copies, taken (and `keep`, as keep_<name>).
 
     Size is the number of words; a null or empty text has size 0 and is taken as its source's rate
-    says, with no words. Rows with equal ids draw alike. Of the candidate hashes each source uses
-    the one whose total comes nearest its target: a sum of sixteen conditional counts, combined
-    before the shuffle. Reruns give the same rows. Clashing names are no matter: only the three
-    columns named and `keep` are read.
+    says, with no words. A document is taken floor(rate) times, and once more with the fraction as
+    probability: if the hash of seed and id, as a number from 0 to 1, is below it. Rows with equal ids
+    draw alike. Reruns give the same rows, another seed other draws. Clashing names are no matter:
+    only the three columns named and `keep` are read. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), *[F.col(c).alias(f"keep_{c}") for c in keep])
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    part = lambda a: F.pmod(F.conv(F.substring(digest, a, 8), 16, 10).cast("long"), F.lit(PRIME))
-    rows = rows.withColumns({"h": part(1), "g": part(9)})
     rows = rows if keep else written(rows, "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, total, most)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = written(targets.withColumn("rate", rate), "targets")
+    targets = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     few = targets.count() < BROADCAST_SOURCES
-    hint = F.broadcast if few else (lambda df: df)
     right = targets.withColumnRenamed("source", "its_source")
-    joined = rows.join(hint(right), F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")
-    whole, fraction = F.floor("rate"), F.col("rate") - F.floor("rate")
-    draw = lambda a: F.pmod(F.col("h") * F.lit(a) + F.col("g"), F.lit(PRIME)) / F.lit(float(PRIME))
-    sums = joined.groupBy("source").agg(F.first("target").alias("target"), *[F.sum(F.col("size") * (whole + (draw(a) < fraction).cast("long"))).alias(f"t{i}") for i, a in enumerate(MULTIPLIERS)])
-    off = F.array(*[F.struct(F.abs(F.col(f"t{i}") - F.col("target")).alias("off"), F.lit(i).alias("i")) for i in range(len(MULTIPLIERS))])
-    chosen = sums.select(F.col("source").alias("its_source"), F.array_min(off)["i"].alias("choice"))
-    chosen = written(chosen, "choices")
-    out = joined.join(hint(chosen), F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")
-    factor = F.element_at(F.array(*[F.lit(a) for a in MULTIPLIERS]), F.col("choice") + 1)
-    copies = (whole + ((F.pmod(F.col("h") * factor + F.col("g"), F.lit(PRIME)) / F.lit(float(PRIME))) < fraction).cast("long")).cast("long")
-    out = out.withColumn("copies", copies)
+    joined = rows.join(F.broadcast(right) if few else right, F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    draw = F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("long") / F.lit(float(16**DIGITS))
+    whole = F.floor("rate")
+    out = joined.withColumn("copies", (whole + (draw < F.col("rate") - whole).cast("long")).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *[f"keep_{c}" for c in keep])
 
 
@@ -111,11 +94,10 @@ def emit(docs: DataFrame, **settings) -> DataFrame:
 MIX_SQL = r"""
 WITH s AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8))::BIGINT %% 2147483647 AS h,
-         ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 9, 8))::BIGINT %% 2147483647 AS g
+         ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT / CAST(4503599627370496 AS DOUBLE) AS draw
   FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
-w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) %% 3 + 1] AS DOUBLE) AS weight FROM src),
+w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight FROM src),
 o AS (SELECT *, source_size * 2.0::DOUBLE AS cap,
              row_number() OVER (ORDER BY source_size * 2.0::DOUBLE / weight, source NULLS LAST) AS k FROM w),
 c AS (SELECT *, coalesce(sum(source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
@@ -125,12 +107,6 @@ lv AS (SELECT *, (CAST(1.5 AS DOUBLE) * all_size - CAST(2.0 AS DOUBLE) * full_be
 one AS (SELECT level FROM lv WHERE cap > weight * level ORDER BY k LIMIT 1),
 t AS (SELECT source, source_size, round(least(cap, weight * coalesce((SELECT level FROM one), 1e300)), 6) AS target FROM o),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
-j AS (SELECT s.*, r.source_size, r.target, r.rate, floor(r.rate) AS whole FROM s JOIN r ON s.source IS NOT DISTINCT FROM r.source),
-m AS (SELECT unnest([%(multipliers)s]) AS a, unnest(range(16)) AS i),
-d AS (SELECT j.source, m.i, m.a, abs(sum(size * (whole + CAST((h * a + g) %% 2147483647 / CAST(2147483647 AS DOUBLE) < rate - whole AS INT))) - any_value(target)) AS off
-      FROM j, m GROUP BY ALL),
-b AS (SELECT source, a FROM d QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, i) = 1)
-SELECT j.doc_id, j.size, j.source_size, j.target,
-       CAST(j.size * (whole + CAST((h * a + g) %% 2147483647 / CAST(2147483647 AS DOUBLE) < rate - whole AS INT)) AS BIGINT) AS taken
-FROM j JOIN b ON j.source IS NOT DISTINCT FROM b.source
-""" % {"multipliers": ", ".join(f"{a}::BIGINT" for a in MULTIPLIERS)}
+j AS (SELECT s.*, r.source_size, r.target, r.rate, floor(r.rate) AS whole FROM s JOIN r ON s.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CAST(draw < rate - whole AS INT)) AS BIGINT) AS taken FROM j
+"""
