@@ -1,4 +1,4 @@
-"""JSON out of free text, strictly as Python's json reads it."""
+"""JSON out of free text: what may be JSON in it, as columns, and the first of it that parses."""
 
 from __future__ import annotations
 
@@ -8,43 +8,38 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FENCE = "```"
+from tessella.functions.text import strip
 
+#: A text within a code fence, up to its last fence; and what stands in brackets, first to last.
+FENCED = r"(?s)\A```[^\n]*\n(.*)```.*\z"
+BRACKETED = (r"(?s)(\[.*\])", r"(?s)(\{.*\})")
 
-def extract(text: str | None) -> object:
-    """The value in a text: whole, within a fence, or from the first opening to the last closing bracket; None if there is none."""
-    if text is None:
-        return None
-    body = text.strip()
-    if body.startswith(FENCE):
-        line, fence = body.find("\n"), body.rfind(FENCE)
-        if 0 <= line < fence:
-            body = body[line + 1 : fence].strip()
-    candidates = [body]
-    for a, b in ("[]", "{}"):
-        start, end = body.find(a), body.rfind(b)
-        if 0 <= start < end:
-            candidates.append(body[start : end + 1])
-    for candidate in candidates:
-        try:
-            return json.loads(candidate)
-        except (json.JSONDecodeError, RecursionError):
-            continue
-    return None
 
+def candidates(text: str | Column) -> Column:
+    """The parts of a text that may be JSON, in the order in which they count; a null text has none."""
+    whole = strip(text)
+    body = F.when(F.rlike(whole, F.lit(FENCED)), strip(F.regexp_extract(whole, FENCED, 1))).otherwise(whole)
+    return F.filter(F.array(body, *[F.regexp_extract(body, p, 1) for p in BRACKETED]), lambda x: x != "")
 
-def _kind(value: object) -> str:
-    return "object" if isinstance(value, dict) else "array" if isinstance(value, list) else "none" if value is None else "scalar"
 
-
-def _extract(texts: pd.Series) -> pd.DataFrame:
-    found = [extract(t) for t in texts]
-    return pd.DataFrame({"kind": [_kind(x) for x in found], "value": [None if x is None else json.dumps(x, ensure_ascii=False) for x in found]})
+def _first_json(lists: pd.Series) -> pd.DataFrame:
+    kinds, values = [], []
+    for texts in lists:
+        found = None
+        for text in texts if texts is not None else ():
+            try:
+                found = json.loads(text)
+                break
+            except (json.JSONDecodeError, RecursionError):
+                continue
+        kinds.append({dict: "object", list: "array", type(None): "none"}.get(type(found), "scalar"))
+        values.append(None if found is None else json.dumps(found, ensure_ascii=False))
+    return pd.DataFrame({"kind": kinds, "value": values})
 
 
 def extract_json(text: str | Column) -> Column:
-    """Struct of kind (object, array, scalar, none) and value (JSON text)."""
-    return F.pandas_udf(_extract, "kind string, value string")(F.col(text) if isinstance(text, str) else text)
+    """Struct of kind (object, array, scalar, none) and value (JSON text): the first candidate that is strict JSON."""
+    return F.pandas_udf(_first_json, "kind string, value string")(candidates(text))
 
 
 def accepted_overview(found: Column) -> Column:
