@@ -69,6 +69,12 @@ def splitlines(text: str | Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(t, LINE_END + r"\z", ""), LINE_END, -1))
 
 
+def count_lines(text: str | Column) -> Column:
+    """How many lines splitlines() gives."""
+    t = _c(text)
+    return F.when(t == "", 0).otherwise(F.regexp_count(t, F.lit(LINE_END)) + F.when(F.rlike(t, F.lit(LINE_END + r"\z")), 0).otherwise(1))
+
+
 def strip(text: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(_c(text), r"\A" + BLANK, ""), BLANK + r"\z", "")
 
@@ -134,6 +140,23 @@ def repo_name(url: str | Column) -> Column:
     return F.replace(F.element_at(F.split(F.regexp_replace(_c(url), r"/+$", ""), "/"), -1), F.lit(".git"), F.lit(""))
 
 
+#: What URI coding leaves alone and form coding does not, and how it codes a space.
+URI_PLAIN = {"+": "%20", "%21": "!", "%27": "'", "%28": "(", "%29": ")", "%7E": "~"}
+
+
+def encode_uri(text: str | Column) -> Column:
+    """A part of a URI: all but letters, digits and -_.!~*'() as %XX of its UTF-8 bytes."""
+    out = F.url_encode(_c(text))
+    for coded, plain in URI_PLAIN.items():
+        out = F.replace(out, F.lit(coded), F.lit(plain))
+    return out
+
+
+def decode_uri(text: str | Column) -> Column:
+    """The text of encode_uri(); a plus sign stays one."""
+    return F.url_decode(F.replace(_c(text), F.lit("+"), F.lit("%2B")))
+
+
 def client_ip(forwarded: str | Column, host: str | Column) -> Column:
     """First address of the forwarding header, else the peer's, else 'unknown'."""
     given = F.when(_c(forwarded) != "", strip(F.get(F.split(_c(forwarded), ","), F.lit(0))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import range_label
@@ -15,17 +15,37 @@ def explode_annotations(files: DataFrame, column: str = "annotations") -> DataFr
     return rows.select(*others, "idx", "a.line_start", "a.line_end", "a.annotation")
 
 
+#: Lines of a block: longer ranges are kept by whole blocks, and by line only at their ends.
+BLOCK_LINES = 64
+
+
 def lookup(lines: DataFrame, annotations: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """lines (keys, line) with `annotation`: the first in list order whose closed range holds the line, else null.
 
-    A range is spread over the lines of its file, so that the join is on equal keys and a long file
-    makes no product of lines and ranges.
+    A range is entered for the whole blocks of lines that it covers and for the single lines before and
+    behind them: at most 126 lines, and a row for each 64 lines. Lines meet both by equal keys, so a
+    long file makes no product of lines and ranges. Repeated lines each keep their row.
     """
+    block = lambda c: F.floor(F.col(c) / BLOCK_LINES)
     last = lines.groupBy(*keys).agg(F.max("line").alias("_last"))
     ranged = annotations.join(last, list(keys)).withColumns({"_from": F.greatest("line_start", F.lit(1)), "_to": F.least("line_end", "_last")}).filter("_from <= _to")
-    spread = ranged.withColumn("line", F.explode(F.sequence("_from", "_to")))
-    first = spread.groupBy(*keys, "line").agg(F.min_by("annotation", "idx").alias("annotation"))
-    return lines.join(first, [*keys, "line"], "left")
+    # Whole blocks are _low .. _high - 1.
+    ranged = ranged.withColumns({"_low": F.ceil(F.col("_from") / BLOCK_LINES), "_high": F.floor((F.col("_to") + 1) / BLOCK_LINES)})
+    whole = F.col("_low") < F.col("_high")
+    single = F.when(whole, F.concat(_span(F.col("_from"), F.col("_low") * BLOCK_LINES), _span(F.col("_high") * BLOCK_LINES, F.col("_to") + 1))).otherwise(_span(F.col("_from"), F.col("_to") + 1))
+    blocks = F.when(whole, _span(F.col("_low"), F.col("_high"))).otherwise(F.array().cast("array<bigint>"))
+    place = lambda kind, at: F.transform(at, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("at")))
+    entered = ranged.select(*keys, "idx", "annotation", F.explode(F.concat(place(1, single), place(BLOCK_LINES, blocks))).alias("_p"))
+    first = entered.groupBy(*keys, "_p.kind", "_p.at").agg(F.min(F.struct("idx", "annotation")).alias("_a"))
+    by_line = first.filter("kind = 1").select(*keys, F.col("at").alias("line"), F.col("_a").alias("_one"))
+    by_block = first.filter("kind <> 1").select(*keys, F.col("at").alias("_block"), F.col("_a").alias("_many"))
+    met = lines.join(by_line, [*keys, "line"], "left").withColumn("_block", block("line")).join(by_block, [*keys, "_block"], "left")
+    return met.withColumn("annotation", F.least("_one", "_many")["annotation"]).drop("_block", "_one", "_many")
+
+
+def _span(a: Column, b: Column) -> Column:
+    """The whole numbers from a up to before b."""
+    return F.when(a < b, F.sequence(a.cast("long"), (b - 1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
 
 
 def labels(annotations: DataFrame) -> DataFrame:

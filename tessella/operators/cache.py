@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,35 +49,64 @@ def purge(cache: DataFrame, now: Column, ttl: int = v.CACHE_TTL_SECONDS) -> Data
 def ttl_replay(requests: DataFrame, key: str = "key", at: str = "ts", tie: str = "event_id", ttl: int = v.CACHE_TTL_SECONDS) -> DataFrame:
     """tie, hit of every request: a miss makes an entry that serves the key for ttl seconds; hits don't renew it.
 
-    Requests are sorted by key and time within partitions and read as a stream with one moment of
-    state, so a key of any size needs no more memory than a batch.
+    A null key is never stored, so its requests are misses. Requests are sorted by key and time within
+    partitions and read as a stream with one moment of state, so a key of any size needs no more
+    memory than a batch. Within a batch all keys go on from miss to miss at once.
     """
     rows = requests.select(F.col(key).alias("key"), micros(at).alias("at"), F.col(tie).alias("tie"))
     rows = rows.repartition("key").sortWithinPartitions("key", "at", "tie")
     kind = rows.schema["tie"].dataType.simpleString()
+    lasts = ttl * 1_000_000
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, until = None, 0
         for pdf in batches:
-            hits = []
-            for k, now in zip(pdf["key"].tolist(), pdf["at"].tolist()):
-                if k != current or now > until or current is None:
-                    current, until = k, now + ttl * 1_000_000
-                    hits.append(False)
-                else:
-                    hits.append(True)
-            yield pd.DataFrame({"tie": pdf["tie"], "hit": hits})
+            keys, at = pdf["key"].to_numpy(object), pdf["at"].to_numpy(np.int64)
+            n = len(keys)
+            first = np.ones(n, bool)
+            first[1:] = keys[1:] != keys[:-1]
+            hit = np.array([k is not None for k in keys])
+            begin = np.flatnonzero(first)
+            end = np.append(begin[1:], n)
+            # Moments as whole numbers that grow over all runs of keys, so that one search serves every run.
+            low = at.min(initial=0)
+            span = int(at.max(initial=0) - low) + lasts + 2
+            run = np.cumsum(first) - 1
+            place = run.astype(object) * span + (at - low) if len(begin) * span > 1 << 62 else run * span + (at - low)
+            to = begin.copy()  # in each run, the next request that no entry serves
+            if n and keys[0] is not None and keys[0] == current:
+                to[0] = np.searchsorted(at[: end[0]], until, "right")
+            open_ = np.flatnonzero(to < end)
+            while len(open_):
+                miss = to[open_]
+                hit[miss] = False
+                to[open_] = np.searchsorted(place, place[miss] + lasts, "right")
+                open_ = open_[(to[open_] < end[open_])]
+            if n:
+                missed = np.flatnonzero(~hit[begin[-1] :])
+                if len(missed):
+                    until = int(at[begin[-1] + missed[-1]]) + lasts
+                current = keys[-1]
+            yield pd.DataFrame({"tie": pdf["tie"], "hit": hit})
 
     return rows.mapInPandas(replay, f"tie {kind}, hit boolean").withColumnRenamed("tie", tie)
 
 
-def quota(requests: DataFrame, client: str = "client", at: str = "ts", tie: str = "event_id", exempt: Column | None = None, limit: int = v.DAILY_QUOTA) -> DataFrame:
-    """requests with `allowed` and `remaining` (before the request): the first `limit` of a client and day that are not exempt."""
+def quota(requests: DataFrame, client: str = "client", at: str = "ts", tie: str = "event_id", exempt: Column | None = None, limit: int = v.DAILY_QUOTA, used: DataFrame | None = None) -> DataFrame:
+    """requests with `allowed` and `remaining` (before the request): the first `limit` of a client and day that are not exempt.
+
+    used (client, day, requests) is the counter table so far.
+    """
     free = F.coalesce(exempt if exempt is not None else F.lit(False), F.lit(False))
     day = F.to_date(F.col(at))
     counted = F.sum(F.when(free, 0).otherwise(1)).over(Window.partitionBy(client, day).orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0))
     before = counted - F.when(free, 0).otherwise(1)
-    return requests.withColumns({"allowed": free | (before < limit), "remaining": F.greatest(F.lit(0), F.lit(limit) - before).cast("long")})
+    if used is None:
+        return requests.withColumns({"allowed": free | (before < limit), "remaining": F.greatest(F.lit(0), F.lit(limit) - before).cast("long")})
+    past = used.select(F.col("client").alias("_client"), F.col("day").alias("_day"), F.col("requests").alias("_used"))
+    counted = requests.withColumn("_before", before).join(past, (F.col(client) == F.col("_client")) & (day == F.col("_day")), "left")
+    all_ = F.col("_before") + F.coalesce("_used", F.lit(0))
+    return counted.withColumns({"allowed": free | (all_ < limit), "remaining": F.greatest(F.lit(0), F.lit(limit) - all_).cast("long")}).drop("_client", "_day", "_used", "_before")
 
 
 def quota_counts(requests: DataFrame, client: str = "client", at: str = "ts") -> DataFrame:
