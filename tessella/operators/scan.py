@@ -55,15 +55,29 @@ def scan_upload(files: DataFrame, lines: int = v.PREVIEW_LINES) -> DataFrame:
 
 
 def scan_tree(spark, path: str, lines: int = v.PREVIEW_LINES) -> DataFrame:
-    """Accepted files of a directory tree; ord is the order of paths."""
+    """Accepted files of a directory tree. ord is their place in a walk: a folder's files come before its folders."""
     from tessella.sources.tree import read_tree
 
-    files = read_tree(spark, path)
-    files = files.withColumns({"project": F.lit(path), "ord": F.col("path")})
+    parts = F.split("path", "/")
+    place = F.struct(F.slice(parts, F.lit(1), F.size(parts) - 1).alias("folders"), F.element_at(parts, -1).alias("name"))
+    files = read_tree(spark, path).withColumns({"project": F.lit(path), "ord": place})
     decoded = files.withColumn("content", t.decode_utf8("content"))
     return decoded.withColumns({"language": t.language("path"), "preview": t.preview("path", "content", lines)})
 
 
+def scan_project(spark, path: str, most: int = v.MAX_FILES, most_mb: float = v.MAX_TREE_MB) -> DataFrame:
+    """Ranked files of a directory tree, as a project: rejects a tree that is too large or has no readable file."""
+    from tessella.sources.tree import check_tree_size
+
+    check_tree_size(spark, path, most_mb)
+    return rank(cap(require_files(scan_tree(spark, path)), most))
+
+
+def upload_project(files: DataFrame, most: int = v.MAX_FILES) -> DataFrame:
+    """Ranked files of an upload (project, ord, path, content): rejects an empty one, and one with no readable file."""
+    return rank(cap(require_files(scan_upload(require_files(files, "no files uploaded"))), most))
+
+
 def cap(files: DataFrame, most: int = v.MAX_FILES) -> DataFrame:
     """The first `most` files of each project in input order; other rows are cut off before the shuffle."""
     place = F.row_number().over(Window.partitionBy("project").orderBy("ord"))
@@ -94,7 +108,12 @@ def contents(files: DataFrame) -> DataFrame:
     return files.groupBy("project", "path").agg(F.max_by("content", "ord").alias("content"))
 
 
-def file_lookup(wanted: DataFrame, stored: DataFrame, scanned: DataFrame, default: str = "unknown") -> DataFrame:
-    """content and language of (project, path); language of the first scanned file of that path, else default."""
-    languages = scanned.groupBy("project", "path").agg(F.min_by("language", "ord").alias("language"))
-    return wanted.join(stored, ["project", "path"], "left").join(languages, ["project", "path"], "left").withColumn("language", F.coalesce("language", F.lit(default)))
+def file_lookup(wanted: DataFrame, stored: DataFrame, scanned: DataFrame, default: str = "unknown", annotated: str = "python") -> DataFrame:
+    """content, language and annotation_language of (project, path).
+
+    The language is that of the first scanned file of that path, be it unknown. A path that wasn't
+    scanned has the default language, and another default where it is annotated.
+    """
+    languages = scanned.groupBy("project", "path").agg(F.min_by("language", "ord").alias("_scanned"))
+    found = wanted.join(stored, ["project", "path"], "left").join(languages, ["project", "path"], "left")
+    return found.withColumns({"language": F.coalesce("_scanned", F.lit(default)), "annotation_language": F.coalesce("_scanned", F.lit(annotated))}).drop("_scanned")

@@ -1,6 +1,7 @@
 """The `source_tree` data source: the regular files of a directory tree, read on the executors.
 
-One partition for each entry at the top. Skipped folders are not entered; links, skipped extensions,
+Folders are listed on the driver, from the top, until there are PARTS partitions or only single folders
+are left; a folder with many files is dealt over several partitions by a hash of their names. Skipped folders are not entered; links, skipped extensions,
 too large and empty files are not opened; files with a NUL among their first bytes, and unreadable
 ones, are left out. Hidden and underscored names are ordinary names, unlike in Spark's file sources.
 The tree must be on a file system that all executors mount.
@@ -9,6 +10,8 @@ The tree must be on a file system that all executors mount.
 from __future__ import annotations
 
 import os
+import zlib
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +20,15 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tessella.functions import values as v
 
 
+#: Partitions that the driver splits a tree into, about, and names of one folder that a partition reads.
+PARTS, NAMES = 256, 10_000
+
+
 class _Entry(InputPartition):
-    def __init__(self, root: str, name: str):
-        self.root, self.name = root, name
+    """A folder with all that is below it, or (share, shares) of the files that are directly in it."""
+
+    def __init__(self, folder: str, share: int = 0, shares: int = 0):
+        self.folder, self.share, self.shares = folder, share, shares
 
 
 def _skipped(name: str) -> bool:
@@ -33,20 +42,26 @@ class _Reader(DataSourceReader):
         self.everything = options.get("everything", "false").lower() == "true"
 
     def partitions(self) -> list[_Entry]:
-        return [_Entry(self.root, name) for name in sorted(os.listdir(self.root))] or [_Entry(self.root, "")]
+        waiting, out = deque([self.root]), []
+        while waiting and len(waiting) + len(out) < PARTS:
+            folder, folders, names = waiting.popleft(), [], 0
+            with os.scandir(folder) as entries:
+                for entry in entries:
+                    if not entry.is_dir(follow_symlinks=False):
+                        names += 1
+                    elif self.everything or not _skipped(entry.name):
+                        folders.append(entry.path)
+            shares = -(-names // NAMES)
+            out += [_Entry(folder, share, shares) for share in range(shares)]
+            waiting += sorted(folders)
+        return [*out, *map(_Entry, waiting)] or [_Entry(self.root)]
 
     def read(self, partition: _Entry) -> Iterator[tuple[str, bytearray, int]]:
-        if not partition.name:
-            return
-        top = os.path.join(self.root, partition.name)
-        if os.path.isdir(top) and not os.path.islink(top):
-            if self.everything or not _skipped(partition.name):
-                for folder, folders, names in os.walk(top):
-                    folders[:] = sorted(d for d in folders if self.everything or not _skipped(d))
-                    for name in sorted(names):
-                        yield from self._file(os.path.join(folder, name))
-        else:
-            yield from self._file(top)
+        for folder, folders, names in os.walk(partition.folder):
+            folders[:] = sorted(d for d in folders if self.everything or not _skipped(d)) if not partition.shares else []
+            for name in sorted(names):
+                if partition.shares < 2 or zlib.crc32(os.fsencode(name)) % partition.shares == partition.share:
+                    yield from self._file(os.path.join(folder, name))
 
     def _file(self, path: str) -> Iterator[tuple[str, bytearray, int]]:
         extension = os.path.splitext(os.path.basename(path))[1].lower()
@@ -87,8 +102,34 @@ def read_tree(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 
 def tree_megabytes(spark: SparkSession, path: str) -> float:
-    """Size of all files of a tree, skipped ones included; over MAX_TREE_MB it is to be rejected."""
+    """Size of all files of a tree, skipped ones included."""
     from pyspark.sql import functions as F
 
     total = read_tree(spark, path, everything="true").agg(F.sum("size")).first()[0]
     return (total or 0) / 1048576
+
+
+def check_tree_size(spark: SparkSession, path: str, most: float = v.MAX_TREE_MB) -> float:
+    """The size of a tree in MB; one of more than `most` is rejected."""
+    size = tree_megabytes(spark, path)
+    if size > most:
+        raise ValueError(f"the tree has {size:.1f} MB, more than {most:g}")
+    return size
+
+
+def write_tree(files: DataFrame, path: str) -> int:
+    """Write files (path, content) below the folder `path`, which all executors mount; the number written."""
+    root = path
+
+    def write(batches):
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"]):
+                full = os.path.normpath(os.path.join(root, name))
+                if os.path.commonpath([root, full]) != root:
+                    raise ValueError(f"{name} is not below its root")
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                with open(full, "wb") as f:  # a retried task writes the same files again
+                    f.write(content)
+            yield pdf[["path"]]
+
+    return files.select("path", "content").mapInPandas(write, "path string").count()
