@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,11 +15,11 @@ EVENT = "kind string, payload string"
 
 
 def encode(kind: str | Column, payload: str | Column) -> Column:
-    """One event: a `data:` line and an empty line; results are JSON already."""
+    """One event: a `data:` line and an empty line; results are JSON already. A null payload is a JSON null."""
     k, p = (F.col(x) if isinstance(x, str) else x for x in (kind, payload))
-    quoted = F.substring(F.to_json(F.struct(p.alias("p"))), 6, 1 << 30)
+    quoted = F.substring(F.to_json(F.struct(p.alias("p")), {"ignoreNullFields": "false"}), 6, 1 << 30)
     text = F.substring(quoted, F.lit(1), F.length(quoted) - 1)
-    body = F.when(k == "done", F.lit(DONE)).otherwise(F.concat(F.lit('{"'), k, F.lit('":'), F.when(k == "result", p).otherwise(text), F.lit("}")))
+    body = F.when(k == "done", F.lit(DONE)).otherwise(F.concat(F.lit('{"'), k, F.lit('":'), F.when(k == "result", F.coalesce(p, F.lit("null"))).otherwise(text), F.lit("}")))
     return F.concat(F.lit(PREFIX), body, F.lit("\n\n"))
 
 
@@ -43,27 +44,95 @@ def assemble(chunks: DataFrame, key: str = "request_id", order: str = "seq", tex
     return chunks.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x[text]), "").alias("response"))
 
 
-STATE = T.StructType([T.StructField("seqs", T.ArrayType(T.LongType())), T.StructField("texts", T.ArrayType(T.StringType()))])
+STATE = T.StructType([T.StructField("seqs", T.ArrayType(T.LongType())), T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("ended", T.BooleanType())])
 OUTPUT = T.StructType([T.StructField("request_id", T.StringType()), T.StructField("response", T.StringType()), T.StructField("chunks", T.LongType())])
-
-
-def _gather(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    seqs, texts = ([], []) if not state.exists else (list(x) for x in state.get)
-    last = False
-    for pdf in batches:
-        for seq, text, done in zip(pdf["seq"], pdf["chunk"], pdf["done"]):
-            last |= bool(done)
-            if text:  # empty deltas are not passed on
-                seqs.append(int(seq))
-                texts.append(text)
-    if last:
-        state.remove()
-        whole = "".join(t for _, t in sorted(zip(seqs, texts)))
-        yield pd.DataFrame({"request_id": [str(key[0])], "response": [whole], "chunks": [len(texts)]})
-    else:
-        state.update((seqs, texts))
-
-
-def assemble_stream(chunks: DataFrame) -> DataFrame:
-    """Streaming rows (request_id, seq, chunk, done) into one row for each request that has ended."""
-    return chunks.groupBy("request_id").applyInPandasWithState(_gather, OUTPUT, STATE, "append", "NoTimeout")
+#: Milliseconds for which a request without further rows is remembered.
+REMEMBERED = 3_600_000
+
+
+def _gather(lasting: int | None):
+    def gather(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seqs, texts, ended = (list(x) if isinstance(x, (list, tuple)) else x for x in state.get) if state.exists else ([], [], False)
+        last = False
+        for pdf in batches:
+            for seq, text, done in zip(pdf["seq"], pdf["chunk"], pdf["done"]):
+                last |= bool(done)
+                if text and not ended:  # empty deltas are not passed on
+                    seqs.append(int(seq))
+                    texts.append(text)
+        if last and not ended:
+            whole = "".join(t for _, t in sorted(zip(seqs, texts)))
+            yield pd.DataFrame({"request_id": [str(key[0])], "response": [whole], "chunks": [len(texts)]})
+        # An ended request stays known without its text, so that late rows neither start nor end it again.
+        state.update(([], [], True) if last or ended else (seqs, texts, False))
+        if lasting:
+            state.setTimeoutDuration(lasting)
+
+    return gather
+
+
+def assemble_stream(chunks: DataFrame, remembered: int | None = REMEMBERED) -> DataFrame:
+    """Streaming rows (request_id, seq, chunk, done) into one row for each request that has ended.
+
+    Chunks of one batch may come in any order. Rows behind the end are left out. A request of which
+    nothing has come for `remembered` milliseconds is forgotten, whether it has ended or not (None: never, for triggers that end by themselves). The state
+    of a request is its text so far, which a batch with more of it writes anew.
+    """
+    return chunks.groupBy("request_id").applyInPandasWithState(_gather(remembered), OUTPUT, STATE, "append", "ProcessingTimeTimeout" if remembered else "NoTimeout")
+
+
+CARRY = T.StructType([T.StructField("rest", T.BinaryType()), T.StructField("events", T.LongType()), T.StructField("ended", T.BooleanType())])
+EVENTS = T.StructType([T.StructField("request_id", T.StringType()), T.StructField("i", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("payload", T.StringType())])
+
+
+def _event(line: bytes) -> tuple[str, str] | None:
+    """(kind, payload) of a data line; none of a line without JSON or without a known field."""
+    try:
+        found = json.loads(line)
+    except ValueError:
+        return None
+    for kind in ("chunk", "result", "raw"):
+        if isinstance(found, dict) and found.get(kind) is not None:
+            value = found[kind]
+            return kind, value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    return None
+
+
+def _carry(lasting: int | None):
+    def decode_pieces(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rest, count, ended = state.get if state.exists else (b"", 0, False)
+        pieces = sorted((int(s), bytes(d)) for pdf in batches for s, d in zip(pdf["seq"], pdf["data"]) if d is not None)
+        *lines, rest = (bytes(rest) + b"".join(d for _, d in pieces)).split(b"\n")
+        rows = []
+        for line in lines:
+            if ended or not line.startswith(PREFIX.encode()):
+                continue
+            data = line[len(PREFIX) :]
+            ended = data == DONE.encode()
+            event = None if ended else _event(data)
+            if event:
+                rows.append((str(key[0]), count, *event))
+                count += 1
+        state.update((b"" if ended else rest, count, ended))
+        if lasting:
+            state.setTimeoutDuration(lasting)
+        yield pd.DataFrame(rows, columns=EVENTS.names).astype({"i": "int64"})
+
+    return decode_pieces
+
+
+def decode_stream(pieces: DataFrame, remembered: int | None = REMEMBERED) -> DataFrame:
+    """Streaming rows (request_id, seq, data binary) into events (request_id, i, kind, payload), as decode() has them.
+
+    A piece may end anywhere, within a line or a character: what follows the last line end is carried to
+    the next batch. Pieces of a request come in order of seq, within a batch in any order. What follows
+    the end mark is left out; a request of which nothing has come for `remembered` milliseconds is forgotten
+    (None: never, for triggers that end by themselves).
+    """
+    return pieces.groupBy("request_id").applyInPandasWithState(_carry(remembered), EVENTS, CARRY, "append", "ProcessingTimeTimeout" if remembered else "NoTimeout")
