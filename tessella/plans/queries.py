@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from tessella.functions import jsonx
 from tessella.functions import text as t
 from tessella.functions import values as v
-from tessella.operators import annotations, cache, completion, keys, prompts, scan
+from tessella.operators import annotations, cache, completion, flows, keys, prompts, scan, store
+from tessella.scratch import scratch_dir, written
+from tessella.sources.tree import write_tree
 from tessella.streaming import sse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,8 +119,7 @@ def file_content_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored, scanned = scan.contents(u), scan.scan_upload(u)
     wanted = u.select("project", "path").distinct()
     found = scan.file_lookup(wanted, stored, scanned)
-    lang = F.when(F.col("language") == "unknown", F.lit("python")).otherwise(F.col("language"))
-    return found.select("project", "path", "language", lang.alias("annotation_language"), t.content_hash("content").alias("content_hash"))
+    return found.select("project", "path", "language", "annotation_language", t.content_hash("content").alias("content_hash"))
 
 
 def language_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +166,7 @@ def file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.size(t.splitlines("content"))
+    n = t.count_lines("content")
     odd = F.transform(F.filter(F.sequence(F.lit(1), n), lambda s: s % 2 == 1), lambda s: F.struct(s.alias("line_start"), (s + (F.col("ord") % 3).cast("int")).alias("line_end"), F.concat(F.lit("note "), s.cast("string")).alias("annotation")))
     return annotations.explode_annotations(uploads(spark, sf_dir).filter(F.col("content") != "").select(F.col("ord").alias("doc_id"), odd.alias("annotations")))
 
@@ -253,7 +254,102 @@ def ui_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(names, "project").select("ord", scan.client_path().alias("client_path"), t.client_ip("forwarded", "host").alias("client_ip"), t.importance_bucket("importance").alias("icon"), t.highlight_language(t.language("path")).alias("highlight"), scan.client_reject_reason().alias("client_reason"), "project_name")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (file_scan, project_rank_cap, content_key, overview_key, project_meta, reject_audit, file_content_lookup, language_histogram, quota_daily, quota_daily_default, quota_counts, ttl_cache_replay, cache_upsert, cache_lookup, annotation_lookup, annotation_labels, overview_prompt, annotation_prompt, url_parse, html_preview, json_extract, chunk_assembly, sse_roundtrip, completed_annotations, ui_columns, project_rank_cap_default, overview_key_default, project_meta_default, overview_prompt_default, html_preview_default)}
+# --- whole flows
+#: When the entries of the flows' caches were made, and what they hold.
+KEPT_AT, KEPT_OVERVIEW, KEPT_NOTES = "2024-01-10 00:00:00", '{"summary": "kept"}', '[{"line_start": 1, "line_end": 2, "annotation": "kept"}]'
+
+
+def flow_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = requests(spark, sf_dir)
+    return log.select(F.col("event_id").alias("request_id"), "ts", "client", (F.col("event_type") == "signup").alias("own_key"))
+
+
+def _overviews(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Requests about projects, some of which don't exist; ranked files; and a cache of every other project, half of it empty."""
+    asked = flow_requests(spark, sf_dir).withColumn("project", F.concat(F.lit("src"), (F.col("request_id") % 23).cast("string")))
+    files = ranked_files(spark, sf_dir, v.MAX_FILES)
+    number = F.substring("project", 4, 9).cast("int")
+    known = keys.overview_keys(files).filter(number % 2 == 0)
+    cached = known.select(F.col("cache_key").alias("key"), F.when(number % 4 == 0, KEPT_OVERVIEW).otherwise("{}").alias("value"), F.lit(KEPT_AT).cast("timestamp").alias("created_at"))
+    return asked, files, cached
+
+
+def overview_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows.overview(*_overviews(spark, sf_dir), limit=QUOTA).answers
+
+
+def cached_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, files, cached = _overviews(spark, sf_dir)
+    admitted = flows.admit(asked.join(keys.overview_keys(files), "project", "left"), cached)
+    return flows.cached_replay(admitted).select("request_id", "i", sse.encode("kind", "payload").alias("event"))
+
+
+def annotate_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = uploads(spark, sf_dir)
+    asked = flow_requests(spark, sf_dir).withColumn("ord", F.col("request_id") % 300).join(u.select("ord", "project", "path"), "ord", "left")
+    asked = asked.select("request_id", "ts", "client", "own_key", F.coalesce("project", F.lit("none")).alias("project"), F.coalesce("path", F.lit("none")).alias("path"))
+    kept = u.filter(F.col("ord") % 5 == 0).groupBy(keys.annotation_key().alias("key")).agg(F.max(F.when(F.col("ord") % 10 == 0, KEPT_NOTES).otherwise("[]")).alias("value"))
+    cached = kept.withColumn("created_at", F.lit(KEPT_AT).cast("timestamp"))
+    return flows.annotate(asked, scan.contents(u), scan.scan_upload(u), cached, limit=QUOTA).answers
+
+
+def sse_stream_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's events as bytes, cut into short pieces that come in two batches, through the streaming decoder."""
+    c = chunks(spark, sf_dir)
+    whole = c.select("request_id", "seq", sse.encode(F.lit("chunk"), F.col("chunk")).alias("chunk"))
+    ends = c.groupBy("request_id").agg((F.max("seq") + 1).alias("seq")).withColumn("chunk", F.lit("data: [DONE]\n\ndata: {\"chunk\":\"late\"}\n\n"))
+    data = F.encode("response", "UTF-8")
+    piece = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("response") - 1) / 13).cast("int")), lambda i: F.struct(i.cast("long").alias("seq"), F.substring(data, i * 13 + 1, F.lit(13)).alias("data")))
+    texts = sse.assemble(whole.unionByName(ends)).select(F.col("request_id").cast("string").alias("request_id"), F.explode(piece).alias("p"), F.octet_length("response").alias("n"))
+    path, files = scratch_dir(spark, "pieces"), 8
+    for half in (F.col("p.seq") * 26 < F.col("n"), F.col("p.seq") * 26 >= F.col("n")):
+        texts.filter(half).select("request_id", "p.seq", "p.data").repartition(files, "request_id").write.mode("append").parquet(path)
+    stream = spark.readStream.schema("request_id string, seq long, data binary").option("maxFilesPerTrigger", files).parquet(path)
+    out = scratch_dir(spark, "events")
+    query = sse.decode_stream(stream, remembered=None).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_dir(spark, "progress")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("request_id string, i long, kind string, payload string").parquet(out).withColumn("request_id", F.col("request_id").cast("long"))
+
+
+#: File names of the tree that documents become, by doc_id modulo 9, in order.
+TREE_NAMES = ("{}.py", "{}/README.md", "{}.PNG", "node_modules/{}.js", "{}/x.egg-info/y.txt", "_{}/.env", "{}.R", "a/b/{}.go", "{}/Makefile")
+TREE_FILES = 60
+
+
+def tree_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as the files of a tree (some with a NUL, malformed or empty), scanned, capped and ranked."""
+    docs = table(spark, sf_dir, "documents")
+    names = F.element_at(F.array(*[F.lit(n) for n in TREE_NAMES]), (F.col("doc_id") % len(TREE_NAMES) + 1).cast("int"))
+    before = F.when(F.col("doc_id") % 11 == 0, F.lit(b"a\0")).when(F.col("doc_id") % 17 == 0, F.lit(b"\xff")).otherwise(F.lit(b""))
+    content = F.when(F.col("doc_id") % 13 == 0, F.lit(b"")).otherwise(F.concat(before, F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    files = docs.select(F.concat("source", F.lit("/"), F.replace(names, F.lit("{}"), F.col("doc_id").cast("string"))).alias("path"), content.alias("content"))
+    root = scratch_dir(spark, "tree")
+    if not root.startswith(("file:", "/")):
+        raise ValueError("a tree of files needs a shared folder that all executors mount")
+    root = "/" + root.removeprefix("file:").lstrip("/")
+    write_tree(files, root)
+    tree = written(scan.scan_tree(spark, root), "scanned")
+    ranked = scan.rank(scan.cap(tree, TREE_FILES)).select("path", F.col("rank").cast("long").alias("rank"))
+    return tree.select("path", "size", "language", F.md5("preview").alias("preview_md5")).join(ranked, "path", "left")
+
+
+def uri_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = F.concat(F.col("url"), F.lit(" é'(x)*~!+%20 語"))
+    return table(spark, sf_dir, "pages").select("page_id", t.encode_uri(odd).alias("encoded"), t.decode_uri(t.encode_uri(odd)).alias("decoded"))
+
+
+def project_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects as JSON rows, read back: even ones from memory, the others from the table while they are live."""
+    u = uploads(spark, sf_dir)
+    number = F.substring("id", 4, 9).cast("int")
+    rows = store.project_rows(scan.project_meta(ranked_files(spark, sf_dir, v.MAX_FILES)), scan.contents(u), F.lit(None).cast("timestamp"))
+    rows = written(rows.withColumn("created_at", F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(number % 10)), "projects")
+    wanted = u.groupBy(F.col("project").alias("id")).agg(F.max("path").alias("path"))
+    found = store.resolve(wanted, rows.filter(number % 2 == 0), rows, F.lit("2024-01-12").cast("timestamp"))
+    return found.select("id", F.col("data").isNotNull().alias("found"), F.get_json_object("data", "$.total_files").cast("long").alias("total_files"), t.content_hash(store.file_of(F.col("data"), F.col("path"))).alias("content_hash"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (file_scan, project_rank_cap, content_key, overview_key, project_meta, reject_audit, file_content_lookup, language_histogram, quota_daily, quota_daily_default, quota_counts, ttl_cache_replay, cache_upsert, cache_lookup, annotation_lookup, annotation_labels, overview_prompt, annotation_prompt, url_parse, html_preview, json_extract, chunk_assembly, sse_roundtrip, completed_annotations, ui_columns, project_rank_cap_default, overview_key_default, project_meta_default, overview_prompt_default, html_preview_default, overview_flow, cached_replay, annotate_flow, sse_stream_decode, tree_project, uri_coding, project_store)}
 
 _client = rf"""CASE WHEN strlen(content) > {v.MAX_FILE_SIZE} THEN 'too_large' WHEN starts_with({_name('path')}, '.') THEN 'dot_file' WHEN contains(content, chr(0)) THEN 'binary' END"""
 _notes = f"""n AS (SELECT ord AS doc_id, unnest(range(1, len({_lines('content')}) + 1)) AS line FROM u),
@@ -275,8 +371,8 @@ SQL: dict[str, str] = {
        WHEN strlen(content) > {v.MAX_FILE_SIZE} THEN 'too_large' WHEN content = '' THEN 'empty' WHEN contains(left(content, {v.SNIFFED_BYTES}), chr(0)) THEN 'binary' END AS tree_reason, {_client} AS client_reason FROM u""",
     "file_content_lookup": f"""WITH {_scanned}, w AS (SELECT DISTINCT project, path FROM u),
 st AS (SELECT project, path, arg_max(content, ord) AS content FROM u GROUP BY ALL), lg AS (SELECT project, path, arg_min(language, ord) AS language FROM s GROUP BY ALL),
-j AS (SELECT w.project, w.path, coalesce(language, 'unknown') AS language, content FROM w LEFT JOIN st USING (project, path) LEFT JOIN lg USING (project, path))
-SELECT project, path, language, CASE WHEN language = 'unknown' THEN 'python' ELSE language END AS annotation_language, {_hash('content')} AS content_hash FROM j""",
+j AS (SELECT w.project, w.path, language, content FROM w LEFT JOIN st USING (project, path) LEFT JOIN lg USING (project, path))
+SELECT project, path, coalesce(language, 'unknown') AS language, coalesce(language, 'python') AS annotation_language, {_hash('content')} AS content_hash FROM j""",
     "language_histogram": f"WITH {_scanned} SELECT language, count(*) AS files, CAST(sum(size) AS BIGINT) AS total_size FROM s GROUP BY language",
     "quota_daily": _quota("(event_type = 'signup')", QUOTA),
     "quota_daily_default": _quota("false", v.DAILY_QUOTA),
@@ -315,3 +411,57 @@ SELECT ord, CASE WHEN ord % 4 < 2 THEN path ELSE {_name('path')} END AS client_p
 #: The same queries with the full number of files to a project.
 SQL |= {f"{name}_default": SQL[name].replace(_ranked, _ranked_default) for name in ("project_rank_cap", "overview_key", "project_meta", "overview_prompt")}
 SQL["html_preview_default"] = SQL["html_preview"].replace(f"1, {PAIR_LINES})", f"1, {v.PREVIEW_LINES})")
+
+_flow = lambda source: f"""{source},
+h AS (SELECT *, missing OR hit OR own_key AS free FROM m),
+b AS (SELECT *, sum(CASE WHEN free THEN 0 ELSE 1 END) OVER (PARTITION BY client, CAST(ts AS DATE) ORDER BY ts, request_id) - CASE WHEN free THEN 0 ELSE 1 END AS before FROM h),
+a AS (SELECT *, CASE WHEN missing THEN 404 WHEN free OR before < {QUOTA} THEN 200 ELSE 429 END AS status FROM b)"""
+_live = f"(epoch_us(ts) - epoch_us(TIMESTAMP '{KEPT_AT}') <= {v.CACHE_TTL_SECONDS * 1_000_000})"
+_asked = "SELECT event_id AS request_id, ts, user_id AS client, event_type = 'signup' AS own_key"
+_prompts = SQL["overview_prompt_default"].replace("SELECT project, " + _quote(prompts.OVERVIEW_HEAD), "op AS (SELECT project, " + _quote(prompts.OVERVIEW_HEAD)) + ")"
+_projects = _flow(f"""{_prompts.replace("FROM p)" + chr(10) + "op AS", "FROM p)," + chr(10) + "op AS")},
+e AS ({_asked}, 'src' || event_id % 23 AS project, event_id % 23 AS number FROM events),
+m AS (SELECT e.*, op.prompt, op.prompt IS NULL AS missing, op.prompt IS NOT NULL AND number % 4 = 0 AND {_live} AS hit FROM e LEFT JOIN op USING (project))""")
+_step = lambda where, i, kind, payload: f"SELECT request_id, CAST(status AS INT) AS status, CAST({i} AS BIGINT) AS i, '{kind}' AS kind, {payload} AS payload FROM a WHERE {where}"
+_told, _raw, _hit = "status = 200 AND NOT hit AND contains(prompt, 'README')", "status = 200 AND NOT hit AND NOT contains(prompt, 'README')", "status = 200 AND hit"
+_none = "CAST(NULL AS VARCHAR)"
+SQL["overview_flow"] = _projects + chr(10) + " UNION ALL ".join([
+    _step(_hit, 0, "result", _quote(KEPT_OVERVIEW)), _step(_hit, 1, "done", _none),
+    _step(_told, 0, "chunk", _quote('{"summary": "')), _step(_told, 1, "chunk", "length(prompt) || ' characters'"), _step(_told, 2, "chunk", _quote('"}')),
+    _step(_told, 3, "result", _quote('{"summary": "') + " || length(prompt) || " + _quote(' characters"}')), _step(_told, 4, "done", _none),
+    _step(_raw, 0, "chunk", "'no '"), _step(_raw, 1, "chunk", "'JSON'"), _step(_raw, 2, "raw", "'no JSON'"), _step(_raw, 3, "done", _none),
+    _step("status <> 200", 0, "status", "CAST(status AS VARCHAR)"),
+])
+SQL["cached_replay"] = f"""{_projects}
+SELECT request_id, CAST(0 AS BIGINT) AS i, 'data: {{"result":' || {_quote(KEPT_OVERVIEW)} || '}}' || chr(10) || chr(10) AS event FROM a WHERE hit
+UNION ALL SELECT request_id, CAST(1 AS BIGINT) AS i, 'data: [DONE]' || chr(10) || chr(10) AS event FROM a WHERE hit"""
+SQL["annotate_flow"] = _flow(f"""WITH {_scanned},
+st AS (SELECT project, path, arg_max(content, ord) AS content FROM u GROUP BY ALL), lg AS (SELECT project, path, arg_min(language, ord) AS language FROM s GROUP BY ALL),
+e AS ({_asked}, event_id % 300 AS ord FROM events),
+q AS (SELECT request_id, ts, client, own_key, coalesce(u.project, 'none') AS project, coalesce(u.path, 'none') AS path FROM e LEFT JOIN u USING (ord)),
+w AS (SELECT DISTINCT project, path FROM q),
+f AS (SELECT w.project, w.path, st.content, coalesce(lg.language, 'python') AS language FROM w JOIN st USING (project, path) LEFT JOIN lg USING (project, path)),
+k AS (SELECT content, arg_min(language, project || chr(1) || path) AS language FROM f GROUP BY content),
+pr AS (SELECT content, length({_ann(v.ANNOTATED_LINES)}) AS n FROM k),
+ca AS (SELECT content, max(CASE WHEN ord % 10 = 0 THEN {_quote(KEPT_NOTES)} ELSE '[]' END) AS kept FROM u WHERE ord % 5 = 0 GROUP BY content),
+m AS (SELECT q.*, f.language, pr.n, f.content IS NULL AS missing, coalesce(ca.kept <> '[]' AND {_live}, false) AS hit
+      FROM q LEFT JOIN f USING (project, path) LEFT JOIN pr ON pr.content = f.content LEFT JOIN ca ON ca.content = f.content)""") + f"""
+SELECT request_id, CAST(status AS INT) AS status, CASE WHEN status = 200 THEN language END AS language,
+  CASE WHEN status <> 200 THEN NULL WHEN hit THEN {_quote(KEPT_NOTES)} ELSE {_quote('[{"line_start": 1, "line_end": 1, "annotation": "')} || n || {_quote(' characters"}]')} END AS annotations,
+  CASE WHEN status = 200 THEN CAST(1 AS BIGINT) END AS n_annotations FROM a"""
+SQL["sse_stream_decode"] = SQL["sse_roundtrip"]
+SQL["tree_project"] = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, source || '/' || replace([{_list(TREE_NAMES)}][doc_id % {len(TREE_NAMES)} + 1], '{{}}', CAST(doc_id AS VARCHAR)) AS path FROM documents),
+c AS (SELECT path, CASE WHEN doc_id % 11 <> 0 AND doc_id % 17 = 0 THEN chr(65533) || text ELSE text END AS content, CAST(strlen(text) + CASE WHEN doc_id % 11 <> 0 AND doc_id % 17 = 0 THEN 1 ELSE 0 END AS BIGINT) AS size
+      FROM d WHERE doc_id % 13 <> 0 AND doc_id % 11 <> 0),
+s AS (SELECT path, size, {_language('path')} AS language, md5(CASE WHEN {_config('path')} THEN content ELSE array_to_string(list_slice({_lines('content')}, 1, {v.PREVIEW_LINES}), chr(10)) END) AS preview_md5
+      FROM c WHERE size BETWEEN 1 AND {v.MAX_FILE_SIZE} AND {_ext('path')} NOT IN ({_list(v.SKIP_EXTENSIONS)}) AND NOT contains(path, '/node_modules/') AND NOT contains(path, '.egg-info/')),
+p AS (SELECT path FROM (SELECT path, row_number() OVER (ORDER BY list_slice(string_split(path, '/'), 1, -2), string_split(path, '/')[-1]) AS place FROM s) WHERE place <= {TREE_FILES}),
+k AS (SELECT path, row_number() OVER (ORDER BY CASE WHEN {_config('path')} THEN 0 ELSE 1 END, path) AS rank FROM p)
+SELECT path, size, language, preview_md5, rank FROM s LEFT JOIN k USING (path)"""
+SQL["uri_coding"] = """WITH o AS (SELECT page_id, url || ' é''(x)*~!+%20 語' AS x FROM pages)
+SELECT page_id, replace(replace(replace(replace(replace(url_encode(x), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*') AS encoded, x AS decoded FROM o"""
+SQL["project_store"] = f"""WITH {_scanned}, st AS (SELECT project, path, arg_max(content, ord) AS content FROM u GROUP BY ALL),
+w AS (SELECT project AS id, max(path) AS path, CAST(substr(project, 4) AS INT) AS number FROM u GROUP BY project),
+n AS (SELECT project AS id, least(count(*), {v.MAX_FILES}) AS total_files FROM s GROUP BY project),
+j AS (SELECT w.id, n.total_files, st.content, n.total_files IS NOT NULL AND (number % 2 = 0 OR number % 10 >= 4) AS found FROM w LEFT JOIN n USING (id) LEFT JOIN st ON st.project = w.id AND st.path = w.path)
+SELECT id, found, CASE WHEN found THEN total_files END AS total_files, CASE WHEN found THEN {_hash('content')} END AS content_hash FROM j"""

@@ -69,11 +69,10 @@ def test_annotation_lookup(spark):
     assert got == {(1, 2): "first", (1, 4): "second", (1, 9): "second", (2, 1): None}
 
 
-def test_json_extraction():
-    assert jsonx.extract('```json\n{"a": 1}\n```') == {"a": 1}
-    assert jsonx.extract('ok: {"a":1} bye') == {"a": 1}
-    assert jsonx.extract('x {"f":[1]} y') == [1]
-    assert jsonx.extract("nope") is None and jsonx.extract(None) is None and jsonx.extract("```\n[1") is None
+def test_json_extraction(spark):
+    texts = {'```json\n{"a": 1}\n```': ("object", '{"a": 1}'), 'ok: {"a":1} bye': ("object", '{"a": 1}'), 'x {"f":[1]} y': ("array", "[1]"), "nope": ("none", None), None: ("none", None), "```\n[1": ("none", None), "```\n[1]``": ("array", "[1]"), "```[2]\n[1]\n``` ```": ("array", "[1]"), " 7 ": ("scalar", "7"), "] [": ("none", None), "null": ("none", None), '{"é": [1, 2': ("none", None)}
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", jsonx.extract_json("x").alias("f")).collect()
+    assert {r.x: tuple(r.f) for r in rows} == texts
 
 
 def test_completion_dedupes_and_keeps_errors(spark):
@@ -93,15 +92,32 @@ def test_sse_decode(spark):
     assert [(r.e.kind, r.e.payload) for r in got] == [("chunk", "a\nb"), ("result", '{"x":1}'), ("raw", "r")]
 
 
-def test_stream_assembly(spark, tmp_path):
-    rows = [("r1", 1, "lo", False), ("r1", 0, "hel", False), ("r2", 0, "x", True), ("r1", 2, "", True)]
-    for i, part in enumerate((rows[:2], rows[2:])):
-        spark.createDataFrame(part, "request_id string, seq long, chunk string, done boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("request_id string, seq long, chunk string, done boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = sse.assemble_stream(stream).writeStream.format("memory").queryName("assembled").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
+def streamed(spark, path, schema, parts, run, name):
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path / "in"))
+    q = run(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
     q.stop()
-    assert sorted(tuple(r) for r in spark.table("assembled").collect()) == [("r1", "hello", 2), ("r2", "x", 1)]
+    return sorted(tuple(r) for r in spark.table(name).collect())
+
+
+def test_stream_assembly(spark, tmp_path):
+    rows = [("r1", 1, "lo", False), ("r1", 0, "hel", False), ("r2", 0, "x", True), ("r1", 2, "", True), ("r1", 3, "late", False), ("r2", 1, "late", True)]
+    got = streamed(spark, tmp_path, "request_id string, seq long, chunk string, done boolean", (rows[:2], rows[2:4], rows[4:]), lambda s: sse.assemble_stream(s, None), "assembled")
+    assert got == [("r1", "hello", 2), ("r2", "x", 1)]
+
+
+def test_stream_decoding_carries_cut_lines_and_characters(spark, tmp_path):
+    data = 'data: {"chunk":"é語"}\n\n: note\ndata: bad\ndata: {"result":{"x":[1]}}\n\ndata: [DONE]\ndata: {"chunk":"late"}\n\n'.encode()
+    parts = [[("r", k, bytearray(data[k : k + 1])) for k in range(a, min(a + 40, len(data)))][::-1] for a in range(0, len(data), 40)]
+    got = streamed(spark, tmp_path, "request_id string, seq long, data binary", [*parts, [("r", 999, bytearray(b'data: {"chunk":"x"}\n'))]], lambda s: sse.decode_stream(s, None), "decoded")
+    assert got == [("r", 0, "chunk", "é語"), ("r", 1, "result", '{"x":[1]}')]
+
+
+def test_sse_encoding_of_null(spark):
+    row = spark.sql("SELECT CAST(NULL AS STRING) AS p").select(sse.encode(F.lit("chunk"), "p").alias("a"), sse.encode(F.lit("result"), "p").alias("b"), sse.encode(F.lit("done"), "p").alias("c")).first()
+    assert tuple(row) == ('data: {"chunk":null}\n\n', 'data: {"result":null}\n\n', "data: [DONE]\n\n")
 
 
 def test_source_tree(spark, tmp_path):
@@ -116,6 +132,106 @@ def test_source_tree(spark, tmp_path):
     assert tree_megabytes(spark, str(tmp_path)) == pytest.approx(sum(map(len, files.values())) / 1048576)
 
 
+def test_annotation_language_of_unknown_and_unscanned_files(spark):
+    # Of a scanned file the language counts, be it unknown; python stands for paths that weren't scanned.
+    files = spark.createDataFrame([("p", 0, "Makefile", "all:"), ("p", 1, "a.go", "x"), ("p", 2, "b.lock", "y")], "project string, ord long, path string, content string")
+    wanted = files.select("project", "path").union(spark.sql("SELECT 'p', 'none'"))
+    got = {r.path: (r.language, r.annotation_language) for r in scan.file_lookup(wanted, scan.contents(files), scan.scan_upload(files)).collect()}
+    assert got == {"Makefile": ("unknown", "unknown"), "a.go": ("go", "go"), "b.lock": ("unknown", "python"), "none": ("unknown", "python")}
+
+
+def test_guards(spark, tmp_path):
+    (tmp_path / "a.py").write_bytes(b"x" * 2000)
+    assert [r.path for r in scan.scan_project(spark, str(tmp_path)).collect()] == ["a.py"]
+    with pytest.raises(ValueError, match="MB"):
+        scan.scan_project(spark, str(tmp_path), most_mb=0.001)
+    (tmp_path / "a.py").unlink()
+    with pytest.raises(ValueError, match="no readable"):
+        scan.scan_project(spark, str(tmp_path))
+    empty = spark.createDataFrame([], "project string, ord long, path string, content string")
+    with pytest.raises(ValueError, match="uploaded"):
+        scan.upload_project(empty)
+
+
+def test_large_folders_are_split(spark, tmp_path, monkeypatch):
+    from tessella.sources import tree
+
+    monkeypatch.setattr(tree, "NAMES", 10)
+    for i in range(45):
+        (tmp_path / f"d{i % 2}").mkdir(exist_ok=True)
+        (tmp_path / f"d{i % 2}" / f"{i}.py").write_text("x")
+    parts = tree._Reader({"path": str(tmp_path)}).partitions()
+    assert len(parts) == 6 and sorted(p.shares for p in parts) == [3] * 6
+    assert read_tree(spark, str(tmp_path)).count() == 45
+
+
+def test_long_and_overlapping_ranges(spark):
+    import random
+
+    rng = random.Random(3)
+    ranges = [(i, a := rng.randint(-5, 900), a + rng.choice([-1, 0, 3, 62, 64, 130, 700])) for i in range(60)]
+    notes = spark.createDataFrame([(1, i, a, b, f"n{i}") for i, a, b in ranges], "doc_id int, idx int, line_start int, line_end int, annotation string")
+    lines = spark.createDataFrame([(1, n) for n in range(1, 1000)] + [(1, 64)], "doc_id int, line int")
+    got = sorted((r.line, r.annotation) for r in annotations.lookup(lines, notes, ("doc_id",)).collect())
+    want = [(n, next((f"n{i}" for i, a, b in ranges if a <= n <= b), None)) for n in [*range(1, 1000), 64]]
+    assert got == sorted(want)
+
+
+def test_replay_over_batches(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "b", None, *[f"k{j}" for j in range(30)]]), rng.randint(0, 40 * 86_400)) for i in range(1500)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        log = spark.createDataFrame(rows, "event_id int, key string, at int").selectExpr("event_id", "key", "timestamp_seconds(at) AS ts")
+        got = {r.event_id: r.hit for r in cache.ttl_replay(log).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, until = {}, {}
+    for i, k, at in sorted(rows, key=lambda r: (r[2], r[0])):
+        want[i] = k is not None and at <= until.get(k, -1)
+        if not want[i]:
+            until[k] = at + 7 * 86_400
+    assert got == want
+
+
+def test_flows(spark):
+    from tessella.operators import flows
+
+    def streamer(prompt):
+        if "bad.py" in prompt:
+            raise ValueError("no")
+        yield from ("[1", "", "]") if "list.py" in prompt else ('{"a"', ": 1}")
+
+    files = spark.createDataFrame([(p, 0, f"{p}.py", "x") for p in ("good", "bad", "list", "kept")], "project string, ord long, path string, content string")
+    ranked = scan.rank(scan.scan_upload(files))
+    keyed = {r.project: r.cache_key for r in keys.overview_keys(ranked).collect()}
+    cached = spark.createDataFrame([(keyed["kept"], '{"k": 2}')], "key string, value string").selectExpr("*", "timestamp'2024-01-01' AS created_at")
+    asked = spark.createDataFrame([(1, "c", False, "good"), (2, "c", False, "kept"), (3, "c", False, "none"), (4, "c", False, "good"), (5, "c", False, "bad"), (6, "c", True, "list")], "request_id long, client string, own_key boolean, project string").selectExpr("*", "timestamp'2024-01-02' AS ts")
+    used = spark.sql("SELECT 'c' AS client, date'2024-01-02' AS day, 1L AS requests")
+    flow = flows.overview(asked, ranked, cached, streamer, used, limit=3)
+    got = {}
+    for r in sorted(flow.answers.collect()):
+        got.setdefault((r.request_id, r.status), []).append((r.kind, r.payload))
+    told = [("chunk", '{"a"'), ("chunk", ": 1}"), ("result", '{"a": 1}'), ("done", None)]
+    assert got == {(1, 200): told, (2, 200): [("result", '{"k": 2}'), ("done", None)], (3, 404): [("status", "404")], (4, 200): told, (5, 429): [("status", "429")], (6, 200): [("chunk", "[1"), ("chunk", "]"), ("raw", "[1]"), ("done", None)]}
+    assert [(r.key, r.value) for r in flow.entries.collect()] == [(keyed["good"], '{"a": 1}')]
+    assert [tuple(r)[2] for r in flow.counts.collect()] == [2]
+    failed = flows.overview(asked.filter("request_id = 5"), ranked, cached, streamer).answers.collect()
+    assert [(r.kind, r.payload) for r in sorted(failed)] == [("error", "ValueError: no"), ("raw", ""), ("done", None)]
+
+
+def test_tables_are_created_once(spark):
+    from tessella.operators import store
+
+    store.create_tables(spark)
+    store.create_tables(spark)
+    assert {"cache", "projects", "rate_limits"} <= {t.name for t in spark.catalog.listTables("default")}
+    for name in store.TABLES:
+        spark.sql(f"DROP TABLE {name}")
+
+
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query_against_sql(spark, name):
     import duckdb
