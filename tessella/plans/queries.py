@@ -160,6 +160,14 @@ def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.lookup(late, stored).select("event_id", "hit", "value")
 
 
+def cache_lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as writes, and all of them looked up, up to 14 days later."""
+    log = requests(spark, sf_dir)
+    stored = cache.upsert(log.withColumn("value", F.when(F.col("event_id") % 3 == 0, F.lit("{}")).otherwise(F.col("props"))), key="client")
+    late = log.withColumn("ts", F.col("ts") + F.make_dt_interval((F.col("event_id") % 15).cast("int"))).withColumnRenamed("client", "key")
+    return cache.lookup(late, stored).select("event_id", "hit", "value")
+
+
 def file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = uploads(spark, sf_dir).select(F.col("ord").alias("doc_id"), F.posexplode(t.splitlines("content")).alias("i", "text"))
     return docs.select("doc_id", (F.col("i") + 1).alias("line"))
@@ -349,7 +357,7 @@ def project_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.col("data").isNotNull().alias("found"), F.get_json_object("data", "$.total_files").cast("long").alias("total_files"), t.content_hash(store.file_of(F.col("data"), F.col("path"))).alias("content_hash"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (file_scan, project_rank_cap, content_key, overview_key, project_meta, reject_audit, file_content_lookup, language_histogram, quota_daily, quota_daily_default, quota_counts, ttl_cache_replay, cache_upsert, cache_lookup, annotation_lookup, annotation_labels, overview_prompt, annotation_prompt, url_parse, html_preview, json_extract, chunk_assembly, sse_roundtrip, completed_annotations, ui_columns, project_rank_cap_default, overview_key_default, project_meta_default, overview_prompt_default, html_preview_default, overview_flow, cached_replay, annotate_flow, sse_stream_decode, tree_project, uri_coding, project_store)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (file_scan, project_rank_cap, content_key, overview_key, project_meta, reject_audit, file_content_lookup, language_histogram, quota_daily, quota_daily_default, quota_counts, ttl_cache_replay, cache_upsert, cache_lookup, annotation_lookup, annotation_labels, overview_prompt, annotation_prompt, url_parse, html_preview, json_extract, chunk_assembly, sse_roundtrip, completed_annotations, ui_columns, project_rank_cap_default, overview_key_default, project_meta_default, overview_prompt_default, html_preview_default, cache_lookup_default, overview_flow, cached_replay, annotate_flow, sse_stream_decode, tree_project, uri_coding, project_store)}
 
 _client = rf"""CASE WHEN strlen(content) > {v.MAX_FILE_SIZE} THEN 'too_large' WHEN starts_with({_name('path')}, '.') THEN 'dot_file' WHEN contains(content, chr(0)) THEN 'binary' END"""
 _notes = f"""n AS (SELECT ord AS doc_id, unnest(range(1, len({_lines('content')}) + 1)) AS line FROM u),
@@ -465,3 +473,6 @@ w AS (SELECT project AS id, max(path) AS path, CAST(substr(project, 4) AS INT) A
 n AS (SELECT project AS id, least(count(*), {v.MAX_FILES}) AS total_files FROM s GROUP BY project),
 j AS (SELECT w.id, n.total_files, st.content, n.total_files IS NOT NULL AND (number % 2 = 0 OR number % 10 >= 4) AS found FROM w LEFT JOIN n USING (id) LEFT JOIN st ON st.project = w.id AND st.path = w.path)
 SELECT id, found, CASE WHEN found THEN total_files END AS total_files, CASE WHEN found THEN {_hash('content')} END AS content_hash FROM j"""
+SQL["cache_lookup_default"] = f"""WITH {_log}, c AS (SELECT client, CASE WHEN event_id % 3 = 0 THEN '{{}}' ELSE props END AS value, ts FROM l QUALIFY row_number() OVER (PARTITION BY client ORDER BY ts DESC, event_id DESC) = 1),
+j AS (SELECT event_id, c.value, coalesce(epoch_us(l.ts) + (event_id % 15) * 86400000000 - epoch_us(c.ts) <= {v.CACHE_TTL_SECONDS * 1_000_000} AND c.value NOT IN ('{{}}', '[]'), false) AS hit FROM l LEFT JOIN c USING (client))
+SELECT event_id, hit, CASE WHEN hit THEN value END AS value FROM j"""
