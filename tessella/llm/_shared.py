@@ -1,59 +1,38 @@
-"""Helpers shared by the training-data operators: scratch tables, row ids and text vectors."""
+"""Helpers shared by the training-data operators: scratch tables, column names and text vectors."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.scratch import discard, scratch_dir, written  # noqa: F401
+
 #: The six ASCII white-space bytes that end a word: [\x20\x09-\x0D].
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 #: The word pattern, for Spark and DuckDB regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Python works on at most about this many bytes of text at a time (at least one document).
 CHUNK_BYTES = 512 << 10
-
-
-def scratch_dir(spark: SparkSession, what: str) -> str:
-    """A new folder path below the shared folder that the session names in spark.checkpoint.dir.
-
-    Where that is unset (tests, a single machine) a temporary folder is made once and named there.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tessella-scratch-")
-        atexit.register(shutil.rmtree, root.removeprefix("file://"), True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, what: str, **options: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: its lineage ends there."""
-    spark = df.sparkSession
-    path = scratch_dir(spark, what)
-    df.write.options(**options).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
+#: Bytes, and words, for which figures are held one by one at a time: a single long text is worked on in such windows.
+WINDOW_BYTES, GRAM_WINDOW = 512 << 10, 1 << 17
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that docs doesn't have (in any letter case)."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Remove the files of a table made by written(); only for tables that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -99,6 +78,12 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], raw
 
 
+def gathered(source: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The concatenation of source[start : start + length]; what lies behind the end of source is repeated from there."""
+    at = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+    return source[np.minimum(at, len(source) - 1)] if len(at) else source[:0]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)
@@ -116,74 +101,101 @@ _BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
 _INV = pow(_BASE, -1, 1 << 64)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE_BYTES)] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
+    """base**0 .. base**(n-1) modulo 2**64; n is bounded by the windows below."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        m = max(n, 1 << 16)
-        have = np.full(m, base, np.uint64)
+        have = np.full(max(n, 1 << 16), base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if m <= 8 * CHUNK_BYTES:
-            _powers[base] = have
+        _powers[base] = have
     return have[:n]
 
 
+def runs(offsets: np.ndarray, text: np.ndarray, breaks: np.ndarray, lower: bool = False, chars: bool = False, window: int = WINDOW_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Byte spans, 64-bit hashes and (if asked) code points of the maximal runs of bytes outside `breaks`.
+
+    A run stays within one text. Figures for single bytes are held for one window at a time, so that
+    a text of any length needs memory for its runs only; a run over windows is put together.
+    """
+    n = len(text)
+    begins = offsets[:-1][offsets[:-1] < offsets[1:]]
+    power, inverse = _power(_BASE, min(n, window)), _power(_INV, min(n, window) + 1)
+    found: list[tuple[np.ndarray, ...]] = []
+    held: tuple[int, int, int] | None = None  # start, hash sum and code points of a run that reached its window's end
+    for a in range(0, n, window):
+        part = text[a : a + window]
+        if lower:
+            part = _LOWER[part]
+        b = a + len(part)
+        inside = ~breaks[part]
+        cut = begins[np.searchsorted(begins, a) : np.searchsorted(begins, b)] - a
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        first[cut] = inside[cut]
+        cut = cut[cut > 0] - 1
+        last[cut] = inside[cut]
+        s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * power[: len(part)], dtype=np.uint64)])
+        h = (sums[e] - sums[s]) * inverse[s]
+        if chars:
+            count = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
+            c = count[e] - count[s]
+        else:
+            c = np.zeros(len(s), np.int64)
+        s, e = s + a, e + a
+        if held is not None:
+            at, sum_, many = held
+            if len(s) and s[0] == a and not np.any(begins[np.searchsorted(begins, a) :][:1] == a):
+                h[0] = (sum_ + int(h[0]) * pow(_BASE, a - at, 1 << 64)) & 0xFFFFFFFFFFFFFFFF
+                s[0] = at
+                c[0] += many
+            else:
+                s, e, h, c = np.append(at, s), np.append(a, e), np.append(np.uint64(sum_), h), np.append(many, c)
+            held = None
+        if len(e) and e[-1] == b and b < n:
+            held = int(s[-1]), int(h[-1]), int(c[-1])
+            s, e, h, c = s[:-1], e[:-1], h[:-1], c[:-1]
+        found.append((s.astype(np.int32), e.astype(np.int32), mix64(h ^ ((e - s).astype(np.uint64) * _STEP)), c.astype(np.int32)))
+    if not found:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    out = [np.concatenate(x) for x in zip(*found)] if len(found) > 1 else list(found[0])
+    return out[0], out[1], out[2], out[3] if chars else None
+
+
 class Words:
     """Words of a block of texts: byte spans, document numbers and 64-bit hashes, as numpy arrays.
 
     text: one uint8 array; offsets: where each document starts (and the end). A word is a maximal run
-    of bytes outside SPACE_BYTES within one document.
+    of bytes outside SPACE_BYTES within one document. Memory is about 28 bytes a word, and 40 more
+    while runs of words are hashed.
     """
 
-    def __init__(self, offsets: np.ndarray, text: np.ndarray, lower: bool = False):
-        n = len(text)
-        if lower:
-            text = np.where((text >= 65) & (text <= 90), text + 32, text).astype(np.uint8)
+    def __init__(self, offsets: np.ndarray, text: np.ndarray, lower: bool = False, chars: bool = False):
         self.text, self.offsets = text, offsets
-        word = ~_IS_SPACE[text]
-        first = word.copy()
-        first[1:] &= ~word[:-1]
-        last = word.copy()
-        last[:-1] &= ~word[1:]
-        cuts = offsets[:-1][offsets[:-1] < offsets[1:]]
-        first[cuts] = word[cuts]
-        ends = offsets[1:][offsets[:-1] < offsets[1:]] - 1
-        last[ends] = word[ends]
-        self.start = np.flatnonzero(first)
-        self.end = np.flatnonzero(last) + 1
-        self.doc = np.searchsorted(offsets, self.start, "right") - 1
+        self.start, self.end, self.hash, self.chars = runs(offsets, text, _IS_SPACE, lower, chars)
+        self.doc = (np.searchsorted(offsets, self.start, "right") - 1).astype(np.int32)
         self.n_docs = len(offsets) - 1
         self.count = np.bincount(self.doc, minlength=self.n_docs)
         #: Number of a document's first word in this block; one more entry at the end.
         self.first = np.concatenate([[0], np.cumsum(self.count)]).astype(np.int64)
-        self.n_bytes = n
-
-    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of byte spans."""
-        if not hasattr(self, "_sums"):
-            v = _BYTE[self.text] * _power(_BASE, self.n_bytes)
-            self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)])
-        inv = _power(_INV, self.n_bytes + 1)
-        h = (self._sums[end] - self._sums[start]) * inv[start]
-        return mix64(h ^ ((end - start).astype(np.uint64) * _STEP))
-
-    @property
-    def hash(self) -> np.ndarray:
-        if not hasattr(self, "_hash"):
-            self._hash = self.span_hash(self.start, self.end)
-        return self._hash
 
     def gram_hash(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of k words within one document, and the number of each run's first word."""
-        h = self.hash
-        n = len(h)
-        if n < k:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        base = _power(_BASE, n)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * base, dtype=np.uint64)])
-        at = np.flatnonzero(self.doc[: n - k + 1] == self.doc[k - 1 :])
-        return mix64((sums[at + k] - sums[at]) * _power(_INV, n)[at] ^ np.uint64(k)), at
+        h, doc, n = self.hash, self.doc, len(self.hash)
+        found = []
+        for a in range(0, n - k + 1, GRAM_WINDOW):
+            part = h[a : a + GRAM_WINDOW + k - 1]
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * _power(_BASE, len(part)), dtype=np.uint64)])
+            last = min(a + GRAM_WINDOW, n - k + 1)
+            at = np.flatnonzero(doc[a:last] == doc[a + k - 1 : last + k - 1])
+            found.append((mix64((sums[at + k] - sums[at]) * _power(_INV, len(part))[at] ^ np.uint64(k)), (at + a).astype(np.int32)))
+        if not found:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        return found[0] if len(found) == 1 else tuple(np.concatenate(x) for x in zip(*found))

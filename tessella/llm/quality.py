@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import Words, byte_slices, lean, mix64, text_buffers
+from tessella.llm._shared import WINDOW_BYTES, Words, byte_slices, lean, mix64, runs, text_buffers
 
 #: N-gram lengths, and the percentage of word characters in later copies that a text may have.
 GRAMS = {5: 30, 7: 25, 10: 20}
@@ -27,8 +27,10 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, dup_line_chars long, " + ", ".join(f"dup_chars_{n} long" for n in GRAMS)
 
-_SYMBOL = np.zeros(256, np.int64)
-_SYMBOL[list(SYMBOLS)] = 1
+_SYMBOL = np.zeros(256, bool)
+_SYMBOL[list(SYMBOLS)] = True
+_FEED = np.zeros(256, bool)
+_FEED[10] = True
 
 
 def _sums(values: np.ndarray) -> np.ndarray:
@@ -56,26 +58,23 @@ def _covered(at: np.ndarray, n: int, words: int) -> np.ndarray:
 
 def measure(offsets: np.ndarray, text: np.ndarray) -> list[np.ndarray]:
     """The figures of COLUMNS for each text of a block (see text_buffers)."""
-    w = Words(offsets, text)
-    n_words, docs = w.count, w.n_docs
-    chars = _sums((text & 0xC0) != 0x80)
-    word_chars = chars[w.end] - chars[w.start]
+    w = Words(offsets, text, chars=True)
+    n_words, docs, word_chars = w.count, w.n_docs, w.chars
     per_doc = lambda x: np.bincount(w.doc, x, minlength=docs).astype(np.int64)
-    symbols = _sums(_SYMBOL[text])
-    # Lines: from the start of a document or behind a line feed, up to the next or the document's end.
-    feeds = np.flatnonzero(text == 10)
-    line_start = np.sort(np.concatenate([offsets[:-1], feeds + 1]), kind="stable")
-    line_doc = np.sort(np.concatenate([np.arange(docs), np.searchsorted(offsets, feeds, "right") - 1]), kind="stable")
-    line_end = np.sort(np.concatenate([offsets[1:], feeds]), kind="stable")
+    symbols = np.concatenate([np.zeros(0, np.int64), *(np.flatnonzero(_SYMBOL[text[a : a + WINDOW_BYTES]]) + a for a in range(0, len(text), WINDOW_BYTES))])
+    n_symbols = np.diff(np.searchsorted(symbols, offsets))
+    # Lines end at a line feed or with the document; those without a word don't count.
+    line_start, line_end, line_hash, _ = runs(offsets, text, _FEED)
     words_to = np.searchsorted(w.start, np.stack([line_start, line_end]))
     worded = words_to[1] > words_to[0]
-    line_later, _ = _later(line_doc[worded], w.span_hash(line_start[worded], line_end[worded]))
+    line_doc = np.searchsorted(offsets, line_start, "right") - 1
+    line_later, _ = _later(line_doc[worded], line_hash[worded])
     of = _sums(word_chars)
     line_chars = (of[words_to[1]] - of[words_to[0]])[worded] * line_later
     lines_of = lambda x: np.bincount(line_doc[worded], x, minlength=docs).astype(np.int64)
     h3, at3 = w.gram_hash(3)
     _, every3 = _later(w.doc[at3], h3)
-    out = [n_words, per_doc(word_chars), symbols[offsets[1:]] - symbols[offsets[:-1]], lines_of(line_later), per_doc(_covered(at3[every3], 3, len(w.doc))), lines_of(line_chars)]
+    out = [n_words, per_doc(word_chars), n_symbols, lines_of(line_later), per_doc(_covered(at3[every3], 3, len(w.doc))), lines_of(line_chars)]
     repeated = np.zeros(len(w.doc) + 1, bool)
     repeated[at3[every3]] = True
     for n in GRAMS:
@@ -87,36 +86,47 @@ def measure(offsets: np.ndarray, text: np.ndarray) -> list[np.ndarray]:
     return [x.astype(np.int64) for x in out]
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Figures and verdict for each document: doc_id, COLUMNS, base_failed, kept (and `keep`, as keep_<name>).
+def verdict(figures: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """base_failed and kept, from measure()."""
+    n_words, word_chars, _, _, n_repeat_words, dup_line_chars, *dup_chars = figures
+    failed = (n_words < LEAST_WORDS) | (100 * n_repeat_words > MOST_REPEATED * n_words)
+    bad = 100 * dup_line_chars > LINES * word_chars
+    for most, chars in zip(GRAMS.values(), dup_chars):
+        bad |= 100 * chars > most * word_chars
+    return failed, ~failed & ~bad
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Figures and verdict for each document: doc_id, COLUMNS, base_failed, kept.
 
     A null, empty or blank text has no words and fails the base rule. Rows that repeat are judged
-    each for itself. Other columns are not read, so their names don't matter.
+    each for itself. An empty table gives no rows. Other columns are not read, so their names don't
+    matter. A long text is worked on in windows: a task needs about 15 bytes for each of its bytes.
     """
-    extra = [F.col(c).alias(f"keep_{c}") for c in keep]
-    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), *extra)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    names = [x.split()[0] for x in COLUMNS.split(", ")]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in byte_slices(batch.column(0)):
+            for a, b in byte_slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                figures = measure(*text_buffers(part.column(0)))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *map(pa.array, figures)], names=[*part.schema.names[1:], *[x.split()[0] for x in COLUMNS.split(", ")]])
-
-    kinds = ", ".join(f"`{name}` {rows.schema[name].dataType.simpleString()}" for name in rows.columns[1:])
-    judged = rows.mapInArrow(lean(judge), f"{kinds}, {COLUMNS}")
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    bad = 100 * F.col("dup_line_chars") > LINES * F.col("word_chars")
-    for n, most in GRAMS.items():
-        bad |= 100 * F.col(f"dup_chars_{n}") > most * F.col("word_chars")
-    judged = judged.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~bad)
-    return judged.select("doc_id", *[x.split()[0] for x in COLUMNS.split(", ")], "base_failed", "kept", *[f"keep_{c}" for c in keep])
-
-
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with their columns."""
-    good = quality(docs, id_col, text_col, keep=tuple(docs.columns)).filter("kept")
-    return good.select(*[F.col(f"keep_{c}").alias(c) for c in docs.columns])
+                figures = measure(*text_buffers(part.column(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, figures), *map(pa.array, verdict(figures))], names=["doc_id", *names, "base_failed", "kept"])
+
+    return rows.mapInArrow(lean(judge), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {COLUMNS}, base_failed boolean, kept boolean")
+
+
+def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs that are kept, with their columns, whatever these are named. Null texts go."""
+    at = docs.columns.index(text_col)
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in byte_slices(batch.column(at)):
+                part = batch.slice(a, b - a)
+                yield part.filter(pa.array(verdict(measure(*text_buffers(part.column(at))))[1]))
+
+    return docs.mapInArrow(lean(good), docs.schema)
 
 
 def _sql() -> str:
