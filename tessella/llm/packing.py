@@ -23,6 +23,8 @@ from tessella.llm.tokenbin import encode_column
 
 #: Pieces in a partition, on average, and the most rounds of exchange.
 GROUP, ROUNDS = 20_000, 4
+#: Orders that the only partition of a round tries while its bound isn't met.
+ORDERS = 4
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -51,9 +53,9 @@ def lower_bound(lengths: np.ndarray, capacity: int, counts: np.ndarray | None =
     return best
 
 
-def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best-fit decreasing: the bin and the offset of each piece, and the room left in each bin."""
-    order = np.argsort(-lengths, kind="stable")
+def best_fit(lengths: np.ndarray, capacity: int, by: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best-fit decreasing (or in decreasing order of `by`): the bin and the offset of each piece, and the room left in each bin."""
+    order = np.argsort(-(lengths if by is None else by), kind="stable")
     bin_of, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     by_room: dict[int, list[int]] = {}
     rooms: list[int] = []
@@ -102,13 +104,21 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
     return rows.mapInArrow(lean(cut), PIECE)
 
 
-def _placer(capacity: int, turn: int, last: bool):
-    """Packs one partition's pieces; marks those that are handed on."""
+def _placer(capacity: int, turn: int, last: bool, only: bool):
+    """Packs one partition's pieces; marks those that are handed on. The only partition tries other orders instead."""
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         lengths = pdf["length"].to_numpy(np.int64)
         bin_of, offset, room = best_fit(lengths, capacity)
-        gap = len(room) - lower_bound(lengths, capacity)
+        least = lower_bound(lengths, capacity)
+        rng = np.random.default_rng(turn)
+        for _ in range(ORDERS if only else 0):
+            if len(room) == least:
+                break
+            other = best_fit(lengths, capacity, lengths * rng.uniform(0.9, 1.1, len(lengths)))
+            if len(other[2]) < len(room):
+                bin_of, offset, room = other
+        gap = len(room) - least
         again = np.zeros(len(room), bool)
         if gap > 0 and not last:
             emptiest = np.argsort(-room, kind="stable")
@@ -124,8 +134,9 @@ def _placer(capacity: int, turn: int, last: bool):
 def pack(rows: DataFrame, capacity: int = 1024, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
     """Adds sequence_id and offset to pieces (columns of PIECE, lengths 1 to capacity).
 
-    Every row gets a place; sequences are filled gapless from offset 0. The hash that deals pieces
-    takes id and piece, so repeated rows meet in one partition and still get places of their own.
+    Every row gets a place; sequences are filled gapless from offset 0. Rows are dealt by a hash of
+    what they hold and of their place in the table, so that repeated rows and null ids spread evenly;
+    rows must be a written table, in which places stay. An empty table gives no rows.
     """
     todo, done = rows, []
     for turn in range(rounds):
@@ -135,8 +146,8 @@ def pack(rows: DataFrame, capacity: int = 1024, group: int = GROUP, rounds: int
             break
         groups = max(1, -(-n // group))
 
-        dealt = todo.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(groups)).alias("dealt"))
-        placed = written(dealt.groupBy("dealt").applyInPandas(_placer(capacity, turn, last), f"{PIECE}, sequence_id long, offset long, again boolean, gap long"), "packed")
+        dealt = todo.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(turn)), F.lit(groups)).alias("dealt"))
+        placed = written(dealt.groupBy("dealt").applyInPandas(_placer(capacity, turn, last, groups == 1), f"{PIECE}, sequence_id long, offset long, again boolean, gap long"), "packed")
         done.append(placed.filter(~F.col("again")).drop("again", "gap"))
         todo = placed.filter("again").drop("again", "gap", "sequence_id", "offset")
         if groups == 1:

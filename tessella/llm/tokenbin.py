@@ -51,13 +51,13 @@ def encode_column(column: pa.Array, vocabulary: str, end_id: int | None) -> Iter
         yield a, b, ids, at
 
 
-def write_token_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
+def write_token_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, layout: dict[str, str] = LAYOUT) -> None:
     """Write the ids of every text below path, ascending by id.
 
     Columns: doc_id, part (number of the file's task), local_start (ids before the document in its
     file), n_tokens, tokens. A null text counts as empty and has the end id only; a null doc_id comes
     first; equal ids are ordered by text and each keep their row; other columns of docs are not read.
-    An empty table gives an empty directory of files.
+    An empty table gives an empty directory of files. A text's ids are one list, whole in a task's memory.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(partitions or parallelism(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
@@ -75,7 +75,7 @@ def write_token_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2
                 total += int(at[-1])
 
     out = rows.mapInArrow(lean(encode), "doc_id long, part int, local_start long, n_tokens long, tokens array<int>")
-    out.write.options(**LAYOUT).parquet(path)
+    out.write.options(**layout).parquet(path)
 
 
 def read_token_index(spark, path: str) -> DataFrame:
@@ -96,6 +96,11 @@ def _with_start(rows: DataFrame, path: str) -> DataFrame:
     return rows.join(F.broadcast(base), "part").withColumn("start", F.col("base") + F.col("local_start")).drop("base", "local_start", "part")
 
 
+def read_tokens(spark, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id and tokens of a few documents: row groups and pages without them are passed over by their statistics."""
+    return spark.read.parquet(path).filter(F.col("doc_id").isin(*doc_ids)).select("doc_id", "tokens")
+
+
 def read_token_digest(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32, computed from the ids that the files hold."""
 

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -9,26 +10,28 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tessella.llm import packing, tokenbin
-from tessella.llm._shared import text_buffers
+from tessella.llm import _shared, packing, tokenbin
+from tessella.llm._shared import scratch_dir, text_buffers
 from tessella.llm.tokens import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["a  b", "", "a   b c", "x \n y", "\n\n a b ", " a", "  ", "don't 's x", "a\xa0 \xa0 b", "tab\t b", None, "é b  c\n\n d", "a.\nB c, d.\n", "x..\ny' z, É.", ".", "a.b. c!", "　 x \x85 y", "<|endoftext|> a", "a\x1cb c", "﻿a b", "‘a’ “b”. c…"]
+ODD = ["a  b", "", "a   b c", "x \n y", "\n\n a b ", " a", "  ", "don't 's x", "a\xa0 \xa0 b", "tab\t b", None, "é b  c\n\n d", "a.\nB c, d.\n", "x..\ny' z, É.", ".", "a.b. c!", "　 x \x85 y", "<|endoftext|> a", "hello <|endoftext|> world. <|endoftext|>", "a.<|endoftext|>  b", "x  <|endoftext|>\n y <|endof text|>", "<|endoftext|><|endoftext|>", "a\x1cb c", "﻿a b", "‘a’ “b”. c…"]
 
 
 def own(texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
 def test_blocks_equal_the_library():
-    enc, rng = Encoder(PATH, slots=1 << 10), random.Random(1)
-    for trial in range(60):
-        texts = ODD if trial < 2 else ["".join(rng.choice("ab.,'s \n\t é!1 Q") for _ in range(rng.randint(0, 40))) for _ in range(20)]
-        ids, at = enc.block(*text_buffers(pa.array(texts, pa.string())))
-        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == own(texts)
+    rng = random.Random(1)
+    bits = [*"ab.,'s \n\t é!1 Q", "\xa0", "\u3000", "\x1c", "<|endoftext|>", "<|endof"]
+    for window in (64, 100, 1 << 19):  # short windows: pieces and marks over their ends
+        enc = Encoder(PATH, slots=1 << 10, window=window)
+        for trial in range(60):
+            texts = ODD if trial < 2 else ["".join(rng.choice(bits) for _ in range(rng.randint(0, 80))) for _ in range(20)]
+            ids, at = enc.block(*text_buffers(pa.array(texts, pa.string())))
+            assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == own(texts)
 
 
 def crc(ids):
@@ -54,6 +57,34 @@ def test_token_files(spark, docs):
     assert tokenbin.token_ids(df.limit(0), PATH).count() == 0
 
 
+def test_selective_reads(spark):
+    import pyarrow.parquet as pq
+
+    df = spark.createDataFrame([(i, f"words of {i} " * 200) for i in range(400)], "doc_id long, text string")
+    path = scratch_dir(spark, "selective")
+    layout = tokenbin.LAYOUT | {"parquet.block.size": "65536", "parquet.page.size": "4096", "parquet.page.row.count.limit": "20"}
+    tokenbin.write_token_ids(df, path, PATH, partitions=1, layout=layout)
+    got = {r.doc_id: r.tokens for r in tokenbin.read_tokens(spark, path, [7, 250]).collect()}
+    assert got == {i: [*own([f"words of {i} " * 200])[0], 2] for i in (7, 250)}
+    file = next(p for p in Path(path.removeprefix("file://")).glob("*.parquet") if pq.ParquetFile(p).metadata.num_rows == 400)
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_row_groups > 1
+    for g in range(meta.num_row_groups):
+        columns = {meta.row_group(g).column(k).path_in_schema.split(".")[0]: meta.row_group(g).column(k) for k in range(meta.num_columns)}
+        assert all(c.has_offset_index for c in columns.values()) and columns["doc_id"].has_column_index
+        assert "DELTA_BINARY_PACKED" in columns["doc_id"].encodings and any("DICTIONARY" in e for e in columns["tokens"].encodings)
+
+
+def test_null_and_repeated_ids_are_dealt_evenly(spark):
+    from pyspark.sql import functions as F
+
+    rows = _shared.written(spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), (F.col("id") % 2).cast("int").alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(600).cast("long").alias("length"), F.lit(1).cast("long").alias("ids_crc32")), "null-ids")
+    packed = packing.pack(rows, 1024, group=2000, rounds=1)
+    assert packed.count() == 20_000 and packed.select("sequence_id").distinct().count() == 20_000
+    groups = packed.groupBy(F.shiftright("sequence_id", 24).alias("g")).count().collect()
+    assert len(groups) == 10 and max(r["count"] for r in groups) < 2400
+
+
 def test_pieces_and_packing(spark, docs):
     rows, df = docs
     got = [r.asDict() for r in packing.pack_documents(df, PATH, capacity=64, group=30).collect()]
