@@ -7,8 +7,10 @@ deep and has suffixes of several documents below it. Trees are built by groups o
   windows have equal keys, and neighbouring windows mostly share theirs, so that a run of suffixes
   with one key travels as one segment of text.
 * Keys found in one document only are leaves and are dropped before any text moves.
-* Segments are grouped by key. A group with more documents than a task should hold gets a longer
-  prefix, all `window` words; its suffixes meet by that prefix alone, combined before the shuffle.
+* Segments are grouped by key, if a task can hold the group: groups are bounded by their words. A larger
+  group gets a longer prefix, at once all `window` words, whose group is a leaf of the tree: its suffixes
+  are rows of two numbers, and their least id is combined before the shuffle, so that no group of any
+  size meets in one task.
 * In a task, the tree of each group is built from the root down: classes of suffixes with equal
   prefixes of 1, 2, 4, ... and at last `window` words, where classes within one document are dropped
   at every depth. What remains are the deep internal nodes.
@@ -26,11 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import Words, byte_slices, lean, mix64, text_buffers, written
+from tessella.llm._shared import Words, byte_slices, discard, gathered, lean, mix64, text_buffers, written
 
 WINDOW, ANCHOR = 50, 16
-#: Documents that share a key, above which the group gets the longest prefix.
-GROUP_DOCS = 8192
+#: Words of the segments that share a key, above which the group gets the longest prefix.
+GROUP_WORDS = 50_000
+#: Up to so many keys (16 bytes each) are broadcast.
+FEW_KEYS = 500_000
+#: Words whose bytes are joined at a time.
+JOINED = 1 << 17
 #: A task builds trees over about so many words at a time (always whole groups).
 BLOCK_WORDS = 400_000
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -56,6 +62,28 @@ def window_keys(w: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndar
     return low[first], first
 
 
+def word_digests(w: Words, keep: np.ndarray | None = None) -> list[str]:
+    """SHA-256 of each text's words (those of the mask `keep`), joined by one space."""
+    pick = np.arange(len(w.start)) if keep is None else np.flatnonzero(keep)
+    of = np.searchsorted(pick, w.first)
+    out, low, high, raw, at = [], 0, 0, b"", np.zeros(1, np.int64)
+    for a, b in zip(of[:-1].tolist(), of[1:].tolist()):
+        digest = hashlib.sha256()
+        while a < b:
+            if a >= high:
+                low, high = a, min(a + JOINED, len(pick))
+                start, size = w.start[pick[low:high]].astype(np.int64), (w.end[pick[low:high]] - w.start[pick[low:high]]).astype(np.int64) + 1
+                at = np.concatenate([[0], np.cumsum(size)])
+                joined = gathered(w.text, start, size)
+                joined[at[1:] - 1] = 32
+                raw = joined.tobytes()
+            to = min(b, high)
+            digest.update(raw[at[a - low] : at[to - low] - (to == b)])
+            a = to
+        out.append(digest.hexdigest())
+    return out
+
+
 def _describe(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,12 +92,21 @@ def _describe(window: int, anchor: int):
                 w = Words(*text_buffers(part.column(2)))
                 keys, first = window_keys(w, window, anchor)
                 doc = w.doc[first]
+                # Runs of windows with one key are segments; then the segments of a document with one key.
+                new = np.ones(len(keys), bool)
+                new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
+                at = np.flatnonzero(new)
+                words = np.diff(np.append(at, len(keys))) + window - 1
+                keys, doc = keys[at], doc[at]
+                order = np.lexsort((keys, doc))
+                keys, doc, words = keys[order], doc[order], words[order]
                 new = np.ones(len(keys), bool)
                 new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
-                counts = np.bincount(doc[new], minlength=b - a)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(keys[new].view(np.int64)))
-                digest = [hashlib.sha256(b" ".join((t.as_py() or "").encode().split())).hexdigest() for t in part.column(2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(w.count.astype(np.int64)), pa.array(digest), lists], names=["id", "text_hash", "n_words", "sha", "keys"])
+                at = np.flatnonzero(new)
+                words = np.add.reduceat(words, at) if len(at) else words
+                counts = np.concatenate([[0], np.cumsum(np.bincount(doc[at], minlength=b - a))]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(counts), pa.array(x)) for x in (keys[at].view(np.int64), words.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(w.count.astype(np.int64)), pa.array(word_digests(w)), *lists], names=["id", "text_hash", "n_words", "sha", "keys", "words"])
 
     return run
 
@@ -104,8 +141,7 @@ def _segments(window: int, anchor: int):
                     begin = light[cut]
                     end = light[np.append(np.flatnonzero(cut)[1:], len(light)) - 1]
                     from_byte, to_byte = w.start[first[begin]], w.end[first[end] + window - 1]
-                    raw = w.text.tobytes()
-                    text = pa.array([raw[x:y] for x, y in zip(from_byte.tolist(), to_byte.tolist())], pa.binary())
+                    text = pa.array([w.text[x:y].tobytes() for x, y in zip(from_byte.tolist(), to_byte.tolist())], pa.binary())
                     of = pa.array(doc[begin])
                     yield pa.RecordBatch.from_arrays([pa.array(keys[begin].view(np.int64)), ids.take(of), hashes.take(of), pa.array((first[begin] - w.first[doc[begin]]).astype(np.int32)), text], names=names)
                 if is_hot.any():
@@ -168,15 +204,12 @@ def _trees(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, enough = 0, 6 * BLOCK_WORDS
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                piece = batch.slice(at, 2000)
-                at += piece.num_rows
-                held.append(piece)
-                size += piece.column(4).nbytes
-                if size < 6 * BLOCK_WORDS:
+            for at in range(0, batch.num_rows, 2000):
+                held.append(batch.slice(at, 2000))
+                size += held[-1].column(4).nbytes
+                if size < enough:
                     continue
                 table = pa.Table.from_batches(held)
                 keys = table["key"].to_numpy()
@@ -184,8 +217,8 @@ def _trees(window: int):
                 if cut:
                     yield build(table.slice(0, cut))
                 rest = table.slice(cut).combine_chunks()
-                held = rest.to_batches()
-                size = rest.nbytes if not cut else 0
+                held, size = rest.to_batches(), rest["words"].nbytes
+                enough = max(6 * BLOCK_WORDS, 2 * size)
         if held:
             yield build(pa.Table.from_batches(held))
 
@@ -194,57 +227,67 @@ def _trees(window: int):
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_removed, digest = [], []
-        for text, begin, end in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-            words = text.encode().split()
-            edge = np.zeros(len(words) + 1, np.int64)
-            np.add.at(edge, begin, 1)
-            np.add.at(edge, end, -1)
+        for a, b in byte_slices(batch.column(2)):
+            part = batch.slice(a, b - a)
+            w = Words(*text_buffers(part.column(2)))
+            edge = np.zeros(len(w.start) + 1, np.int32)
+            for k, by in ((3, 1), (4, -1)):
+                lists = part.column(k)
+                at = np.asarray(lists.flatten()) + np.repeat(w.first[:-1], np.diff(np.asarray(lists.offsets)))
+                np.add.at(edge, at, by)
             gone = np.cumsum(edge[:-1]) > 0
-            n_removed.append(int(gone.sum()))
-            digest.append(hashlib.sha256(b" ".join([x for x, g in zip(words, gone.tolist()) if not g])).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())], names=["id", "text_hash", "n_removed", "kept_sha256"])
+            n_removed = np.bincount(w.doc[gone], minlength=b - a)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_removed.astype(np.int64)), pa.array(word_digests(w, ~gone), pa.string())], names=["id", "text_hash", "n_removed", "kept_sha256"])
+
+
+def _by_key(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows joined with a written table on its key: broadcast if few, else so that Spark may split a key's many rows."""
+    return rows.join(F.broadcast(table) if table.count() <= FEW_KEYS else table, "key")
 
 
-def repeated_runs(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, group_docs: int = GROUP_DOCS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(all documents, documents that may repeat others with their text, runs of words to remove)."""
+def repeated_runs(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, group_words: int = GROUP_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """(all documents, documents that may repeat others with their text, runs of words to remove, tables that the runs are read from)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("text_hash"), "text")
-    every = written(rows.mapInArrow(lean(_describe(window, anchor)), "id long, text_hash long, n_words long, sha string, keys array<long>"), "described")
+    every = written(rows.mapInArrow(lean(_describe(window, anchor)), "id long, text_hash long, n_words long, sha string, keys array<long>, words array<int>"), "described")
     # One document of each text: the sha is that of its words.
-    firsts = every.filter(F.col("n_words") >= window).groupBy("sha").agg(F.min(F.struct("id", "text_hash", "keys")).alias("d")).select("d.*")
+    firsts = every.filter(F.col("n_words") >= window).groupBy("sha").agg(F.min(F.struct("id", "text_hash", "keys", "words")).alias("d")).select("d.*")
     firsts = written(firsts, "first-copies")
-    held = firsts.select("id", "text_hash", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = held.groupBy("key").agg(F.count("*").alias("docs"), F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("key", (F.col("docs") > group_docs).alias("heavy"))
-    wanted = held.join(shared, "key").groupBy("id", "text_hash").agg(F.collect_list(F.struct("key", "heavy")).alias("k"))
+    held = firsts.select("id", "text_hash", F.explode(F.arrays_zip("keys", "words")).alias("k")).select("id", "text_hash", "k.keys", "k.words").toDF("id", "text_hash", "key", "words")
+    shared = held.groupBy("key").agg(F.sum("words").alias("all_words"), F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b")
+    shared = written(shared.select("key", (F.col("all_words") > group_words).alias("heavy")), "shared-keys")
+    wanted = _by_key(held.drop("words"), shared).groupBy("id", "text_hash").agg(F.collect_list(F.struct("key", "heavy")).alias("k"))
     wanted = wanted.select("id", "text_hash", F.col("k.key").alias("keys"), F.col("k.heavy").alias("heavy"))
     texts = written(rows.filter(F.length("text") >= 2 * window - 1).join(wanted, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]).select("id", "text_hash", "text", "keys", "heavy"), "repeating-texts")
+    discard(firsts, shared)
     parts = texts.mapInArrow(lean(_segments(window, anchor)), "key long, id long, text_hash long, at int, words binary")
     parts = written(parts, "segments", compression="zstd")
     light = parts.filter("words IS NOT NULL").repartition("key").sortWithinPartitions("key")
     runs = light.mapInArrow(lean(_trees(window)), "id long, text_hash long, `from` long, `to` long")
     heavy = parts.filter("words IS NULL").drop("words")
-    least = heavy.groupBy("key").agg(F.min("id").alias("least"))
-    deep = heavy.join(least, "key").filter("id > least").select("id", "text_hash", F.col("at").cast("long").alias("from"), (F.col("at") + window).cast("long").alias("to"))
-    return every, texts, runs.unionByName(deep)
+    least = written(heavy.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").drop("most"), "leaves")
+    deep = _by_key(heavy, least).filter("id > least").select("id", "text_hash", F.col("at").cast("long").alias("from"), (F.col("at") + window).cast("long").alias("to"))
+    return every, texts, runs.unionByName(deep), [parts, least]
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, group_docs: int = GROUP_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, group_words: int = GROUP_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_words, n_removed, kept_sha256.
 
     A word goes if a window over it also starts in a document with a smaller id; a null id is
     greater than all others. Repeats within one document, and documents below `window` words, stay.
     Null and empty texts have no words; repeated rows each keep their row, and equal ids never
-    remove from each other. Windows are compared by 64-bit hashes of their words. Other columns are
+    remove from each other. Windows are compared by 64-bit hashes of their words. An empty table
+    gives no rows. A task needs about 20 bytes for each byte of its longest text. Other columns are
     not read.
     """
-    every, texts, runs = repeated_runs(docs, window, anchor, group_docs, id_col, text_col)
+    every, texts, runs, read = repeated_runs(docs, window, anchor, group_words, id_col, text_col)
     by_doc = runs.groupBy("id", "text_hash").agg(F.collect_list("from").alias("begin"), F.collect_list("to").alias("end"))
     cut = texts.select("id", "text_hash", "text").join(by_doc, ["id", "text_hash"]).mapInArrow(lean(_cut_out), "id long, text_hash long, n_removed long, kept_sha256 string")
     cut = written(cut, "cut-texts")
-    narrow = every.drop("keys")
-    first = narrow.filter(F.col("n_words") >= window).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    out = narrow.join(first, "sha", "left").join(cut, ["id", "text_hash"], "left")
+    discard(texts, *read)
+    narrow = every.drop("keys", "words")
+    first = written(narrow.filter(F.col("n_words") >= window).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "copied")
+    out = narrow.join(F.broadcast(first) if first.count() <= FEW_KEYS // 4 else first, "sha", "left").join(cut, ["id", "text_hash"], "left")
     copy = F.col("id") > F.col("first")
     return out.select(
         F.when(F.col("id") != _LAST, F.col("id")).alias("doc_id"), "n_words",

@@ -90,6 +90,70 @@ def test_components(spark, rule):
     assert jaccard.near_groups(frame(spark, ROWS).limit(0), rule).count() == 0
 
 
+def test_families_of_near_copies(spark):
+    """Two unlinked families with chains in them, in one task: dense lists, chunks of lists, and components across them."""
+    rng = random.Random(8)
+    shared, rows = [f"c{k}" for k in range(60)], []
+    for half in range(2):
+        base = [f"h{half}w{k}" for k in range(40)] + shared
+        for i in range(350):
+            if i % 50 == 0:  # the chain goes on from the last copy
+                words = list(base if i == 0 else words)
+            else:
+                words = list(base) if i % 3 else list(words)
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                words[rng.randrange(100)] = f"x{rng.randrange(3000)}"
+            rows.append((half * 1000 + i, " ".join(words)))
+    for rule in (jaccard.Rule(5, 80, 100), jaccard.Rule(4, 85, 100)):
+        for parts in (1, 3):
+            got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_groups(frame(spark, rows).coalesce(parts), rule, block=64).collect())
+            assert got == brute_components(rows, rule)
+
+
+def test_all_links(spark):
+    rule = jaccard.Rule(3, 70, 100)
+    rows = corpus(n=120, seed=5)
+    links, members = jaccard.similar_pairs(frame(spark, rows).coalesce(1), rule, block=16)
+    node = {r.doc_id: r.node for r in members.collect()}
+    sets = {node[i]: shingles(x, 3) for i, x in rows}
+    assert len(set(node.values())) == len(set(sets.values())) == len(sets)
+    ids = sorted(sets)
+    want = {(a, b) for n, b in enumerate(ids) for a in ids[:n] if 100 * len(sets[a] & sets[b]) >= 70 * len(sets[a] | sets[b])}
+    assert {tuple(r) for r in links.collect()} == want and len(want) > 50
+
+
+def test_keep_one_leaves_columns_alone(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g", 7, 8, 9, "x"), (2, "a b c d e f g", 1, 2, 3, "y"), (3, "other", 4, 5, 6, "z")], "doc_id long, text string, _id int, _hash int, ID int, hash string")
+    df = df.withColumnRenamed("ID", "component")
+    assert sorted(map(tuple, jaccard.keep_one(df).collect())) == [(1, "a b c d e f g", 7, 8, 9, "x"), (3, "other", 4, 5, 6, "z")]
+    odd = df.toDF("doc_id", "text", "n", "norm", "prefix", "place")
+    assert sorted(map(tuple, exact.drop_copies(odd).collect())) == [(1, "a b c d e f g", 7, 8, 9, "x"), (3, "other", 4, 5, 6, "z")]
+
+
+def test_drop_copies_of_hot_texts(spark):
+    rows = [(i if i % 7 else None, "same  text" if i % 5 else "same text", i) for i in range(1200)] + [(5000 + i, f"text {i}", i) for i in range(30)]
+    kept = exact.drop_copies(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(6)).collect()
+    assert len(kept) == 31 and sorted(r.doc_id for r in kept)[0] == 1 and {r.text for r in kept if r.doc_id == 1} == {"same  text"}
+
+
+def test_runs_over_windows():
+    import numpy as np
+    import pyarrow as pa
+
+    from tessella.llm import _shared
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab é\n語C") for _ in range(rng.choice([0, 1, 5, 40, 300]))) for _ in range(60)]
+    offsets, raw = _shared.text_buffers(pa.array(texts))
+    whole = _shared.runs(offsets, raw, _shared._IS_SPACE, chars=True)
+    for window in (1, 2, 7, 64):
+        for a, b in zip(whole, _shared.runs(offsets, raw, _shared._IS_SPACE, chars=True, window=window)):
+            assert np.array_equal(a, b)
+    words = [w for t in texts for w in t.encode().split()]
+    assert [bytes(raw[a:b]) for a, b in zip(whole[0], whole[1])] == words and whole[3].tolist() == [len(w.decode()) for w in words]
+    assert len(set(whole[2].tolist())) == len(set(words))
+
+
 def test_near_edge_rows(spark):
     rows = [(None, "x y z u v w"), (2, "x y z u v w"), (2, "x y z u v w"), (5, None), (6, "")]
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_groups(frame(spark, rows)).collect()]
@@ -138,10 +202,10 @@ def brute_repeats(rows, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("group_docs", [8192, 3])
-def test_substring_dedup(spark, group_docs):
+@pytest.mark.parametrize("group_words", [50_000, 300])
+def test_substring_dedup(spark, group_words):
     rows = [*corpus(), (500, None), (501, ""), (502, "x " * 200), (503, "x " * 60)]
-    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(frame(spark, rows), group_docs=group_docs).collect())
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(frame(spark, rows), group_words=group_words).collect())
     assert got == brute_repeats(rows, 50)
 
 
@@ -151,3 +215,9 @@ def test_substring_edge_rows(spark):
     got = [(r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(frame(spark, rows)).collect()]
     assert sorted(got, key=str) == sorted([(2, 60, 59), (2, 60, 59), (None, 60, 60), (1, 59, 0)], key=str)
     assert substring.remove_repeats(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_repeats_of_one_word(spark):
+    rows = [(i, "w " * (45 + i % 30)) for i in range(1500)] + [(9000, "w " * 40_000), (9001, "v " * 3000), (9002, "u " + "v " * 2000)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(frame(spark, rows)).collect())
+    assert got == sorted(brute_repeats(rows, 50))
