@@ -1,10 +1,10 @@
 """Secret scans: base patterns, and assignment-aware lexing.
 
 The lexer reads source and configuration syntax into pairs of a name and a literal: assignments
-(`=`, `:=`, `:`, `=>`), quoted keys, call arguments by keyword, `export` and `-D`/`--name` options,
+(`=`, `:=`, `:`, `=>`), quoted keys, call arguments by keyword, setters, `export` and `-D`/`--name` options,
 header lines and XML or INI entries. Constants are propagated: a name that was bound to a literal, a
-concatenation of literals and such names, and defaults of environment look-ups stand for their
-values. Values go on over line ends behind a binding or a join sign, within brackets, behind a
+concatenation of literals and such names, and defaults of environment look-ups (or behind `||`, `??`
+and `or`) stand for their values, until the name is bound to something else. Values go on over line ends behind a binding or a join sign, within brackets, behind a
 backslash, and in triple-quoted and block strings. A literal is scored by its target name (and the names it passed through) and by its form.
 """
 
@@ -73,9 +73,15 @@ INSIDE = re.compile(r"""(?:(?:\A|(?<=["']))(?P<header>[A-Za-z][A-Za-z0-9-]*):[ \
 #: Words before a credential.
 SCHEME = re.compile(r"\s*(?:Bearer|Basic|Token|ApiKey)[ \t]+", re.IGNORECASE | re.ASCII)
 #: Lines worth lexing hold a bound name part of SENSITIVE; constants may be bound on any line with a binding.
-WORTH = re.compile(r"(?:pass|pwd|secret|token|key|credential|auth|bearer|signature|salt|dsn|connection)[A-Za-z0-9_$.\-]*[\"'`]?\s*(?:\)\s*)?(?::=|=>|[:=]|>)|[\"'][^\"'\n]*(?:pass|pwd|secret|token|key|credential|auth)[^\"'\n]*[\"']\s*(?:[:,\]]|=>)|(?<![\w.\-])--?(?=[A-Za-z])[A-Za-z0-9_.\-]*(?:pass|pwd|secret|token|key|credential|auth|dsn)[A-Za-z0-9_.\-]*\s", re.IGNORECASE | re.ASCII)
+WORTH = re.compile(r"(?:[Ss]et|[Ww]ith)_?[A-Za-z_]*(?:Pass|pass|Pwd|pwd|Secret|secret|Token|token|Key|key|Credential|credential|Auth|auth)\w*\(|(?:pass|pwd|secret|token|key|credential|auth|bearer|signature|salt|dsn|connection)[A-Za-z0-9_$.\-]*[\"'`]?\s*(?:\)\s*)?(?::=|=>|[:=]|>)|[\"'][^\"'\n]*(?:pass|pwd|secret|token|key|credential|auth)[^\"'\n]*[\"']\s*(?:[:,\]]|=>)|(?<![\w.\-])--?(?=[A-Za-z])[A-Za-z0-9_.\-]*(?:pass|pwd|secret|token|key|credential|auth|dsn)[A-Za-z0-9_.\-]*\s", re.IGNORECASE | re.ASCII)
 XML = re.compile(r"<(?P<name>[A-Za-z_][A-Za-z0-9_.:-]*)(?:\s[^<>\n]*)?>(?P<value>[^<>\n]+)</(?P=name)>|<add\s+key=\"(?P<key>[^\"\n]+)\"\s+value=\"(?P<setting>[^\"\n]+)\"", re.ASCII)
 #: A binding at the start of a line or behind a declaration word, whose constant may be used later.
+#: Calls that bind their first string to their second, or their one string to what their own name sets.
+SETTER = re.compile(r"(?:.*\.)?(?:set|put|add|setenv|putenv|define|setitem|setproperty|set_?option|set_?header|setdefault)", re.IGNORECASE | re.ASCII)
+SETS = re.compile(r"(?:.*\.)?(?:set|with)_?(?P<name>[A-Z_]\w*)", re.ASCII)
+#: What stands before a string's quote in some languages.
+PREFIX = re.compile(r"[fFrRbBuU]{1,2}", re.ASCII)
+FILLED = re.compile(r"\{[^{}]*\}")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -132,6 +138,12 @@ def pairs(text: str, start: int = 0, known: dict[str, _Literal] | None = None) -
             i += 1
             continue
         j = i + 1
+        if kind == "string" and i > 1 and j + 1 < n and lexemes[i - 1][1] == "(" and lexemes[j][1] == "," and lexemes[j + 1][0] == "string" and SETTER.fullmatch(lexemes[i - 2][1]):
+            yield got[1:-1], _literal(lexemes[j + 1][1][1:-1], lexemes[j + 1][2] + 1)
+        elif kind == "name" and j + 2 < n and lexemes[j][1] == "(" and lexemes[j + 1][0] == "string" and lexemes[j + 2][1] == ")" and (m := SETS.fullmatch(got)):
+            yield m["name"], _literal(lexemes[j + 1][1][1:-1], lexemes[j + 1][2] + 1)
+        elif kind == "name" and j + 1 < n and lexemes[j][1] == "+" and lexemes[j + 1][1] == "=" and lexemes[j][3] == lexemes[j + 1][2]:
+            known.pop(got, None)  # += makes another value of it
         if j < n and lexemes[j][1] == "]":  # config["name"] = ...
             j += 1
         if j < n and lexemes[j][1] == ":" and kind == "name" and j + 2 < n and lexemes[j + 1][0] == "name" and lexemes[j + 2][1] == "=":
@@ -149,12 +161,15 @@ def pairs(text: str, start: int = 0, known: dict[str, _Literal] | None = None) -
             i += 1
             continue
         name = got[1:-1] if kind == "string" else got
+        bound = lexemes[j][1]
         value, j = _value(text, start, lexemes, j + 1, known, closing, a)
         if value is not None and name and dashed:  # an option is no constant
             yield name, value
         elif value is not None and name:
             known[name] = _Literal(value.value, value.spans, (*value.names, name)[-4:])
             yield name, value
+        elif kind == "name" and bound in ("=", ":="):
+            known.pop(name, None)  # bound to what isn't constant
         i = max(j, i + 1)
 
 
@@ -300,6 +315,15 @@ def _value(text: str, start: int, lexemes: list[tuple], j: int, known: dict[str,
         elif kind in ("name", "bare", "option"):
             if parts and crossed and not (kind == "name" and got in known):
                 break
+            if kind == "name" and j + 1 < n and lexemes[j + 1][0] == "string" and lexemes[j + 1][2] == b and PREFIX.fullmatch(got) and not TRIPLE.match(text, b - start):
+                j += 1
+                parts.append(_literal(lexemes[j][1][1:-1], lexemes[j][2] + 1) if "f" not in got.lower() else _unfilled(lexemes[j][1][1:-1], lexemes[j][2] + 1))
+                j += 1
+                break
+            other = _otherwise(lexemes, j, closing) if not parts and not (kind == "name" and got in known) else 0
+            if other:  # the value in place of one that is missing
+                j = _over(text, start, lexemes, other)
+                continue
             if kind == "name" and j + 1 < n and lexemes[j + 1][1] == "(":
                 return _call(lexemes, j, closing)
             if kind == "name" and got in known:
@@ -327,6 +351,9 @@ def _value(text: str, start: int, lexemes: list[tuple], j: int, known: dict[str,
         else:
             return None, j
         k = _over(text, start, lexemes, j + 1)
+        if j + 1 < n and lexemes[j + 1][1] in ("||", "??"):
+            j += 1  # a constant needs nothing in its place
+            break
         if j + 1 < n and lexemes[j + 1][0] == "join":
             j, k = _over(text, start, lexemes, j + 2), j + 2
             crossed = j > k
@@ -347,6 +374,26 @@ def _value(text: str, start: int, lexemes: list[tuple], j: int, known: dict[str,
     return _Literal("".join(p.value for p in parts), [s for p in parts for s in p.spans], tuple(x for p in parts for x in p.names)), j
 
 
+def _otherwise(lexemes: list[tuple], j: int, closing: dict[int, int]) -> int:
+    """The lexeme behind ||, ?? or `or` that follows the name j with its call or index; 0 if there is none."""
+    k, n = j + 1, len(lexemes)
+    if k < n and lexemes[k][1] == "(":
+        k = closing.get(k, n) + 1
+    elif k + 2 < n and lexemes[k][1] == "[" and lexemes[k + 2][1] == "]":
+        k += 3
+    return k + 1 if k + 1 < n and lexemes[k][1] in ("||", "??", "or") else 0
+
+
+def _unfilled(content: str, a: int) -> _Literal:
+    """What a format string says itself, without what is filled in."""
+    pieces, at = [], 0
+    for m in FILLED.finditer(content):
+        pieces.append((at, m.start()))
+        at = m.end()
+    pieces = [(x, y) for x, y in [*pieces, (at, len(content))] if y > x]
+    return _Literal("".join(content[x:y] for x, y in pieces), [(a + x, a + y) for x, y in pieces])
+
+
 def _adjacent(text: str, start: int, lexemes: list[tuple], j: int, k: int) -> int:
     """The end of the strings from k on that go on with the string j: behind a backslash, or to a ; or , on later lines; else 0."""
     if k == j + 1:
