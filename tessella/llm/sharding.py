@@ -10,15 +10,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import parallelism, scratch_dir, written
+from tessella.llm._shared import discard, fresh, parallelism, scratch_dir, written
 
 #: Bits of the hash, and cells of the fine histogram for each shard that the limit makes necessary (as a power of two).
 BITS, FINER, DEEPER = 60, 4, 8
 #: Prefixes of at most this many bits are so few (2048) that their sums are broadcast.
 TOP = 10
+#: Texts that one writer task takes, about; a task writes whole shards, one after another in the order of their bits.
+TASK_BYTES = 128 << 20
 
 
 def row_hash(id_col: str) -> F.Column:
@@ -38,39 +40,68 @@ def _depths(cells: DataFrame, fine: int, least: int, limit: int) -> DataFrame:
     return cells.select("cell").join(best, "cell", "left")
 
 
-def assign_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with `shard` (its hash bits, '*' for the one bucket of depth 0) and `shard_depth`.
-
-    A shard's texts have at most `limit` UTF-8 bytes together. A bucket whose rows all have one hash
-    (a single long text, repeated ids) can't be split and may be larger. Null texts have no bytes;
-    an empty table gives no rows. Existing columns named shard or shard_depth are replaced.
-    """
-    rows = docs.drop("shard", "shard_depth").withColumns({"_h": row_hash(id_col), "_bytes": F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")})
-    total = rows.agg(F.sum("_bytes")).first()[0] or 0
+def _assigned(docs: DataFrame, limit: int, id_col: str, text_col: str) -> tuple[DataFrame, list[str], int]:
+    """docs with the hash, the bytes and the depth of each row under new names, these names, and the bytes of all texts."""
+    h, size, cell, depth = names = fresh(docs, "h", "bytes", "cell", "depth")
+    rows = docs.withColumns({h: row_hash(id_col), size: F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")})
+    total = rows.agg(F.sum(size)).first()[0] or 0
     least, fine = 0, min(BITS, max(1, math.ceil(math.log2(max(1, total / limit)))) + FINER)
     out = None
     while True:
-        cell = F.expr(f"shiftright(_h, {BITS - fine})")
-        cells = rows.groupBy(cell.alias("cell")).agg(F.sum("_bytes").alias("bytes"), F.min("_h").alias("low"), F.max("_h").alias("high"))
-        depths = written(_depths(written(cells, "cells"), fine, least, limit), "directory")
+        at = F.shiftright(F.col(h), BITS - fine)
+        cells = rows.groupBy(at.alias("cell")).agg(F.sum(size).alias("bytes"), F.min(h).alias("low"), F.max(h).alias("high"))
+        cells = written(cells, "cells")
+        depths = written(_depths(cells, fine, least, limit), "directory")
+        discard(cells)
         few = depths.count() <= 200_000
-        joined = rows.withColumn("cell", cell).join(F.broadcast(depths) if few else depths, "cell")
-        found = joined.filter("depth IS NOT NULL")
+        side = depths.toDF(cell, depth)
+        joined = rows.withColumn(cell, at).join(F.broadcast(side) if few else side, cell).drop(cell)
+        found = joined.filter(F.col(depth).isNotNull())
         out = found if out is None else out.unionByName(found)
         if depths.filter("depth IS NULL").isEmpty():
-            break
-        rows = joined.filter("depth IS NULL").drop("cell", "depth")
+            return out, [h, size, depth], total
+        rows = joined.filter(F.col(depth).isNull()).drop(depth)
         least, fine = fine + 1, min(BITS, fine + DEEPER)
-    bits = F.expr(f"lpad(bin(shiftright(_h, {BITS} - depth)), depth, '0')")
-    out = out.withColumn("shard", F.when(F.col("depth") == 0, F.lit("*")).otherwise(bits))
-    return out.select(*[c for c in docs.columns if c not in ("shard", "shard_depth")], "shard", F.col("depth").alias("shard_depth"))
 
 
-def write_shards(docs: DataFrame, path: str, limit: int, **columns: str) -> None:
-    """Write one folder of Parquet for each shard. A task holds whole shards, which the limit bounds."""
-    sharded = assign_shards(docs, limit, **columns)
-    sharded = sharded.repartition(parallelism(docs.sparkSession), "shard")
-    sharded.withColumn("shard", F.concat(F.lit("b"), "shard")).write.partitionBy("shard").parquet(path)
+def _bits(h: str, depth: str) -> F.Column:
+    bits = F.lpad(F.bin(F.expr(f"shiftright(`{h}`, {BITS} - `{depth}`)")), F.col(depth), F.lit("0"))
+    return F.when(F.col(depth) == 0, F.lit("*")).otherwise(bits)
+
+
+def assign_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with `shard` (its hash bits, '*' for the one bucket of depth 0) and `shard_depth`.
+
+    A shard's texts have at most `limit` UTF-8 bytes together. A bucket whose rows all have one hash
+    (a single long text, repeated ids) can't be split and may be larger. Null texts have no bytes;
+    an empty table gives no rows. Existing columns named shard or shard_depth are replaced; all
+    others stay as they are, whatever their names.
+    """
+    docs = docs.drop("shard", "shard_depth")
+    rows, (h, _, depth), _ = _assigned(docs, limit, id_col, text_col)
+    return rows.select(*docs.columns, _bits(h, depth).alias("shard"), F.col(depth).alias("shard_depth"))
+
+
+def write_shards(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write one folder of Parquet for each shard.
+
+    A task writes whole shards, TASK_BYTES of texts or so (less where there are fewer than the
+    session's partitions): which, follows from a histogram of bytes over the first bits, a few cells
+    for each task. A task has more only by what one shard has.
+    """
+    docs = docs.drop("shard", "shard_depth")
+    rows, (h, size, depth), total = _assigned(docs, limit, id_col, text_col)
+    tasks = max(parallelism(docs.sparkSession), -(-total // TASK_BYTES))
+    bits = min(BITS, math.ceil(math.log2(tasks)) + 4)
+    first, task = fresh(rows, "first", "task")
+    # The first cell of a row's shard: its leading bits, as many as the shard has, and zeros.
+    rows = rows.withColumn(first, F.shiftright(F.expr(f"shiftleft(shiftright(`{h}`, {BITS} - `{depth}`), {BITS} - `{depth}`)"), BITS - bits))
+    cells = rows.groupBy(F.col(first).alias("first")).agg(F.sum(size).alias("bytes"))  # at most 32 for each task
+    before = F.coalesce(F.sum("bytes").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = written(cells.select("first", F.least(F.floor(before * tasks / max(total, 1)), F.lit(tasks - 1)).cast("int").alias("task")), "tasks").toDF(first, task)
+    rows = rows.join(F.broadcast(dealt), first).repartitionById(tasks, F.col(task))
+    out = rows.select(*docs.columns, F.concat(F.lit("b"), _bits(h, depth)).alias("shard"), F.col(depth).alias("shard_depth"))
+    out.write.partitionBy("shard").parquet(path)
 
 
 def shard_table(docs: DataFrame, limit: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
