@@ -1,7 +1,8 @@
 r"""WARC archives, each with a Zstandard dictionary in a leading skippable frame.
 
 An archive is a sequence of Zstandard frames. The first is a skippable frame (magic number
-0x184D2A5D) with the dictionary, trained on the first records of that archive; then each record is a
+0x184D2A5D) with the dictionary, trained on the first records of that archive (too few to learn from: the
+task's archive before it lends its own, and the frame is empty if there is none); then each record is a
 frame of its own, compressed with the dictionary. A reader needs nothing but the file.
 
 Of records with one payload (of at least `least` bytes) one holds it, and the others refer to it.
@@ -27,6 +28,10 @@ from tessella.llm._shared import lean, parallelism, scratch_dir, written
 SKIPPABLE, FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 #: Bytes of a dictionary, bytes of records it is trained on, and bytes of an archive before the next begins.
 DICTIONARY_BYTES, TRAINING_BYTES, ARCHIVE_BYTES = 48 << 10, 2 << 20, 64 << 20
+#: Bytes of the least dictionary that is worth its place.
+LEAST_DICTIONARY = 1 << 10
+#: Up to so many repeated payloads (56 bytes each) are broadcast.
+FEW_PAYLOADS = 200_000
 #: Bytes of one record that training looks at (the record is written whole).
 TRAINING_RECORD = 32 << 10
 PROFILE = "http://netpreservation.org/warc/1.1/revisit/identical-payload-digest"
@@ -61,10 +66,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, si
 
 
 def train(samples: list[bytes], size: int = DICTIONARY_BYTES):
-    """A dictionary from sample records; None if there is too little to learn from."""
+    """A dictionary from sample records, smaller for few of them; None if there is too little to learn from."""
     import zstandard
 
-    if len(samples) < 16 or sum(map(len, samples)) < 4 * size:
+    size = min(size, sum(map(len, samples)) // 4)
+    if len(samples) < 16 or size < LEAST_DICTIONARY:
         return None
     try:
         return zstandard.train_dictionary(size, samples, k=256, d=8)
@@ -72,15 +78,27 @@ def train(samples: list[bytes], size: int = DICTIONARY_BYTES):
         return None
 
 
+def file_system(path: str):
+    """pyarrow's file system of a URI (file, hdfs, s3, gs, abfs, or a plain path), and the path in it.
+
+    Hadoop's names of S3 are understood, too; a scheme that pyarrow doesn't know is an error.
+    """
+    from pyarrow import fs
+
+    for name in ("s3a://", "s3n://"):
+        if path.startswith(name):
+            path = "s3://" + path.removeprefix(name)
+    return fs.FileSystem.from_uri(path)
+
+
 class Archive:
     """Writes one archive; close() puts it in place under its name."""
 
-    def __init__(self, fs, path: str, samples: list[bytes], level: int):
+    def __init__(self, fs, path: str, dictionary, level: int):
         import zstandard
 
         self.fs, self.path = fs, path
         self.out = fs.open_output_stream(path)
-        dictionary = train(samples)
         raw = dictionary.as_bytes() if dictionary else b""
         packed = zstandard.ZstdCompressor(level=19).compress(raw) if raw else b""
         self.out.write(struct.pack("<II", SKIPPABLE, len(packed)) + packed)
@@ -139,12 +157,14 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 def roles(pages: DataFrame, least: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, html, digest, size, main_id: main_id is the page that holds the payload, null if its own.
 
-    Only digests with several pages and enough bytes are joined back; the join splits a hot digest.
+    Only digests with several pages and enough bytes are joined back: broadcast if they are few, else by
+    a join in which Spark may split a hot digest.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": F.sha1("html"), "size": F.octet_length("html").cast("long")})
     alike = rows.filter(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("main_id"), F.count("*").alias("n")).filter("n > 1 AND main_id IS NOT NULL").drop("n")
-    return rows.join(alike, "digest", "left")
+    alike = written(alike, "repeated-payloads")
+    return rows.join(F.broadcast(alike) if alike.count() <= FEW_PAYLOADS else alike, "digest", "left")
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 1000, date: str = "1970-01-01T00:00:00Z", level: int = 6, archive_bytes: int = ARCHIVE_BYTES, training_bytes: int = TRAINING_BYTES, **columns: str) -> DataFrame:
@@ -156,15 +176,14 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000, date: str = "
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs as pafs
-
-        fs, folder = pafs.FileSystem.from_uri(path)
+        fs, folder = file_system(path)
         fs.create_dir(folder, recursive=True)
-        archive, waiting, held, made = None, [], 0, []
+        archive, waiting, held, made, learnt = None, [], 0, [], None
 
         def begin() -> Archive:
-            nonlocal waiting, held
-            new = Archive(fs, f"{folder}/{uuid.uuid4().hex}.warc.zst", [r[:TRAINING_RECORD] for r in waiting], level)
+            nonlocal waiting, held, learnt
+            learnt = train([r[:TRAINING_RECORD] for r in waiting]) or learnt  # a short last archive has the one before's
+            new = Archive(fs, f"{folder}/{uuid.uuid4().hex}.warc.zst", learnt, level)
             for r in waiting:
                 new.add(r)
             waiting, held = [], 0
@@ -202,9 +221,7 @@ def read_pages(manifest: DataFrame, path: str, with_html: bool = False) -> DataF
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs as pafs
-
-        fs, _ = pafs.FileSystem.from_uri(path)
+        fs, _ = file_system(path)
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
