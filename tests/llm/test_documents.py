@@ -99,6 +99,14 @@ def test_shard_edge_rows(spark):
     got = sharding.assign_shards(df, 60)
     assert got.columns == ["doc_id", "text", "shard", "shard_depth"] and got.count() == 4
     assert sharding.shard_table(df.limit(0), 10).count() == 0
+    names = ["_h", "_bytes", "h", "Bytes", "cell", "depth", "first", "task"]
+    odd = df.select("*", *[F.lit(n).alias(n) for n in names])
+    rows = sharding.assign_shards(odd, 60).collect()
+    assert len(rows) == 4 and all(r[n] == n for r in rows for n in names)
+    path = scratch_dir(spark, "odd-shards")
+    sharding.write_shards(odd, path, 60)
+    back = spark.read.parquet(path).collect()
+    assert len(back) == 4 and all(r[n] == n for r in back for n in names)
 
 
 # --- secrets
@@ -206,6 +214,38 @@ def test_lexer_over_line_ends(text, found):
     assert [text[a:b] for a, b in secrets.lexed_spans(text)] == found
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ('k = "Zk39qLm2Xw81p"; k = load(); password = k', []),
+        ('k = "Zk39qLm2Xw81p"\nk = other\npassword = k', []),
+        ('k = "Zk39qLm2Xw81p"\nk += more()\npassword = k', []),
+        ('k = "Zk39qLm2Xw81p"\npassword = k\nk = load()', ["Zk39qLm2Xw81p"]),
+        ('dbPassword = process.env.PW || "f00b4r-9917-Q"', ["f00b4r-9917-Q"]),
+        ('const dbPassword = process.env.DB_PW ?? "f00b4r-9917-Q";', ["f00b4r-9917-Q"]),
+        ('pwd = ENV["X"] || "f00b4r-9917-Q"', ["f00b4r-9917-Q"]),
+        ('db_pwd = os.getenv("PW") or "f00b4r-9917-Q"', ["f00b4r-9917-Q"]),
+        ('db_pwd = os.environ["PW"] or \\\n  "f00b4r-9917-Q"', ["f00b4r-9917-Q"]),
+        ('a = "f00b4r-9917-Q"\ndb_pwd = a || "other-Value-7781"', ["f00b4r-9917-Q"]),
+        ('config.set("password", "f00b4r-9917-Q")', ["f00b4r-9917-Q"]),
+        ('cfg.put("db.password", "f00b4r-9917-Q");', ["f00b4r-9917-Q"]),
+        ('client.setPassword("f00b4r-9917-Q")', ["f00b4r-9917-Q"]),
+        ('password = f"f00b4r-9917-Q"', ["f00b4r-9917-Q"]),
+        ('db_pwd = f"f00b4r-{x}-9917-Q"', ["f00b4r-", "-9917-Q"]),
+        ('db_pwd = rb"f00b4r-9917-Q"', ["f00b4r-9917-Q"]),
+        ('words.set("colour", "f00b4r-9917-Q")', []),
+        ("password = user || other", []),
+    ],
+)
+def test_lexer_of_rebinding_and_defaults(text, found):
+    assert [text[a:b] for a, b in secrets.lexed_spans(text)] == found
+
+
+def test_secrets_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert secrets.find_secrets(empty).count() == 0 and quality.quality(empty).count() == 0 and quality.keep_good(empty).count() == 0
+
+
 def test_redaction():
     text = 'a token = "0123456789abcdef0" b'
     assert secrets.redact(text, secrets.scan(text)[4]) == "a [SECRET]\" b" and secrets.redact(None, "") is None
@@ -254,6 +294,29 @@ def test_mix_against_sql_and_rules(spark):
     assert abs(by["s1"] - targets["s1"]) < 0.05 * targets["s1"]
 
 
+def test_draws_are_bernoulli(spark):
+    df = spark.createDataFrame([(i, "w " * 10, f"s{i:03}") for i in range(300)], "doc_id long, text string, source string").coalesce(1)
+    rows = {r.doc_id: r for r in mixing.mix(df).collect()}
+    rates = {i: r.target / r.source_size for i, r in rows.items()}
+    assert len({round(x, 6) for x in rates.values()}) == 3
+    # Means over seeds are the rates: each source is one document, whose copies an unfair rounding would fix.
+    total, n = Counter(), 200
+    sizes = df.groupBy("source").count().selectExpr("source", "count * 10 AS source_size")
+    rate = {r.source: r.target / r.source_size for r in mixing.source_targets(sizes).collect()}
+    for seed in range(n):
+        for i in rates:
+            draw = int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:13], 16) / 16**13
+            whole = int(rates[i])
+            total[i] += whole + (draw < rates[i] - whole)
+    assert all(abs(total[i] / n - rates[i]) < 0.15 for i in rates) and abs(sum(total.values()) / n - 450) < 450 * 0.02
+    for seed in ("a", "b"):
+        got = {r.doc_id: r.copies for r in mixing.mix(df, seed=seed).collect()}
+        assert all(rate[f"s{i:03}"] == rates[i] for i in rates)
+        for i, x in got.items():
+            draw = int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:13], 16) / 16**13
+            assert x == int(rates[i]) + (draw < rates[i] - int(rates[i]))
+
+
 def test_emit(spark):
     df = spark.createDataFrame([(i, x, s, 5, "c") for i, x, s in mixed_rows()], "doc_id long, text string, source string, copies int, target string")
     got = mixing.emit(df)
