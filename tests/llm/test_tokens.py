@@ -60,12 +60,13 @@ def test_token_files(spark, docs):
 def test_selective_reads(spark):
     import pyarrow.parquet as pq
 
-    df = spark.createDataFrame([(i, f"words of {i} " * 200) for i in range(400)], "doc_id long, text string")
+    text = lambda i: " ".join(str((i * 7919 + k * 104_729) % 99_991) for k in range(200))
+    df = spark.createDataFrame([(i, text(i)) for i in range(400)], "doc_id long, text string")
     path = scratch_dir(spark, "selective")
     layout = tokenbin.LAYOUT | {"parquet.block.size": "65536", "parquet.page.size": "4096", "parquet.page.row.count.limit": "20"}
     tokenbin.write_token_ids(df, path, PATH, partitions=1, layout=layout)
     got = {r.doc_id: r.tokens for r in tokenbin.read_tokens(spark, path, [7, 250]).collect()}
-    assert got == {i: [*own([f"words of {i} " * 200])[0], 2] for i in (7, 250)}
+    assert got == {i: [*own([text(i)])[0], 2] for i in (7, 250)}
     file = next(p for p in Path(path.removeprefix("file://")).glob("*.parquet") if pq.ParquetFile(p).metadata.num_rows == 400)
     meta = pq.ParquetFile(file).metadata
     assert meta.num_row_groups > 1
