@@ -774,7 +774,9 @@ def _between(rule: Rule, placed: DataFrame, figures: DataFrame, block: int, near
     All such pairs, or in each block of a list the nearest of any two components.
     """
     spans = placed.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"), F.approx_count_distinct("component").alias("parts")).filter("x <> y").select("list", "members", "parts")
-    open_ = written(placed.join(spans, "list"), "open-lists")
+    spans = written(spans, "spans")  # a table of its own, so that Spark may split a list's many members when it joins them
+    open_ = written(placed.join(F.broadcast(spans) if spans.count() <= FEW_GONE else spans, "list"), "open-lists")
+    discard(spans)
     if open_.isEmpty():
         discard(open_)
         return None
