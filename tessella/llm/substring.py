@@ -34,7 +34,7 @@ WINDOW, ANCHOR = 50, 16
 #: Words of the segments that share a key, above which the group gets the longest prefix.
 GROUP_WORDS = 50_000
 #: Up to so many keys (16 bytes each) are broadcast.
-FEW_KEYS = 500_000
+FEW_KEYS = 100_000
 #: Words whose bytes are joined at a time.
 JOINED = 1 << 17
 #: A task builds trees over about so many words at a time (always whole groups).
