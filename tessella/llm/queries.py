@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import divergence, exact, jaccard, mixing, packing, quality, secrets, sharding, substring, tokenbin, warc
+from tessella.llm import divergence, exact, jaccard, mixing, packing, quality, secrets, sharding, substring, tokenbin, warc, whitening
 
 
 def _vocabulary() -> str:
@@ -64,6 +64,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_whitening": op12_whitening,
     "op13_divergence_audit": op13_divergence_audit,
 }
 SQL = {"op9_substring_dedup": substring.REPEATS_SQL, "op1_warc_archives": warc.WARC_SQL, "op2_extendible_shards": sharding.shard_sql(SHARD_BYTES), "op6_quality_rules": quality.QUALITY_SQL, "op8_mix_sources": mixing.MIX_SQL, "op10_exact_dedup": exact.EXACT_SQL, "op13_divergence_audit": divergence.AUDIT_SQL}
