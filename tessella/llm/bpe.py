@@ -27,16 +27,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import WINDOW_BYTES, byte_slices, gathered, lean, text_buffers
+from tessella.llm._shared import _BASE, _BYTE, _INV, _STEP, WINDOW_BYTES, _power, byte_slices, gathered, lean, mix64, text_buffers
 from tessella.llm.tokens import SLOTS, WIDTH, Encoder
 
 #: Bytes of a word that are merged at a time; longer words are merged in blocks, whose seams are mended.
 LONG_WORD = 4096
+#: Words up to so many bytes are merged side by side, longer ones each for itself.
+SHORT_WORD = 64
 NEVER = 1 << 40
-#: Fixed value: how the byte-level alphabet's texts are split; L and N stand for letters and numbers.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^{S}{L}{N}]+|{S}+(?!{T})|{S}+"
-#: Fixed value: white space.
-SPACE = r"\t-\r\x20\x85\xa0  -     　"
+#: Endings that are words of their own behind an apostrophe, and white space.
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+SPACES = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+OTHER, LETTER, NUMBER, SPACE, EDGE = range(5)
 
 
 def byte_alphabet() -> list[str]:
@@ -46,22 +48,45 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
-def _splitter(path: str) -> regex.Pattern:
-    """SPLIT for the Unicode version of the tokenizers library, which is asked about characters that the versions at hand see differently."""
+def char_classes(path: str) -> np.ndarray:
+    """OTHER, LETTER, NUMBER or SPACE of every code point, for the Unicode version of the tokenizers library, which is asked about those that the versions at hand see differently."""
     from tokenizers import Tokenizer
 
-    before = Tokenizer.from_file(path).pre_tokenizer
+    library = Tokenizer.from_file(path).pre_tokenizer
     text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    sets = {}
-    for name, sample in (("L", "a"), ("N", "1")):
+    out = np.full(0x110000, OTHER, np.uint8)
+    for kind, name, sample in ((LETTER, "L", "a"), (NUMBER, "N", "1")):
         new = set(regex.findall(rf"\p{{{name}}}", text))
         old = {c for c in text if unicodedata.category(c)[0] == name}
-        sets[name] = [c for c in new ^ old if (len(before.pre_tokenize_str(sample + c)) == 1) != (c in new)], new
-    classes = {}
-    for name, (other, new) in sets.items():
-        gone, more = "".join(map(regex.escape, sorted(c for c in other if c in new))), "".join(map(regex.escape, sorted(c for c in other if c not in new)))
-        classes[name] = (rf"[\p{{{name}}}{more}]" if not gone else rf"[[\p{{{name}}}{more}]--[{gone}]]")
-    return regex.compile(SPLIT.replace("{L}", classes["L"]).replace("{N}", classes["N"]).replace("[^{S}", f"[^{SPACE}").replace("{S}", f"[{SPACE}]").replace("{T}", f"[^{SPACE}]"), regex.V1)
+        out[[ord(c) for c in new & old]] = kind
+        out[[ord(c) for c in new ^ old if len(library.pre_tokenize_str(sample + c)) == 1]] = kind
+    out[list(SPACES)] = SPACE
+    return out
+
+
+def word_starts(chars: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Marks where the words of texts (code points and their classes, with an EDGE between texts) start: runs of one class, with the space before them, or an apostrophe's ending.
+
+    Of white space in front of something else the last character stands apart; it belongs to what follows if it is a space.
+    """
+    n = len(chars)
+    start = np.ones(n, bool)
+    start[1:] = kind[1:] != kind[:-1]
+    last = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE) & (kind[1:] != EDGE))
+    start[last] = True
+    start[last[chars[last] == 32] + 1] = False
+    mark = np.flatnonzero((chars[:-1] == 39) & (kind[:-1] == OTHER))
+    before = np.where(mark > 0, kind[mark - 1], EDGE)
+    mark = mark[(before == LETTER) | (before == NUMBER) | (before == EDGE) | ((before == SPACE) & (chars[mark - 1] != 32))]
+    for ending in ENDINGS:
+        own = mark[mark + len(ending) < n]
+        for i, c in enumerate(ending, 1):
+            own = own[(chars[own + i] == ord(c)) & (kind[own + i] == LETTER)]
+        for i in range(1, len(ending) + 1):
+            start[own + i] = False
+        own = own + len(ending) + 1
+        start[own[own < n]] = True
+    return start
 
 
 class Vocabulary:
@@ -96,6 +121,7 @@ class Vocabulary:
         self.rank = np.full(self.count, -1, np.int64)
         self.left = np.arange(self.count)
         self.right = np.arange(self.count)
+        self.made = made
         self.rank[made], self.left[made], self.right[made] = np.arange(len(made)), left, right
         order = np.argsort(left * self.count + right)
         self.pair_keys, self.pair_ranks = (left * self.count + right)[order], order
@@ -236,23 +262,57 @@ class Vocabulary:
         ids = ids[(ids >= 0) & (ids < self.count)]
         return gathered(self.bytes, self.starts[ids], self.sizes[ids]).tobytes()
 
-    def words(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
-        """The tokens of words, one after another; the number of each word's tokens; how many words were merged."""
-        size = np.array([len(w) for w in raw], np.int64)
-        text, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size)
+    def _merge_short(self, text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of short words by merging, a merge of each word at a time, and their numbers."""
+        ids, word = self.base[text], np.repeat(np.arange(len(size)), size)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        rank = np.full(len(ids), NEVER)
+        pair = np.flatnonzero(word[1:] == word[:-1])
+        rank[pair] = self.ranks(ids[pair], ids[pair + 1])
+        while len(ids):
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(ids))))
+            over = least == NEVER
+            if over.any():
+                done.append((word[over], ids[over]))
+                ids, word, rank, least = ids[~over], word[~over], rank[~over], least[~over]
+            at = np.flatnonzero(rank == least)
+            at = at[np.append(True, word[at[1:]] != word[at[:-1]])] if len(at) else at
+            ids[at] = self.made[rank[at]]
+            gone = np.ones(len(ids), bool)
+            gone[at + 1] = False
+            at -= np.arange(len(at))
+            ids, word, rank = ids[gone], word[gone], rank[gone]
+            for i in (at, at - 1):
+                i = i[(i >= 0) & (i + 1 < len(ids))]
+                rank[i] = np.where(word[i] == word[i + 1], self.ranks(ids[i], ids[i + 1]), NEVER)
+            if len(at) and len(ids) and at[-1] == len(ids) - 1:
+                rank[-1] = NEVER
+        word, ids = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(word, kind="stable")
+        return ids[order], np.bincount(word, minlength=len(size))
+
+    def words(self, text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """The tokens of words of these sizes, one after another; the number of each word's tokens; how many words were merged."""
+        ends = np.cumsum(size)
         ids = self.propose(text, ends)
-        to = np.cumsum(self.sizes[ids])
-        word = np.searchsorted(ends, to, "left")
-        counts = np.bincount(word, minlength=len(raw))
+        word = np.searchsorted(ends, np.cumsum(self.sizes[ids]), "left")
+        counts = np.bincount(word, minlength=len(size))
         pair = np.flatnonzero(word[1:] == word[:-1])
         both, which = np.unique(ids[pair] * self.count + ids[pair + 1], return_inverse=True)
         failed = np.unique(word[pair[self.clashes(both // self.count, both % self.count)[which]]])
         if not len(failed):
             return ids, counts, 0
-        exact = [self.merge(raw[w]) for w in failed.tolist()]
-        at = np.cumsum(counts) - counts
-        at[failed] = len(ids) + np.cumsum([0, *(len(x) for x in exact)])[:-1]
-        counts[failed] = [len(x) for x in exact]
+        short, long = failed[size[failed] <= SHORT_WORD], failed[size[failed] > SHORT_WORD]
+        exact, many = [], np.zeros(len(failed), np.int64)
+        if len(short):
+            own, many[: len(short)] = self._merge_short(gathered(text, ends[short] - size[short], size[short]), size[short])
+            exact.append(own)
+        for i, w in enumerate(long.tolist(), len(short)):
+            exact.append(np.array(self.merge(text[ends[w] - size[w] : ends[w]].tobytes()), np.int64))
+            many[i] = len(exact[-1])
+        at, order = np.cumsum(counts) - counts, np.concatenate([short, long])
+        at[order], counts[order] = len(ids) + np.cumsum(many) - many, many
         return gathered(np.concatenate([ids, *exact]), at, counts), counts, len(failed)
 
 
@@ -261,7 +321,7 @@ class Speculator(Encoder):
 
     def __init__(self, path: str, slots: int = SLOTS, window: int = WINDOW_BYTES):
         self.vocabulary = v = Vocabulary(path)
-        self.split = _splitter(path)
+        self.classes = char_classes(path)
         self.marks = regex.compile("|".join(map(regex.escape, sorted(v.added, key=len, reverse=True)))) if v.added else None
         self.window = window
         self.added = [x.encode() for x in v.added]
@@ -271,28 +331,58 @@ class Speculator(Encoder):
         self.mask = np.uint64(slots - 1)
         self.merged = 0
 
-    def _parts(self, text: str) -> Iterator[str | int]:
-        """The words of a text, and ids of added tokens."""
-        at = 0
-        for m in self.marks.finditer(text) if self.marks else ():
-            yield from self.split.findall(text[at : m.start()])
-            yield self.vocabulary.added[m.group()]
-            at = m.end()
-        yield from self.split.findall(text[at:] if at else text)
+    def _spans(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' bytes, where their words start and end in them, -1 or the id of the added token that a word is, and where each text's words begin."""
+        joined = "\0".join([*texts, ""])
+        chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        kind = self.classes[chars]
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        kind[ends] = EDGE
+        marks = [(m.start(), m.end(), self.vocabulary.added[m.group()]) for m in self.marks.finditer(joined)] if self.marks else []
+        for a, b, _ in marks:
+            kind[a:b] = EDGE
+        begins = word_starts(chars, kind)
+        begins[ends] = True
+        begins[ends[:-1] + 1] = True
+        for a, b, _ in marks:
+            begins[a] = begins[b] = True
+        start = np.flatnonzero(begins)
+        raw = np.frombuffer(joined.encode(), np.uint8)
+        at = np.flatnonzero((raw & 0xC0) != 0x80)[start] if len(raw) > len(chars) else start
+        mark = np.full(len(start), -1)
+        mark[np.searchsorted(start, [m[0] for m in marks])] = [m[2] for m in marks]
+        edge = np.searchsorted(start, ends)
+        word = np.ones(len(start), bool)
+        word[edge] = False
+        return raw, at[word], np.append(at[1:], len(raw))[word], mark[word], edge - np.arange(len(edge))
 
     def _many(self, texts: list[str]) -> list[np.ndarray]:
-        seen: dict[str | int, int] = {}
-        parts = [np.array([seen.setdefault(p, len(seen)) for p in self._parts(t)], np.int64) for t in texts]
-        plain = [p for p in seen if isinstance(p, str)]
-        ids, counts, merged = self.vocabulary.words([p.encode() for p in plain])
+        if not texts:
+            return []
+        raw, start, end, mark, to = self._spans(texts)
+        if not len(start):
+            return [np.zeros(0, np.int32) for _ in texts]
+        key = np.empty(len(start), np.uint64)
+        for a in range(0, len(start), 1 << 16):  # hashes of words, in windows
+            s, e = start[a : a + (1 << 16)], end[a : a + (1 << 16)]
+            if e[-1] - s[0] > 4 * self.window and len(s) < 4096:
+                key[a : a + (1 << 16)] = [hash(raw[x:y].tobytes()) & 0xFFFFFFFFFFFFFFFF for x, y in zip(s.tolist(), e.tolist())]
+                continue
+            part = raw[s[0] : e[-1]]
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * _power(_BASE, len(part)), dtype=np.uint64)])
+            key[a : a + (1 << 16)] = mix64(((sums[e - s[0]] - sums[s - s[0]]) * _power(_INV, len(part) + 1)[s - s[0]]) ^ ((e - s).astype(np.uint64) * _STEP))
+        _, first, which = np.unique(key[mark < 0], return_index=True, return_inverse=True)
+        plain = np.flatnonzero(mark < 0)
+        one = plain[first]
+        ids, counts, merged = self.vocabulary.words(gathered(raw, start[one], end[one] - start[one]), end[one] - start[one]) if len(one) else (np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
         self.merged += merged
-        size, start = np.ones(len(seen), np.int64), np.empty(len(seen), np.int64)
-        is_word = np.fromiter((isinstance(p, str) for p in seen), bool, len(seen))
-        size[is_word], start[is_word] = counts, np.cumsum(counts) - counts
-        marks = [p for p in seen if not isinstance(p, str)]
-        start[~is_word] = len(ids) + np.arange(len(marks))
-        ids = np.concatenate([ids, np.array(marks, np.int64)]).astype(np.int32)
-        return [gathered(ids, start[p], size[p]) for p in parts]
+        size, at = np.ones(len(start), np.int64), np.empty(len(start), np.int64)
+        size[plain], at[plain] = counts[which], (np.cumsum(counts) - counts)[which]
+        marked = np.flatnonzero(mark >= 0)
+        at[marked] = len(ids) + np.arange(len(marked))
+        ids = np.concatenate([ids, mark[marked]]).astype(np.int32)
+        flat, to = gathered(ids, at, size), np.concatenate([[0], np.cumsum(size)])[to]
+        return np.split(flat, to[:-1])
 
 
 _speculators: dict[str, Speculator] = {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import divergence, exact, jaccard, mixing, packing, quality, secrets, sharding, substring, tokenbin, warc, whitening
+from tessella.llm import bpe, divergence, exact, jaccard, mixing, packing, quality, secrets, sharding, substring, tokenbin, warc, whitening
 
 
 def _vocabulary() -> str:
@@ -64,6 +64,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), _vocabulary())
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_bpe_round_trip": op11_bpe_round_trip,
     "op12_whitening": op12_whitening,
     "op13_divergence_audit": op13_divergence_audit,
 }

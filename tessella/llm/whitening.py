@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import lean, written
+from tessella.llm._shared import discard, lean, written
 
 #: Whole numbers to a unit, components that are returned, and factors that are reduced in one task.
 SCALE, COMPONENTS, FAN = 256, 4, 16
@@ -164,8 +164,10 @@ def factor(fit: DataFrame, n: int, sums: np.ndarray) -> np.ndarray:
 
     level = written(fit.mapInArrow(lean(leaf), part), "factors")
     while (level.agg(F.max("part")).first()[0] or 0) > 0:
-        level = written(level.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("part").applyInPandas(stack, part), "factors")
+        below, level = level, written(level.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("part").applyInPandas(stack, part), "factors")
+        discard(below)
     rows = [r["r"] for r in level.select("r").collect()]  # at most d of them
+    discard(level)
     return np.array(rows, np.float64).reshape(-1, d)
 
 
@@ -209,6 +211,7 @@ def identity_error(fit: DataFrame, w: Whitening, most: int) -> float:
     mean = parts.agg(*[(F.sum(F.col("rows") * F.col(f"m{i}")) / F.sum("rows")).alias(f"m{i}") for i in range(k)]).first()
     off = [F.col(f"m{i}") - F.lit(mean[f"m{i}"]) for i in range(k)]
     products = parts.agg(*[(F.sum(F.col(f"p{i}_{j}") + F.col("rows") * off[i] * off[j]) / F.sum("rows")).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    discard(parts)
     return max(abs(products[f"p{i}_{j}"] - (i == j)) for i in range(k) for j in range(i, k))
 
 
@@ -234,6 +237,7 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     w = fit_whitening(fit, d)
     k = min(most, len(w.deviations))
     error = identity_error(fit, w, k)
+    discard(fit)
     explained = w.deviations[:k] ** 2 / w.trace if k else np.zeros(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
