@@ -1,18 +1,23 @@
 """Secret scans: base patterns, and assignment-aware lexing.
 
 The lexer reads source and configuration syntax into pairs of a name and a literal: assignments
-(`=`, `:=`, `:`, `=>`), quoted keys, call arguments by keyword, setters, `export` and `-D`/`--name` options,
-header lines and XML or INI entries. Constants are propagated: a name that was bound to a literal, a
+(`=`, `:=`, `?=`, `<-`, `:`, `=>`), quoted keys, call arguments by keyword, setters, `export` and `-D`/`--name` options,
+header lines, XML or INI entries, directives (`ENV`, `#define`, `setx`, `setenv`), settings in one string and credentials in an address. Constants are propagated: a name that was bound to a literal, a
 concatenation of literals and such names, and defaults of environment look-ups (or behind `||`, `??`
 and `or`) stand for their values, until the name is bound to something else. Values go on over line ends behind a binding or a join sign, within brackets, behind a
 backslash, and in triple-quoted and block strings. A literal is scored by its target name (and the names it passed through) and by its form.
+
+Time is in proportion to the text, and memory is some 15 bytes for each lexeme besides the text. A text is lexed if a
+sensitive word stands in what may be a name or a key; for that test alone, names and keys reach NAME_LENGTH characters.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -46,18 +51,19 @@ STANDS_FOR_NONE = re.compile(r"(?:x{4,}|\*{3,}|\.{3,}|change_?me|your[_-].*|<.*>
 #: A literal is reported from this score on.
 THRESHOLD = 6
 
-#: One token of source or configuration text.
-LEXEME = re.compile(
-    r"""(?P<string>"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*'|`[^`\n]*`)
-    |(?P<option>(?<![A-Za-z0-9+/_.~)\]-])(?:-D|--?)(?=[A-Za-z_]))
+#: Kinds of lexemes.
+GROUPS = ("string", "option", "name", "bind", "join", "open", "close", "line", "bare")
+#: One token of source or configuration text: a string closed on its line or by escapes over line ends, or else.
+_STRINGS = {'"': r'"(?:[^"\\\n]|\\[\s\S])*+"', "'": r"'(?:[^'\\\n]|\\[\s\S])*+'", "`": r"`[^`\n]*+`"}
+_REST = r"""(?P<option>(?<![A-Za-z0-9+/_.~)\]-])(?:-D|--?)(?=[A-Za-z_]))
     |(?P<name>[A-Za-z_$][A-Za-z0-9_$]*(?:[.-][A-Za-z_$][A-Za-z0-9_$]*)*)
-    |(?P<bind>:=|=>|==|!=|<=|>=|[:=](?!=))
+    |(?P<bind>:=|\?=|<-(?=\s)|=>|==|!=|<=|>=|[:=](?!=))
     |(?P<join>\+|\.\.(?!\.)|(?<=\s)\.(?=\s)|\|\||\?\?)
     |(?P<open>[(\[{,;])|(?P<close>[)\]}])
     |(?P<line>(?<!\\)(?<!\\\r)\n)
-    |(?P<bare>[A-Za-z0-9+/_=.~-]+)""",
-    re.VERBOSE | re.ASCII,
-)
+    |(?P<bare>[A-Za-z0-9+/_=.~-]+)"""
+#: How far an unclosed string goes: the quote at its start closes nowhere before that, nor do later ones of its kind.
+_OPEN = {'"': re.compile(r'"(?:[^"\\\n]|\\[\s\S])*'), "'": re.compile(r"'(?:[^'\\\n]|\\[\s\S])*"), "`": re.compile(r"`[^`\n]*")}
 #: What an unquoted value consists of.
 BARE = re.compile(r"[A-Za-z0-9+/_.=~!@$%^&*-]+", re.ASCII)
 #: Values in several lines: a line that goes on, a triple-quoted string, the head of a block, and a line of settings.
@@ -72,8 +78,18 @@ OPTION = re.compile(r"--?(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)", re.ASCII)
 INSIDE = re.compile(r"""(?:(?:\A|(?<=["']))(?P<header>[A-Za-z][A-Za-z0-9-]*):[ \t]*(?:(?:Bearer|Basic|Token|ApiKey)[ \t]+)?|(?<![^\s"'])(?:-D|--?)(?P<option>[A-Za-z_][A-Za-z0-9_.-]*)(?:=|[ \t]+(?!-)))(?P<value>[^\s"'`\\,;]+)""", re.IGNORECASE | re.ASCII)
 #: Words before a credential.
 SCHEME = re.compile(r"\s*(?:Bearer|Basic|Token|ApiKey)[ \t]+", re.IGNORECASE | re.ASCII)
-#: Lines worth lexing hold a bound name part of SENSITIVE; constants may be bound on any line with a binding.
-WORTH = re.compile(r"(?:[Ss]et|[Ww]ith)_?[A-Za-z_]*(?:Pass|pass|Pwd|pwd|Secret|secret|Token|token|Key|key|Credential|credential|Auth|auth)\w*\(|(?:pass|pwd|secret|token|key|credential|auth|bearer|signature|salt|dsn|connection)[A-Za-z0-9_$.\-]*[\"'`]?\s*(?:\)\s*)?(?::=|=>|[:=]|>)|[\"'][^\"'\n]*(?:pass|pwd|secret|token|key|credential|auth)[^\"'\n]*[\"']\s*(?:[:,\]]|=>)|(?<![\w.\-])--?(?=[A-Za-z])[A-Za-z0-9_.\-]*(?:pass|pwd|secret|token|key|credential|auth|dsn)[A-Za-z0-9_.\-]*\s", re.IGNORECASE | re.ASCII)
+#: Parts of names that make a text worth lexing, and what must stand around one of them: a sign behind it, a setter's bracket, an option's
+#: white space, or a string that is a key or an argument. Names and strings are looked at for NAME_LENGTH characters on either side.
+NAME_LENGTH = 200
+WORD = re.compile(r"pass|pwd|secret|token|key|credential|auth|bearer|signature|salt|dsn|connection", re.IGNORECASE | re.ASCII)
+SIGN = re.compile(rf"[A-Za-z0-9_$.\-]{{0,{NAME_LENGTH}}}+(?:(?P<call>(?=[ \t]*+\())|[\"'`]?\s{{0,{NAME_LENGTH}}}+(?:\)\s{{0,{NAME_LENGTH}}}+)?(?::=|\?=|<-|=>|[:=]|>))", re.ASCII)
+QUOTED = re.compile(rf"[^\"'\n]{{0,{NAME_LENGTH}}}+[\"']\s{{0,{NAME_LENGTH}}}+(?:[:,\]]|=>)", re.ASCII)
+OPTION_TAIL = re.compile(rf"[A-Za-z0-9_.\-]{{0,{NAME_LENGTH}}}+\s", re.ASCII)
+OPTION_HEAD = re.compile(r"(?<![\w.\-])--?[A-Za-z][A-Za-z0-9_.\-]*\Z|(?<![\w.\-])--?\Z", re.ASCII)
+#: Directives that bind a name to what follows, credentials in an address, and settings in one string.
+DIRECTIVE = re.compile(r"^[ \t]*+(?:ENV|#[ \t]*+define|setx|setenv)[ \t]++(?P<name>[A-Za-z_]\w*+)[ \t]++(?:(?P<quote>[\"'])(?P<quoted>[^\"'\n]++)(?P=quote)|(?P<value>[^\s\"'=]++))", re.ASCII | re.MULTILINE)
+ADDRESS = re.compile(rf"://[^\s:/@\"'<>]{{0,{NAME_LENGTH}}}+:(?P<value>[^\s:/@\"'<>]{{1,{NAME_LENGTH}}}+)@", re.ASCII)
+SETTINGS = re.compile(r"(?:(?<=[\"'`;])|\A)[ \t]*+(?P<name>[A-Za-z][A-Za-z_ ]*+)=[ \t]*+(?P<value>[^;\s\"'`]++)(?=[ \t]*+(?:;|[\"'`]))", re.ASCII)
 XML = re.compile(r"<(?P<name>[A-Za-z_][A-Za-z0-9_.:-]*)(?:\s[^<>\n]*)?>(?P<value>[^<>\n]+)</(?P=name)>|<add\s+key=\"(?P<key>[^\"\n]+)\"\s+value=\"(?P<setting>[^\"\n]+)\"", re.ASCII)
 #: A binding at the start of a line or behind a declaration word, whose constant may be used later.
 #: Calls that bind their first string to their second, or their one string to what their own name sets.
@@ -117,20 +133,117 @@ class _Literal:
         self.value, self.spans, self.names = value, spans, names
 
 
+@functools.cache
+def _lexer(dead: str) -> re.Pattern:
+    """LEXEME where quotes in dead, which nothing closes, are no strings; other unclosed quotes are found as such."""
+    alive = [q for q in _STRINGS if q not in dead]
+    strings = "|".join(_STRINGS[q] for q in alive)
+    return re.compile((rf"(?P<string>{strings})|(?P<unclosed>[{''.join(alive)}])|" if alive else "") + _REST, re.VERBOSE | re.ASCII)
+
+
+class _Lexemes:
+    """The lexemes of a text as (kind, text, start, end), kept as numbers; tuples are made for some at a time.
+
+    Time and memory are in proportion to the text: a quote that nothing closes is looked at once, not again from
+    each of its kind behind it.
+    """
+
+    PART = 4096
+
+    def __init__(self, text: str, start: int):
+        self.text, self.base = text, start
+        self.kind, self.begin, self.end = array("b"), array("i"), array("i")
+        #: Lexemes that are line ends and strings, in order; the closing bracket of each opening one, and what opens.
+        self.lines, self.strings, self.opened, self.closed = array("i"), array("i"), array("i"), array("i")
+        self.parts: dict[int, list[tuple]] = {}
+        self._lex(0, len(text), "")
+        self.closing = _Closing(self)
+
+    def _lex(self, a: int, b: int, dead: str) -> None:
+        todo = [(a, b, dead)]
+        kinds = {k: i for i, k in enumerate(GROUPS)}
+        kind, begin, end, lines, strings = self.kind, self.begin, self.end, self.lines, self.strings
+        while todo:
+            a, b, dead = todo.pop()
+            for m in _lexer(dead).finditer(self.text, a, b):
+                k = m.lastgroup
+                if k == "unclosed":
+                    quote, at = m.group(), m.start()
+                    stop = min(b, _OPEN[quote].match(self.text, at, b).end())
+                    todo += [(stop, b, dead), (at + 1, stop, dead + quote)]
+                    break
+                if k == "line":
+                    lines.append(len(kind))
+                elif k == "string":
+                    strings.append(len(kind))
+                kind.append(kinds[k])
+                begin.append(m.start())
+                end.append(m.end())
+
+    def __len__(self) -> int:
+        return len(self.kind)
+
+    def __getitem__(self, i: int) -> tuple[str, str, int, int]:
+        if i < 0:
+            i += len(self.kind)
+        part = self.parts.get(i // self.PART)
+        if part is None:
+            if len(self.parts) > 3:
+                self.parts.clear()
+            a = i // self.PART * self.PART
+            b = a + self.PART
+            part = self.parts[i // self.PART] = [(GROUPS[k], self.text[x:y], x + self.base, y + self.base) for k, x, y in zip(self.kind[a:b], self.begin[a:b], self.end[a:b])]
+        return part[i % self.PART]
+
+    def line_end(self, j: int) -> int:
+        """The first line end from j on."""
+        k = bisect_left(self.lines, j)
+        return self.lines[k] if k < len(self.lines) else len(self)
+
+    def strings_before(self, end: int, least: int) -> Iterator[int]:
+        """Strings before end and behind least, the last first."""
+        k = bisect_left(self.strings, end) - 1
+        while k >= 0 and self.strings[k] > least:
+            yield self.strings[k]
+            k -= 1
+
+
+class _Closing:
+    """The closing bracket of each opening one, by their numbers."""
+
+    def __init__(self, lexemes: _Lexemes):
+        opened, self.of = array("i"), array("i", bytes(4 * len(lexemes)))
+        text, brackets = lexemes.text, {GROUPS.index("open"), GROUPS.index("close")}
+        for k, (kind, a) in enumerate(zip(lexemes.kind, lexemes.begin)):
+            if kind in brackets:
+                if text[a] == "(":
+                    opened.append(k)
+                elif text[a] == ")" and opened:
+                    self.of[opened.pop()] = k
+
+    def __contains__(self, k: int) -> bool:
+        return 0 <= k < len(self.of) and self.of[k] > 0
+
+    def __getitem__(self, k: int) -> int:
+        return self.of[k]
+
+    def get(self, k: int, other: int) -> int:
+        return self.of[k] if k in self else other
+
+
 def pairs(text: str, start: int = 0, known: dict[str, _Literal] | None = None) -> Iterator[tuple[str, _Literal]]:
     """(name, literal) pairs of a piece of text, in order; known holds constants and gains those found."""
     known = {} if known is None else known
-    lexemes = [(m.lastgroup, m.group(), m.start() + start, m.end() + start) for m in LEXEME.finditer(text)]
-    for kind, got, a, _ in lexemes:
-        if kind == "string" and ("-" in got or ":" in got):
-            for m in INSIDE.finditer(got[1:-1]):
-                yield m["header"] or m["option"], _Literal(m["value"], [(a + 1 + m.start("value"), a + 1 + m.end("value"))])
-    closing, opened = {}, []
-    for k, lexeme in enumerate(lexemes):
-        if lexeme[1] == "(":
-            opened.append(k)
-        elif lexeme[1] == ")" and opened:
-            closing[opened.pop()] = k
+    lexemes = _Lexemes(text, start)
+    for k in lexemes.strings:
+        x, y = lexemes.begin[k] + 1, lexemes.end[k] - 1
+        if text.find("-", x, y) >= 0 or text.find(":", x, y) >= 0:
+            for m in INSIDE.finditer(text[x:y]):
+                yield m["header"] or m["option"], _Literal(m["value"], [(start + x + m.start("value"), start + x + m.end("value"))])
+        if text.find(";", x, y) >= 0 and text.find("=", x, y) >= 0:
+            for m in SETTINGS.finditer(text, x, y + 1):
+                yield m["name"], _Literal(m["value"], [(start + m.start("value"), start + m.end("value"))])
+    closing = lexemes.closing
     i, n = 0, len(lexemes)
     while i < n:
         kind, got, a, b = lexemes[i]
@@ -218,7 +331,7 @@ def _block(text: str, at: int, begin: int, start: int) -> _Literal | None:
     return _lines(text[begin:end], begin + start)
 
 
-def _over(text: str, start: int, lexemes: list[tuple], j: int) -> int:
+def _over(text: str, start: int, lexemes: _Lexemes, j: int) -> int:
     """The next lexeme from j on behind line ends and what is noted in front of them."""
     while j < len(lexemes):
         kind, got, a, _ = lexemes[j]
@@ -235,7 +348,7 @@ def _over(text: str, start: int, lexemes: list[tuple], j: int) -> int:
     return j
 
 
-def _starts(text: str, start: int, lexemes: list[tuple], j: int, known: dict[str, _Literal], closing: dict[int, int], at: int) -> bool:
+def _starts(text: str, start: int, lexemes: _Lexemes, j: int, known: dict[str, _Literal], closing: _Closing, at: int) -> bool:
     """Whether the lexeme j, on a later line than the name at at, is that name's value."""
     n = len(lexemes)
     if j >= n:
@@ -263,7 +376,7 @@ def _starts(text: str, start: int, lexemes: list[tuple], j: int, known: dict[str
     return not SETTING.match(m.group()) and (not rest or rest[0] in "#;,\\")
 
 
-def _bracketed(text: str, start: int, lexemes: list[tuple], j: int, known: dict[str, _Literal], closing: dict[int, int]) -> tuple[list[_Literal], int] | None:
+def _bracketed(text: str, start: int, lexemes: _Lexemes, j: int, known: dict[str, _Literal], closing: _Closing) -> tuple[list[_Literal], int] | None:
     """The literals between the bracket j and its end, if there is nothing but literals, known names and join signs."""
     parts, end, k = [], closing[j], _over(text, start, lexemes, j + 1)
     while k < end:
@@ -284,7 +397,7 @@ def _bracketed(text: str, start: int, lexemes: list[tuple], j: int, known: dict[
     return (parts, end + 1) if parts else None
 
 
-def _value(text: str, start: int, lexemes: list[tuple], j: int, known: dict[str, _Literal], closing: dict[int, int], at: int) -> tuple[_Literal | None, int]:
+def _value(text: str, start: int, lexemes: _Lexemes, j: int, known: dict[str, _Literal], closing: _Closing, at: int) -> tuple[_Literal | None, int]:
     """The constant value that starts at lexeme j (joined literals and known names) and belongs to the name at at, and the next lexeme."""
     n, bind, first = len(lexemes), lexemes[j - 1], j
     block = BLOCK.match(text, bind[3] - start) if bind[1] == ":" else None
@@ -374,7 +487,7 @@ def _value(text: str, start: int, lexemes: list[tuple], j: int, known: dict[str,
     return _Literal("".join(p.value for p in parts), [s for p in parts for s in p.spans], tuple(x for p in parts for x in p.names)), j
 
 
-def _otherwise(lexemes: list[tuple], j: int, closing: dict[int, int]) -> int:
+def _otherwise(lexemes: _Lexemes, j: int, closing: _Closing) -> int:
     """The lexeme behind ||, ?? or `or` that follows the name j with its call or index; 0 if there is none."""
     k, n = j + 1, len(lexemes)
     if k < n and lexemes[k][1] == "(":
@@ -394,7 +507,7 @@ def _unfilled(content: str, a: int) -> _Literal:
     return _Literal("".join(content[x:y] for x, y in pieces), [(a + x, a + y) for x, y in pieces])
 
 
-def _adjacent(text: str, start: int, lexemes: list[tuple], j: int, k: int) -> int:
+def _adjacent(text: str, start: int, lexemes: _Lexemes, j: int, k: int) -> int:
     """The end of the strings from k on that go on with the string j: behind a backslash, or to a ; or , on later lines; else 0."""
     if k == j + 1:
         return k + 1 if GOES_ON.search(text, lexemes[j][3] - start, lexemes[k][2] - start) else 0
@@ -403,29 +516,56 @@ def _adjacent(text: str, start: int, lexemes: list[tuple], j: int, k: int) -> in
     return k if k == last + 1 and k < len(lexemes) and lexemes[k][1] in (";", ",") else 0
 
 
-def _call(lexemes: list[tuple], j: int, closing: dict[int, int]) -> tuple[_Literal | None, int]:
+def _call(lexemes: _Lexemes, j: int, closing: _Closing) -> tuple[_Literal | None, int]:
     """An environment look-up with a default, or another call: its last string argument if it looks up or decodes."""
     name = lexemes[j][1].lower()
     if re.search(r"getenv|environ|env\.get|config|decode|bytes|string|encode", name):
-        line = next((k for k in range(j, len(lexemes)) if lexemes[k][0] == "line"), len(lexemes))
-        for k in range(closing.get(j + 1, line) - 1, j + 2, -1):
+        line = lexemes.line_end(j)
+        for k in lexemes.strings_before(closing.get(j + 1, line), j + 2):
             bound = k > line and lexemes[k - 1][0] == "bind" and lexemes[k - 2][1].lower() not in ("default", "fallback")
-            if lexemes[k][0] == "string" and not bound:
+            if not bound:
                 return _literal(lexemes[k][1][1:-1], lexemes[k][2] + 1), j + 2
     return None, j + 2  # what stands between the brackets is lexed on its own
 
 
+def _is_worth(text: str) -> bool:
+    """Whether a sensitive word stands in what may be a binding, a setter, an option or a quoted key; in time in proportion to the text."""
+    for m in WORD.finditer(text):
+        a, b = m.span()
+        if (t := SIGN.match(text, b)) and (t["call"] is None or _sets(text, a)):
+            return True
+        low = max(0, a - NAME_LENGTH)
+        if OPTION_TAIL.match(text, b) and OPTION_HEAD.search(text, max(low, max(text.rfind(c, low, a) for c in " \t\n\"'(,=[") ), a):
+            return True
+        if max(text.rfind('"', low, a), text.rfind("'", low, a)) > text.rfind("\n", low, a) and QUOTED.match(text, b):
+            return True
+    return False
+
+
+def _sets(text: str, a: int) -> bool:
+    """Whether the name that goes on at a begins as a setter does."""
+    k = a
+    while k > max(0, a - NAME_LENGTH) and (text[k - 1].isalpha() or text[k - 1] == "_"):
+        k -= 1
+    return bool(re.search("set|with", text[k:a], re.IGNORECASE))
+
+
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals bound to sensitive names, with a score of THRESHOLD or more; code points, end exclusive."""
     found: set[tuple[int, int]] = set()
-    if not WORTH.search(text):
-        if "<" not in text:
-            return []
-    else:
+    if _is_worth(text):
         for name, value in pairs(text):
             best = max(name_score(x) for x in (name, *value.names))
             if best > 0 and best + literal_score(value.value) >= THRESHOLD:
                 found.update(value.spans)
+    for m in DIRECTIVE.finditer(text):
+        group = "quoted" if m["quote"] else "value"
+        if name_score(m["name"]) > 0 and name_score(m["name"]) + literal_score(m[group]) >= THRESHOLD:
+            found.add(m.span(group))
+    if "://" in text:
+        for m in ADDRESS.finditer(text):
+            if SENSITIVE["password"] + literal_score(m["value"]) >= THRESHOLD:
+                found.add(m.span("value"))
     if "<" in text:
         for m in XML.finditer(text):
             name, group = (m["name"], "value") if m["name"] else (m["key"], "setting")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -183,6 +184,40 @@ def test_lexer_of_options_and_headers(text, found):
     assert [text[a:b] for a, b in secrets.lexed_spans(text)] == found
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("DB_PWD ?= hunter2-X9f3kQ", ["hunter2-X9f3kQ"]),
+        ('pwd <- "hunter2-X9f3kQ"', ["hunter2-X9f3kQ"]),
+        ("FROM x\nENV DB_PWD hunter2-X9f3kQ\n", ["hunter2-X9f3kQ"]),
+        ('#define DB_PWD "hunter2-X9f3kQ"', ["hunter2-X9f3kQ"]),
+        ("setx DB_PWD hunter2-X9f3kQ", ["hunter2-X9f3kQ"]),
+        ("at postgres://u:hunter2-X9f3kQ@h/db", ["hunter2-X9f3kQ"]),
+        ('c = "Server=x;Pwd=hunter2-X9f3kQ;Db=y"', ["hunter2-X9f3kQ"]),
+        ('f("Server=x; Pwd=hunter2-X9f3kQ")', ["hunter2-X9f3kQ"]),
+        ("http://host:8080/a@b and c://u:pass@h", []),
+        ("#define KEY_SIZE 4096", []),
+        ('x = "a=b;token=change_me;"', []),
+        ("ENV PATH /usr/bin:/bin", []),
+        ('say "unclosed \\" and pwd = hunter2-X9f3kQ', ["hunter2-X9f3kQ"]),
+        ("it's `so\npwd = 'hunter2-X9f3kQ'", ["hunter2-X9f3kQ"]),
+    ],
+)
+def test_lexer_of_directives_addresses_and_open_quotes(text, found):
+    assert [text[a:b] for a, b in secrets.lexed_spans(text)] == found
+
+
+@pytest.mark.parametrize("text", ["pass", '"pass ', "--pass", "set", "(", '\\"', "pass=decode(", 'config("', "'\"`", "pass=(", "pass:`", "pass:\n", "pass: |\n", " --pass", 'pass="a" + ', '"a"\n'])
+def test_time_of_scans_is_linear(text):
+    def took(n):
+        began = time.process_time()
+        secrets.scan('"' + text * (n // len(text)) + " pwd: x")
+        return time.process_time() - began
+
+    took(1000)
+    assert took(200_000) < 10 * took(50_000) + 0.5  # four times the text
+
+
 @pytest.mark.parametrize(
     ("text", "found"),
     [

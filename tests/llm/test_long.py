@@ -11,7 +11,7 @@ import resource, sys
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from tessella.llm import jaccard, quality, substring, tokens
+from tessella.llm import bpe, jaccard, quality, secrets, substring, tokens
 from tessella.llm._shared import Words, text_buffers
 size = 50_000_000
 raw = np.random.default_rng(1).integers(97, 105, size).astype(np.uint8)
@@ -25,6 +25,8 @@ WORK = {
     "quality": "figures = quality.measure(offsets, text); assert figures[0][0] > 5_000_000",
     "substring": "w = Words(offsets, text); keys, first = substring.window_keys(w, 50, 16); assert len(keys) > 5_000_000 and len(substring.word_digests(w)) == 1",
     "tokens": "ids, at = tokens.Encoder(public_tokenizers.path('byte_bpe_50k.json')).block(offsets, text); assert at[-1] > 5_000_000",
+    "bpe": "ids, at = bpe.Speculator(public_tokenizers.path('byte_bpe_50k.json')).block(offsets, text); assert at[-1] > 5_000_000",
+    "secrets": "del raw, column, text; code = ''.join(f'    value_{i % 5000} = call(first, \"text {i % 977}\") + other[3]\\n' for i in range(400_000)) + 'pwd = \"hunter2-X9f3kQ\"'; assert secrets.scan(code)[5] == 1",
 }
 TAIL = """
 print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
