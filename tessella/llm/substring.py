@@ -237,7 +237,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.add.at(edge, at, by)
             gone = np.cumsum(edge[:-1]) > 0
             n_removed = np.bincount(w.doc[gone], minlength=b - a)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_removed.astype(np.int64)), pa.array(word_digests(w, ~gone), pa.string())], names=["id", "text_hash", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(word_digests(w), pa.string()), pa.array(n_removed.astype(np.int64)), pa.array(word_digests(w, ~gone), pa.string())], names=["id", "sha", "n_removed", "kept_sha256"])
 
 
 def _by_key(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -282,12 +282,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """
     every, texts, runs, read = repeated_runs(docs, window, anchor, group_words, id_col, text_col)
     by_doc = runs.groupBy("id", "text_hash").agg(F.collect_list("from").alias("begin"), F.collect_list("to").alias("end"))
-    cut = texts.select("id", "text_hash", "text").join(by_doc, ["id", "text_hash"]).mapInArrow(lean(_cut_out), "id long, text_hash long, n_removed long, kept_sha256 string")
+    cut = texts.select("id", "text_hash", "text").join(by_doc, ["id", "text_hash"]).mapInArrow(lean(_cut_out), "id long, sha string, n_removed long, kept_sha256 string")
     cut = written(cut, "cut-texts")
     discard(texts, *read)
-    narrow = every.drop("keys", "words")
+    narrow = every.drop("keys", "words", "text_hash")
     first = written(narrow.filter(F.col("n_words") >= window).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "copied")
-    out = narrow.join(F.broadcast(first) if first.count() <= FEW_KEYS // 4 else first, "sha", "left").join(cut, ["id", "text_hash"], "left")
+    out = narrow.join(F.broadcast(first) if first.count() <= FEW_KEYS // 4 else first, "sha", "left").join(cut, ["id", "sha"], "left")  # rows of one id and the same words lose the same
     copy = F.col("id") > F.col("first")
     return out.select(
         F.when(F.col("id") != _LAST, F.col("id")).alias("doc_id"), "n_words",

@@ -215,6 +215,11 @@ def test_substring_edge_rows(spark):
     got = [(r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(frame(spark, rows)).collect()]
     assert sorted(got, key=str) == sorted([(2, 60, 59), (2, 60, 59), (None, 60, 60), (1, 59, 0)], key=str)
     assert substring.remove_repeats(frame(spark, rows).limit(0)).count() == 0
+    # rows of one id: the same words with other white space lose the same, other words lose what they repeat of smaller ids
+    w = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, w + " y"), (5, "x " + w), (5, "x  " + w), (5, w + " z z"), (None, "x\t" + w), (None, "q " + w)]
+    got = [(r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(1, 61, 0), (5, 61, 60), (5, 61, 60), (5, 62, 60), (None, 61, 61), (None, 61, 60)], key=str)
 
 
 def test_repeats_of_one_word(spark):
