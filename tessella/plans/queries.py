@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessella.functions import jsonx
 from tessella.functions import text as t
 from tessella.functions import values as v
-from tessella.operators import annotations, cache, completion, flows, keys, prompts, scan, store
+from tessella.operators import annotations, cache, completion, flows, keys, prompts, replay, scan, store
 from tessella.scratch import scratch_dir, written
 from tessella.sources.tree import write_tree
 from tessella.streaming import sse
@@ -147,6 +147,20 @@ def ttl_cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.ttl_replay(requests(spark, sf_dir), key="props")
 
 
+#: A short time to live and a low quota, under which these events hit, miss and are denied in turn.
+REPLAY_TTL, REPLAY_QUOTA = 6 * 3600, 1
+
+
+def replay_combined(spark: SparkSession, sf_dir: str, limit: int = REPLAY_QUOTA, ttl: int = REPLAY_TTL) -> DataFrame:
+    """Cache and quota together over all events: one event in seven has no result to store."""
+    log = requests(spark, sf_dir)
+    return replay.replay(log, key="props", exempt=F.col("event_type") == "signup", accepted=F.col("event_id") % 7 != 0, limit=limit, ttl=ttl)
+
+
+def replay_combined_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay_combined(spark, sf_dir, v.DAILY_QUOTA, v.CACHE_TTL_SECONDS)
+
+
 def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = requests(spark, sf_dir).withColumn("value", F.concat_ws("-", "event_type", F.col("event_id").cast("string")))
     return cache.upsert(log, key="client").withColumn("created_at", cache.micros("created_at"))
@@ -357,7 +371,7 @@ def project_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.col("data").isNotNull().alias("found"), F.get_json_object("data", "$.total_files").cast("long").alias("total_files"), t.content_hash(store.file_of(F.col("data"), F.col("path"))).alias("content_hash"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (file_scan, project_rank_cap, content_key, overview_key, project_meta, reject_audit, file_content_lookup, language_histogram, quota_daily, quota_daily_default, quota_counts, ttl_cache_replay, cache_upsert, cache_lookup, annotation_lookup, annotation_labels, overview_prompt, annotation_prompt, url_parse, html_preview, json_extract, chunk_assembly, sse_roundtrip, completed_annotations, ui_columns, project_rank_cap_default, overview_key_default, project_meta_default, overview_prompt_default, html_preview_default, cache_lookup_default, overview_flow, cached_replay, annotate_flow, sse_stream_decode, tree_project, uri_coding, project_store)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (file_scan, project_rank_cap, content_key, overview_key, project_meta, reject_audit, file_content_lookup, language_histogram, quota_daily, quota_daily_default, quota_counts, ttl_cache_replay, replay_combined, replay_combined_default, cache_upsert, cache_lookup, annotation_lookup, annotation_labels, overview_prompt, annotation_prompt, url_parse, html_preview, json_extract, chunk_assembly, sse_roundtrip, completed_annotations, ui_columns, project_rank_cap_default, overview_key_default, project_meta_default, overview_prompt_default, html_preview_default, cache_lookup_default, overview_flow, cached_replay, annotate_flow, sse_stream_decode, tree_project, uri_coding, project_store)}
 
 _client = rf"""CASE WHEN strlen(content) > {v.MAX_FILE_SIZE} THEN 'too_large' WHEN starts_with({_name('path')}, '.') THEN 'dot_file' WHEN contains(content, chr(0)) THEN 'binary' END"""
 _notes = f"""n AS (SELECT ord AS doc_id, unnest(range(1, len({_lines('content')}) + 1)) AS line FROM u),
@@ -476,3 +490,12 @@ SELECT id, found, CASE WHEN found THEN total_files END AS total_files, CASE WHEN
 SQL["cache_lookup_default"] = f"""WITH {_log}, c AS (SELECT client, CASE WHEN event_id % 3 = 0 THEN '{{}}' ELSE props END AS value, ts FROM l QUALIFY row_number() OVER (PARTITION BY client ORDER BY ts DESC, event_id DESC) = 1),
 j AS (SELECT event_id, c.value, coalesce(epoch_us(l.ts) + (event_id % 15) * 86400000000 - epoch_us(c.ts) <= {v.CACHE_TTL_SECONDS * 1_000_000} AND c.value NOT IN ('{{}}', '[]'), false) AS hit FROM l LEFT JOIN c USING (client))
 SELECT event_id, hit, CASE WHEN hit THEN value END AS value FROM j"""
+_replay = lambda limit, ttl: f"""WITH RECURSIVE l AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ts, event_id) AS i, event_id, props AS k, user_id AS client, CAST(ts AS DATE) AS day, epoch_us(ts) AS us, event_type = 'signup' AS free, event_id % 7 <> 0 AS accepted FROM events),
+r AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, false AS hit, true AS allowed, CAST(0 AS BIGINT) AS remaining, CAST(MAP {{}} AS MAP(VARCHAR, BIGINT)) AS entries, CAST(MAP {{}} AS MAP(BIGINT, BIGINT)) AS counts, CAST(NULL AS DATE) AS day
+  UNION ALL
+  SELECT i, event_id, hit, free OR hit OR n < {limit}, greatest(0, {limit} - n), CASE WHEN NOT hit AND accepted AND (free OR n < {limit}) THEN map_concat(entries, map([k], [us])) ELSE entries END,
+    CASE WHEN NOT hit AND NOT free AND n < {limit} THEN map_concat(counts, map([client], [n + 1])) ELSE counts END, day
+  FROM (SELECT l.*, entries, coalesce(l.us - entries[l.k] <= {ttl * 1_000_000}, false) AS hit, CASE WHEN r.day = l.day THEN r.counts ELSE CAST(MAP {{}} AS MAP(BIGINT, BIGINT)) END AS counts,
+               coalesce(CASE WHEN r.day = l.day THEN r.counts[l.client] END, 0) AS n FROM r JOIN l ON l.i = r.i + 1))
+SELECT event_id, hit, allowed, remaining FROM r WHERE i > 0"""
+SQL |= {"replay_combined": _replay(REPLAY_QUOTA, REPLAY_TTL), "replay_combined_default": _replay(v.DAILY_QUOTA, v.CACHE_TTL_SECONDS)}
