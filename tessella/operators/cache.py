@@ -35,11 +35,17 @@ def upsert(writes: DataFrame, key: str = "key", value: str = "value", at: str =
 
 
 def lookup(requests: DataFrame, cache: DataFrame, key: str = "key", at: str = "ts", ttl: int = v.CACHE_TTL_SECONDS) -> DataFrame:
-    """requests with `value` and `hit`: found, alive at the request's time, and not an empty result."""
-    entries = cache.select(F.col("key").alias("_key"), F.col("value").alias("_value"), "created_at")
-    live = is_live("created_at", at, ttl) & has_result("_value")
-    joined = requests.join(entries, F.col(key) == F.col("_key"), "left")
-    return joined.withColumns({"hit": F.coalesce(live, F.lit(False)), "value": F.when(live, F.col("_value"))}).drop("_key", "_value", "created_at")
+    """requests with `value` and `hit`: found, alive at the request's time, and not an empty result.
+
+    Columns of requests with these two names are replaced; all others stay as they are.
+    """
+    requests = requests.drop("value", "hit")
+    taken = {c.lower() for c in requests.columns}
+    own, value, created = (next(n for i in range(len(taken) + 1) if (n := "_" * i + c) not in taken) for c in ("entry_key", "entry_value", "entry_created"))
+    entries = cache.select(F.col("key").alias(own), F.col("value").alias(value), F.col("created_at").alias(created))
+    live = is_live(created, at, ttl) & has_result(value)
+    joined = requests.join(entries, F.col(key) == F.col(own), "left")
+    return joined.withColumns({"hit": F.coalesce(live, F.lit(False)), "value": F.when(live, F.col(value))}).drop(own, value, created)
 
 
 def purge(cache: DataFrame, now: Column, ttl: int = v.CACHE_TTL_SECONDS) -> DataFrame:
