@@ -308,7 +308,7 @@ def cached_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def annotate_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = uploads(spark, sf_dir)
-    asked = flow_requests(spark, sf_dir).withColumn("ord", F.col("request_id") % 300).join(u.select("ord", "project", "path"), "ord", "left")
+    asked = flow_requests(spark, sf_dir).withColumn("ord", F.col("request_id") % max(1, u.count())).join(u.select("ord", "project", "path"), "ord", "left")
     asked = asked.select("request_id", "ts", "client", "own_key", F.coalesce("project", F.lit("none")).alias("project"), F.coalesce("path", F.lit("none")).alias("path"))
     kept = u.filter(F.col("ord") % 5 == 0).groupBy(keys.annotation_key().alias("key")).agg(F.max(F.when(F.col("ord") % 10 == 0, KEPT_NOTES).otherwise("[]")).alias("value"))
     cached = kept.withColumn("created_at", F.lit(KEPT_AT).cast("timestamp"))
@@ -459,7 +459,7 @@ SELECT request_id, CAST(0 AS BIGINT) AS i, 'data: {{"result":' || {_quote(KEPT_O
 UNION ALL SELECT request_id, CAST(1 AS BIGINT) AS i, 'data: [DONE]' || chr(10) || chr(10) AS event FROM a WHERE hit"""
 SQL["annotate_flow"] = _flow(f"""WITH {_scanned},
 st AS (SELECT project, path, arg_max(content, ord) AS content FROM u GROUP BY ALL), lg AS (SELECT project, path, arg_min(language, ord) AS language FROM s GROUP BY ALL),
-e AS ({_asked}, event_id % 300 AS ord FROM events),
+e AS ({_asked}, event_id % (SELECT count(*) FROM documents) AS ord FROM events),
 q AS (SELECT request_id, ts, client, own_key, coalesce(u.project, 'none') AS project, coalesce(u.path, 'none') AS path FROM e LEFT JOIN u USING (ord)),
 w AS (SELECT DISTINCT project, path FROM q),
 f AS (SELECT w.project, w.path, st.content, coalesce(lg.language, 'python') AS language FROM w JOIN st USING (project, path) LEFT JOIN lg USING (project, path)),

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tessella.functions import values as v
+from tessella.operators.cache import micros
 from tessella.streaming.sse import REMEMBERED
 
 DAY_MS = 86_400_000
@@ -140,7 +141,7 @@ def hits(requests: DataFrame, key: str = "key", at: str = "ts", tie: str = "even
 
     Requests that are more than `late` behind the latest one of an earlier batch have no result.
     """
-    rows = requests.withWatermark(at, late).select(F.col(key).alias("key"), F.unix_micros(at).alias("at"), F.col(tie).alias("tie"), F.col(at).alias("time"))
+    rows = requests.select(F.col(key).alias("key"), micros(at).alias("at"), F.col(tie).alias("tie"), F.col(at).cast("timestamp").alias("time")).withWatermark("time", late)
     kind = rows.schema["tie"].dataType.simpleString()
     out = rows.groupBy("key").transformWithStateInPandas(_Hits(ttl * 1_000_000), f"tie {kind}, hit boolean", "Append", "EventTime")
     return out.withColumnRenamed("tie", tie)
@@ -186,8 +187,8 @@ def quota(requests: DataFrame, client: str = "client", at: str = "ts", tie: str
     Requests that are more than `late` behind the latest one of an earlier batch have no result.
     """
     free = F.coalesce(exempt, F.lit(False)) if exempt is not None else F.lit(False)
-    micros = F.unix_micros(at)
-    rows = requests.withWatermark(at, late).select(F.col(client).alias("client"), micros.alias("at"), F.floor(micros / F.lit(DAY_MS * 1000)).cast("long").alias("day"), F.col(tie).alias("tie"), free.alias("free"), F.col(at).alias("time"))
+    day = F.floor(micros(at) / F.lit(DAY_MS * 1000)).cast("long")
+    rows = requests.select(F.col(client).alias("client"), micros(at).alias("at"), day.alias("day"), F.col(tie).alias("tie"), free.alias("free"), F.col(at).cast("timestamp").alias("time")).withWatermark("time", late)
     kind = rows.schema["tie"].dataType.simpleString()
     out = rows.groupBy("client").transformWithStateInPandas(_Quota(limit), f"tie {kind}, allowed boolean, remaining long", "Append", "EventTime")
     return out.withColumnRenamed("tie", tie)
