@@ -21,6 +21,8 @@ BITS, FINER, DEEPER = 60, 4, 8
 TOP = 10
 #: Texts that one writer task takes, about; a task writes whole shards, one after another in the order of their bits.
 TASK_BYTES = 128 << 20
+#: Cells of a histogram of bytes that one task orders and that are broadcast, at most.
+FEW_CELLS = 1 << 18
 
 
 def row_hash(id_col: str) -> F.Column:
@@ -82,24 +84,32 @@ def assign_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col:
     return rows.select(*docs.columns, _bits(h, depth).alias("shard"), F.col(depth).alias("shard_depth"))
 
 
+def _dealt(rows: DataFrame, h: str, size: str, depth: str, total: int, tasks: int) -> DataFrame:
+    """rows in so many tasks, each of whole shards."""
+    bits = min(BITS, math.ceil(math.log2(tasks)) + 4)
+    first, task = fresh(rows, "first", "task")
+    # The first cell of a row's shard: its leading bits, as many as the shard has, and zeros.
+    rows = rows.withColumn(first, F.shiftright(F.expr(f"shiftleft(shiftright(`{h}`, {BITS} - `{depth}`), {BITS} - `{depth}`)"), BITS - bits))
+    if 1 << bits > FEW_CELLS:
+        return rows.repartition(tasks, F.col(first))
+    cells = rows.groupBy(F.col(first).alias("first")).agg(F.sum(size).alias("bytes"))  # at most FEW_CELLS
+    before = F.coalesce(F.sum("bytes").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = written(cells.select("first", F.least(F.floor(before * tasks / max(total, 1)), F.lit(tasks - 1)).cast("int").alias("task")), "tasks").toDF(first, task)
+    return rows.join(F.broadcast(dealt), first).repartitionById(tasks, F.col(task))
+
+
 def write_shards(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write one folder of Parquet for each shard.
 
     A task writes whole shards, TASK_BYTES of texts or so (less where there are fewer than the
-    session's partitions): which, follows from a histogram of bytes over the first bits, a few cells
-    for each task. A task has more only by what one shard has.
+    session's partitions): which, follows from a histogram of bytes over the first bits, 16 to 32 cells
+    for each task. A task has more only by what one shard has. If these are more than FEW_CELLS, cells
+    are dealt by hash instead, so that nothing as large as the histogram is ordered or broadcast; a
+    task's bytes then vary as sums of that many cells do.
     """
     docs = docs.drop("shard", "shard_depth")
     rows, (h, size, depth), total = _assigned(docs, limit, id_col, text_col)
-    tasks = max(parallelism(docs.sparkSession), -(-total // TASK_BYTES))
-    bits = min(BITS, math.ceil(math.log2(tasks)) + 4)
-    first, task = fresh(rows, "first", "task")
-    # The first cell of a row's shard: its leading bits, as many as the shard has, and zeros.
-    rows = rows.withColumn(first, F.shiftright(F.expr(f"shiftleft(shiftright(`{h}`, {BITS} - `{depth}`), {BITS} - `{depth}`)"), BITS - bits))
-    cells = rows.groupBy(F.col(first).alias("first")).agg(F.sum(size).alias("bytes"))  # at most 32 for each task
-    before = F.coalesce(F.sum("bytes").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    dealt = written(cells.select("first", F.least(F.floor(before * tasks / max(total, 1)), F.lit(tasks - 1)).cast("int").alias("task")), "tasks").toDF(first, task)
-    rows = rows.join(F.broadcast(dealt), first).repartitionById(tasks, F.col(task))
+    rows = _dealt(rows, h, size, depth, total, max(parallelism(docs.sparkSession), -(-total // TASK_BYTES)))
     out = rows.select(*docs.columns, F.concat(F.lit("b"), _bits(h, depth)).alias("shard"), F.col(depth).alias("shard_depth"))
     out.write.partitionBy("shard").parquet(path)
 

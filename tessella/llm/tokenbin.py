@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from tessella.llm._shared import byte_slices, lean, parallelism, scratch_dir, text_buffers
 from tessella.llm.tokens import encoder
 
+#: Bytes of texts for a task, and characters of a text that order equal ids.
+TASK_BYTES, LEAD = 128 << 20, 24
 #: Parquet settings: version 2 pages have delta-packed integers where no dictionary pays; dictionaries
 #: serve the ids, whose vocabulary fits one dictionary page; every column has a page index.
 LAYOUT = {
@@ -56,11 +58,17 @@ def write_token_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2
 
     Columns: doc_id, part (number of the file's task), local_start (ids before the document in its
     file), n_tokens, tokens. A null text counts as empty and has the end id only; a null doc_id comes
-    first; equal ids are ordered by text and each keep their row; other columns of docs are not read.
+    first; equal ids are ordered by the first LEAD characters of their texts, then a hash and the text, so
+    that any number of them spreads over tasks, and each keep their row. A task has TASK_BYTES of texts or so,
+    or less where there are fewer than the session's partitions. Other columns of docs are not read.
     An empty table gives an empty directory of files. A text's ids are one list, whole in a task's memory.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(partitions or parallelism(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    if partitions is None:
+        total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        partitions = max(parallelism(docs.sparkSession), -(-total // TASK_BYTES))
+    order = [F.col("doc_id"), F.substring("text", 1, LEAD), F.xxhash64("text")]
+    rows = rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order, "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, total = TaskContext.get().partitionId(), 0

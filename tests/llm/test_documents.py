@@ -95,6 +95,26 @@ def test_shards(spark, limit):
     assert prefixes == ["*"] or not any(b.startswith(a) for a, b in zip(prefixes, prefixes[1:]))
 
 
+def test_writer_tasks_of_any_number(spark, monkeypatch):
+    """At 100 TB no histogram of cells is ordered by one task or broadcast, and tasks still have whole shards."""
+    df = spark.createDataFrame([(i, "x" * (i % 90)) for i in range(400)], "doc_id long, text string")
+    rows, names, total = sharding._assigned(df, 500, "doc_id", "text")
+    plan = sharding._dealt(rows, *names, total, 800_000).select("doc_id")._jdf.queryExecution().toString()
+    window = lambda p: "Window [" in p or "windowspecdefinition" in p
+    assert not window(plan.split("== Optimized")[1]) and "800000" in plan
+    small = sharding._dealt(rows, *names, total, 4).select("doc_id")._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in small
+    monkeypatch.setattr(sharding, "FEW_CELLS", 2)
+    dealt = sharding._dealt(rows, *names, total, 7)
+    h, _, depth = names
+    tasks = dealt.withColumn("task", F.spark_partition_id()).groupBy(sharding._bits(h, depth).alias("shard")).agg(F.count_distinct("task").alias("n"))
+    assert {r.n for r in tasks.collect()} == {1} and dealt.count() == 400
+    path = scratch_dir(spark, "hashed-shards")
+    sharding.write_shards(df, path, 500)
+    want = {(r.doc_id, r.shard) for r in sharding.assign_shards(df, 500).collect()}
+    assert {(r.doc_id, r.shard[1:]) for r in spark.read.schema("doc_id long, shard string").parquet(path).collect()} == want
+
+
 def test_shard_edge_rows(spark):
     df = spark.createDataFrame([(1, "a" * 50), (1, "a" * 50), (None, "b"), (None, None)], "doc_id long, text string")
     got = sharding.assign_shards(df, 60)

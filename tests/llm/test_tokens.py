@@ -57,6 +57,20 @@ def test_token_files(spark, docs):
     assert tokenbin.token_ids(df.limit(0), PATH).count() == 0
 
 
+def test_equal_ids_spread_over_files(spark):
+    rows = [(None if i % 2 else 5, f"text {i}") for i in range(600)] + [(4, "before"), (6, "after")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = scratch_dir(spark, "equal-ids")
+    tokenbin.write_token_ids(df, path, PATH, partitions=8)
+    back = spark.read.parquet(path)
+    assert back.count() == 602
+    parts = {r.part: r.n for r in back.filter("doc_id = 5").groupBy("part").agg(F.count("*").alias("n")).collect()}
+    assert len(parts) > 2 and max(parts.values()) < 250
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in tokenbin.read_token_digest(spark, path).collect())
+    assert [s for s, _, _ in got] == np.cumsum([0, *(n for _, _, n in got)])[:-1].tolist()
+    assert [i for _, i, _ in got] == [None] * 300 + [4] + [5] * 300 + [6]
+
+
 def test_selective_reads(spark):
     import pyarrow.parquet as pq
 
