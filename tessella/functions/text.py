@@ -9,6 +9,8 @@ from tessella.functions import values as v
 
 #: A line end, as str.splitlines has it.
 LINE_END = r"(?:\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029])"
+#: Line ends of one character besides `\\n`.
+ODD_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 #: Unicode white space, as str.strip has it.
 BLANK = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 
@@ -64,15 +66,29 @@ def is_safe_path(path: str | Column) -> Column:
     return ~F.startswith(p, F.lit("/")) & ~F.startswith(F.coalesce(F.get(stack, F.lit(0)), F.lit("")), F.lit(".."))
 
 
+def plain_ends(text: str | Column) -> Column:
+    """A text whose line ends, as str.splitlines has them, are all `\\n`."""
+    joined = F.replace(_c(text), F.lit("\r\n"), F.lit("\n"))
+    return F.when(F.rlike(joined, F.lit(r"[\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]")), F.translate(joined, ODD_ENDS, "\n" * len(ODD_ENDS))).otherwise(joined)
+
+
+def _own_lines(text: str | Column) -> Column:
+    """plain_ends() without an end behind the last line."""
+    lines = plain_ends(text)
+    return F.when(F.endswith(lines, F.lit("\n")), F.substring(lines, F.lit(1), F.char_length(lines) - 1)).otherwise(lines)
+
+
 def splitlines(text: str | Column) -> Column:
     t = _c(text)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(t, LINE_END + r"\z", ""), LINE_END, -1))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(_own_lines(t), "\n", -1))
 
 
 def count_lines(text: str | Column) -> Column:
     """How many lines splitlines() gives."""
     t = _c(text)
-    return F.when(t == "", 0).otherwise(F.regexp_count(t, F.lit(LINE_END)) + F.when(F.rlike(t, F.lit(LINE_END + r"\z")), 0).otherwise(1))
+    lines = plain_ends(t)
+    ends = F.octet_length(lines) - F.octet_length(F.replace(lines, F.lit("\n"), F.lit("")))
+    return F.when(t == "", 0).otherwise(ends + F.when(F.endswith(lines, F.lit("\n")), 0).otherwise(1))
 
 
 def strip(text: str | Column) -> Column:

@@ -37,6 +37,19 @@ def client_path(relative: str = "relative", name: str = "name") -> Column:
     return F.coalesce(F.when(F.col(relative) != "", F.col(relative)), F.col(name))
 
 
+def read_back(content: str | Column) -> Column:
+    """A file's bytes as text with every line end as `\n`: what is kept of a tree's files for look-ups."""
+    return F.replace(F.replace(t.decode_utf8(content), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+
+
+def tree_contents(spark, path: str, most: int | None = None) -> DataFrame:
+    """project, path, content of a tree's accepted files, read back for look-ups."""
+    from tessella.sources.tree import read_tree
+
+    options = {} if most is None else {"maxFiles": str(most)}
+    return read_tree(spark, path, **options).select(F.lit(path).alias("project"), "path", read_back("content").alias("content"))
+
+
 def project_names(files: DataFrame, project: str = "project", relative: str = "relative", order: str = "ord") -> DataFrame:
     """Name of each project: the top folder of its last file that has a relative path, else 'untitled'."""
     top = F.get(F.split(F.col(relative), "/"), F.lit(0))
@@ -54,13 +67,17 @@ def scan_upload(files: DataFrame, lines: int = v.PREVIEW_LINES) -> DataFrame:
     return file_info(files.filter(upload_reject_reason().isNull()), lines)
 
 
-def scan_tree(spark, path: str, lines: int = v.PREVIEW_LINES) -> DataFrame:
-    """Accepted files of a directory tree. ord is their place in a walk: a folder's files come before its folders."""
+def scan_tree(spark, path: str, lines: int = v.PREVIEW_LINES, most: int | None = None) -> DataFrame:
+    """Accepted files of a directory tree. ord is their place in a walk: a folder's files come before its folders.
+
+    With `most` the walk ends at so many files.
+    """
     from tessella.sources.tree import read_tree
 
     parts = F.split("path", "/")
     place = F.struct(F.slice(parts, F.lit(1), F.size(parts) - 1).alias("folders"), F.element_at(parts, -1).alias("name"))
-    files = read_tree(spark, path).withColumns({"project": F.lit(path), "ord": place})
+    options = {} if most is None else {"maxFiles": str(most)}
+    files = read_tree(spark, path, **options).withColumns({"project": F.lit(path), "ord": place})
     decoded = files.withColumn("content", t.decode_utf8("content"))
     return decoded.withColumns({"language": t.language("path"), "preview": t.preview("path", "content", lines)})
 
@@ -70,7 +87,7 @@ def scan_project(spark, path: str, most: int = v.MAX_FILES, most_mb: float = v.M
     from tessella.sources.tree import check_tree_size
 
     check_tree_size(spark, path, most_mb)
-    return rank(cap(require_files(scan_tree(spark, path)), most))
+    return rank(cap(require_files(scan_tree(spark, path, most=most)), most))
 
 
 def upload_project(files: DataFrame, most: int = v.MAX_FILES) -> DataFrame:

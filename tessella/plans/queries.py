@@ -183,14 +183,15 @@ def cache_lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = uploads(spark, sf_dir).select(F.col("ord").alias("doc_id"), F.posexplode(t.splitlines("content")).alias("i", "text"))
-    return docs.select("doc_id", (F.col("i") + 1).alias("line"))
+    n = t.count_lines("content")
+    return uploads(spark, sf_dir).select(F.col("ord").alias("doc_id"), n.alias("n")).filter("n > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("line"))
 
 
 def file_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = t.count_lines("content")
-    odd = F.transform(F.filter(F.sequence(F.lit(1), n), lambda s: s % 2 == 1), lambda s: F.struct(s.alias("line_start"), (s + (F.col("ord") % 3).cast("int")).alias("line_end"), F.concat(F.lit("note "), s.cast("string")).alias("annotation")))
-    return annotations.explode_annotations(uploads(spark, sf_dir).filter(F.col("content") != "").select(F.col("ord").alias("doc_id"), odd.alias("annotations")))
+    odd = F.transform(F.sequence(F.lit(1), F.col("n"), F.lit(2)), lambda s: F.struct(s.alias("line_start"), (s + (F.col("ord") % 3).cast("int")).alias("line_end"), F.concat(F.lit("note "), s.cast("string")).alias("annotation")))
+    docs = uploads(spark, sf_dir).select("ord", n.alias("n")).filter("n > 0")
+    return annotations.explode_annotations(docs.select(F.col("ord").alias("doc_id"), odd.alias("annotations")))
 
 
 def annotation_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,14 +365,25 @@ def project_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projects as JSON rows, read back: even ones from memory, the others from the table while they are live."""
     u = uploads(spark, sf_dir)
     number = F.substring("id", 4, 9).cast("int")
-    rows = store.project_rows(scan.project_meta(ranked_files(spark, sf_dir, v.MAX_FILES)), scan.contents(u), F.lit(None).cast("timestamp"))
+    rows = store.project_rows(scan.project_meta(ranked_files(spark, sf_dir, v.MAX_FILES)), F.lit(None).cast("timestamp"))
     rows = written(rows.withColumn("created_at", F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(number % 10)), "projects")
     wanted = u.groupBy(F.col("project").alias("id")).agg(F.max("path").alias("path"))
     found = store.resolve(wanted, rows.filter(number % 2 == 0), rows, F.lit("2024-01-12").cast("timestamp"))
-    return found.select("id", F.col("data").isNotNull().alias("found"), F.get_json_object("data", "$.total_files").cast("long").alias("total_files"), t.content_hash(store.file_of(F.col("data"), F.col("path"))).alias("content_hash"))
+    found = store.files_of(found, store.file_rows(scan.contents(u)))
+    return found.select("id", F.col("data").isNotNull().alias("found"), F.get_json_object("data", "$.total_files").cast("long").alias("total_files"), t.content_hash("content").alias("content_hash"))
+
+
+def project_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as uploads that become projects with random ids; every path is looked up again in the stored files."""
+    u = uploads(spark, sf_dir).withColumnRenamed("project", "upload").withColumn("relative", F.col("path"))
+    saved = store.save_uploads(u, F.lit(KEPT_AT).cast("timestamp"))
+    projects, files = written(saved.projects, "projects"), written(saved.files, "project-files")
+    looked = store.files_of(files.select("id", "path").join(projects, "id"), files)
+    total = F.get_json_object("data", "$.total_files").cast("long")
+    return looked.select(F.get_json_object("data", "$.name").alias("name"), "path", total.alias("total_files"), (F.length("id") == 12).alias("has_id"), t.content_hash("content").alias("content_hash"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (file_scan, project_rank_cap, content_key, overview_key, project_meta, reject_audit, file_content_lookup, language_histogram, quota_daily, quota_daily_default, quota_counts, ttl_cache_replay, replay_combined, replay_combined_default, cache_upsert, cache_lookup, annotation_lookup, annotation_labels, overview_prompt, annotation_prompt, url_parse, html_preview, json_extract, chunk_assembly, sse_roundtrip, completed_annotations, ui_columns, project_rank_cap_default, overview_key_default, project_meta_default, overview_prompt_default, html_preview_default, cache_lookup_default, overview_flow, cached_replay, annotate_flow, sse_stream_decode, tree_project, uri_coding, project_store)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (file_scan, project_rank_cap, content_key, overview_key, project_meta, reject_audit, file_content_lookup, language_histogram, quota_daily, quota_daily_default, quota_counts, ttl_cache_replay, replay_combined, replay_combined_default, cache_upsert, cache_lookup, annotation_lookup, annotation_labels, overview_prompt, annotation_prompt, url_parse, html_preview, json_extract, chunk_assembly, sse_roundtrip, completed_annotations, ui_columns, project_rank_cap_default, overview_key_default, project_meta_default, overview_prompt_default, html_preview_default, cache_lookup_default, overview_flow, cached_replay, annotate_flow, sse_stream_decode, tree_project, uri_coding, project_store, project_uploads)}
 
 _client = rf"""CASE WHEN strlen(content) > {v.MAX_FILE_SIZE} THEN 'too_large' WHEN starts_with({_name('path')}, '.') THEN 'dot_file' WHEN contains(content, chr(0)) THEN 'binary' END"""
 _notes = f"""n AS (SELECT ord AS doc_id, unnest(range(1, len({_lines('content')}) + 1)) AS line FROM u),
@@ -499,3 +511,6 @@ r AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, false AS
                coalesce(CASE WHEN r.day = l.day THEN r.counts[l.client] END, 0) AS n FROM r JOIN l ON l.i = r.i + 1))
 SELECT event_id, hit, allowed, remaining FROM r WHERE i > 0"""
 SQL |= {"replay_combined": _replay(REPLAY_QUOTA, REPLAY_TTL), "replay_combined_default": _replay(v.DAILY_QUOTA, v.CACHE_TTL_SECONDS)}
+SQL["project_uploads"] = f"""WITH {_scanned}, st AS (SELECT project, path, arg_max(content, ord) AS content FROM u GROUP BY ALL),
+n AS (SELECT project, least(count(*), {v.MAX_FILES}) AS total_files FROM s GROUP BY project), nm AS (SELECT project, coalesce(arg_max(string_split(path, '/')[1], ord), 'untitled') AS name FROM u GROUP BY project)
+SELECT name, path, total_files, true AS has_id, {_hash('content')} AS content_hash FROM st JOIN n USING (project) JOIN nm USING (project)"""

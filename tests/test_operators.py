@@ -161,7 +161,7 @@ def test_large_folders_are_split(spark, tmp_path, monkeypatch):
         (tmp_path / f"d{i % 2}").mkdir(exist_ok=True)
         (tmp_path / f"d{i % 2}" / f"{i}.py").write_text("x")
     parts = tree._Reader({"path": str(tmp_path)}).partitions()
-    assert len(parts) == 6 and sorted(p.shares for p in parts) == [3] * 6
+    assert sorted(len(p.names) for p in parts) == [2, 3, 10, 10, 10, 10]
     assert read_tree(spark, str(tmp_path)).count() == 45
 
 
