@@ -182,24 +182,27 @@ def cache_lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.lookup(late, stored).select("event_id", "hit", "value")
 
 
-def file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = t.count_lines("content")
-    return uploads(spark, sf_dir).select(F.col("ord").alias("doc_id"), n.alias("n")).filter("n > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("line"))
+def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n of the documents that have lines."""
+    return uploads(spark, sf_dir).select(F.col("ord").alias("doc_id"), t.count_lines("content").alias("n")).filter("n > 0")
 
 
-def file_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = t.count_lines("content")
-    odd = F.transform(F.sequence(F.lit(1), F.col("n"), F.lit(2)), lambda s: F.struct(s.alias("line_start"), (s + (F.col("ord") % 3).cast("int")).alias("line_end"), F.concat(F.lit("note "), s.cast("string")).alias("annotation")))
-    docs = uploads(spark, sf_dir).select("ord", n.alias("n")).filter("n > 0")
-    return annotations.explode_annotations(docs.select(F.col("ord").alias("doc_id"), odd.alias("annotations")))
+def file_lines(counts: DataFrame) -> DataFrame:
+    return counts.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("line"))
+
+
+def file_annotations(counts: DataFrame) -> DataFrame:
+    odd = F.transform(F.sequence(F.lit(1), F.col("n"), F.lit(2)), lambda s: F.struct(s.alias("line_start"), (s + (F.col("doc_id") % 3).cast("int")).alias("line_end"), F.concat(F.lit("note "), s.cast("string")).alias("annotation")))
+    return annotations.explode_annotations(counts.select("doc_id", odd.alias("annotations")))
 
 
 def annotation_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annotations.lookup(file_lines(spark, sf_dir), file_annotations(spark, sf_dir), ("doc_id",))
+    counts = written(line_counts(spark, sf_dir), "line-counts")  # texts are read once
+    return annotations.lookup(file_lines(counts), file_annotations(counts), ("doc_id",))
 
 
 def annotation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annotations.labels(file_annotations(spark, sf_dir)).select("doc_id", "line_start", "label")
+    return annotations.labels(file_annotations(line_counts(spark, sf_dir))).select("doc_id", "line_start", "label")
 
 
 def overview_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,6 +244,17 @@ def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "found.kind", "found.value", F.coalesce(jsonx.accepted_overview(F.col("found")), F.lit(False)).alias("overview"), F.coalesce(jsonx.accepted_annotations(F.col("found")), F.lit(False)).alias("annotations"))
 
 
+def typed_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer to every event, with line numbers that are numbers, strings, fractions, missing or reversed, as typed columns."""
+    n = F.col("event_id")
+    start = F.element_at(F.array(F.lit('"3"'), n.cast("string"), n.cast("string"), F.lit("2.5"), n.cast("string")), (n % 5 + 1).cast("int"))
+    end = F.element_at(F.array(F.lit("7"), (n - 1).cast("string"), F.lit("null"), n.cast("string"), (n + 4).cast("string")), (n % 5 + 1).cast("int"))
+    answer = F.concat(F.lit('Lines:\n[{"line_start": '), start, F.lit(', "line_end": '), end, F.lit(', "annotation": "'), F.col("event_type"), F.lit('"}, '), n.cast("string"), F.lit(", "), F.col("props"), F.lit("]"))
+    found = requests(spark, sf_dir).select("event_id", jsonx.extract_json(answer).alias("f"))
+    typed = jsonx.typed_annotations(found.filter(jsonx.accepted_annotations(F.col("f"))).select("event_id", F.col("f.value").alias("value")))
+    return typed.select("event_id", "idx", "line_start", "line_end", "annotation", F.get_json_object("raw", "$.line_start").alias("raw_start"))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), F.col("text").alias("chunk"), "role")
 
@@ -383,7 +397,7 @@ def project_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return looked.select(F.get_json_object("data", "$.name").alias("name"), "path", total.alias("total_files"), (F.length("id") == 12).alias("has_id"), t.content_hash("content").alias("content_hash"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (file_scan, project_rank_cap, content_key, overview_key, project_meta, reject_audit, file_content_lookup, language_histogram, quota_daily, quota_daily_default, quota_counts, ttl_cache_replay, replay_combined, replay_combined_default, cache_upsert, cache_lookup, annotation_lookup, annotation_labels, overview_prompt, annotation_prompt, url_parse, html_preview, json_extract, chunk_assembly, sse_roundtrip, completed_annotations, ui_columns, project_rank_cap_default, overview_key_default, project_meta_default, overview_prompt_default, html_preview_default, cache_lookup_default, overview_flow, cached_replay, annotate_flow, sse_stream_decode, tree_project, uri_coding, project_store, project_uploads)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (file_scan, project_rank_cap, content_key, overview_key, project_meta, reject_audit, file_content_lookup, language_histogram, quota_daily, quota_daily_default, quota_counts, ttl_cache_replay, replay_combined, replay_combined_default, cache_upsert, cache_lookup, annotation_lookup, annotation_labels, overview_prompt, annotation_prompt, url_parse, html_preview, json_extract, typed_annotations, chunk_assembly, sse_roundtrip, completed_annotations, ui_columns, project_rank_cap_default, overview_key_default, project_meta_default, overview_prompt_default, html_preview_default, cache_lookup_default, overview_flow, cached_replay, annotate_flow, sse_stream_decode, tree_project, uri_coding, project_store, project_uploads)}
 
 _client = rf"""CASE WHEN strlen(content) > {v.MAX_FILE_SIZE} THEN 'too_large' WHEN starts_with({_name('path')}, '.') THEN 'dot_file' WHEN contains(content, chr(0)) THEN 'binary' END"""
 _notes = f"""n AS (SELECT ord AS doc_id, unnest(range(1, len({_lines('content')}) + 1)) AS line FROM u),
@@ -514,3 +528,6 @@ SQL |= {"replay_combined": _replay(REPLAY_QUOTA, REPLAY_TTL), "replay_combined_d
 SQL["project_uploads"] = f"""WITH {_scanned}, st AS (SELECT project, path, arg_max(content, ord) AS content FROM u GROUP BY ALL),
 n AS (SELECT project, least(count(*), {v.MAX_FILES}) AS total_files FROM s GROUP BY project), nm AS (SELECT project, coalesce(arg_max(string_split(path, '/')[1], ord), 'untitled') AS name FROM u GROUP BY project)
 SELECT name, path, total_files, true AS has_id, {_hash('content')} AS content_hash FROM st JOIN n USING (project) JOIN nm USING (project)"""
+SQL["typed_annotations"] = """SELECT event_id, CAST(0 AS INT) AS idx, CAST(CASE WHEN event_id % 5 IN (2, 4) THEN event_id END AS INT) AS line_start, CAST([7, NULL, NULL, event_id, event_id + 4][event_id % 5 + 1] AS INT) AS line_end, event_type AS annotation,
+  ['3', event_id::VARCHAR, event_id::VARCHAR, '2.5', event_id::VARCHAR][event_id % 5 + 1] AS raw_start FROM events
+UNION ALL SELECT event_id, CAST(i AS INT), NULL, NULL, NULL, NULL FROM events, (VALUES (1), (2)) AS t(i)"""

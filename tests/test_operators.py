@@ -75,6 +75,31 @@ def test_json_extraction(spark):
     assert {r.x: tuple(r.f) for r in rows} == texts
 
 
+def test_plain_json_is_what_python_writes(spark):
+    import json
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(1)
+    scalar = lambda: rng.choice([1, -5, 0, -0.0, 1.5, 0.25, 0.0001, 1e-5, 1e16, 123456789012345, 1234567890123456, True, None, "x", 'é"q', "a\\b", "k\n", "", 0.1 + 0.2, 12.0, float("nan"), "{}", "[1]", 'a": 1'])
+    flat = lambda: {rng.choice(["a", "b", "c d", "é", 'q"']): scalar() for _ in range(rng.randrange(3))}
+    value = lambda: rng.choice([flat(), flat(), [rng.choice([scalar(), flat()]) for _ in range(rng.randrange(4))], {"n": {"x": 1}}, [[1]], "s", 3])
+    odd = ['{"a": 1, "a": 2}', '[{"a": 1, "a": 2}]', '[{"a": 1}, {"a": 2}]', '{"a":1}', '{"a": 01}', '{"a": -0}', "[-0]", "[-0.5]", '{"a": 1.50}', "[1] x", '{"a": NaN}', '{"a": 1e5}', "[1, 2", '{"k": "x\ty"}', "", "null", "[0.12345]", "[1.0, 2.5]", '{"a": "b"} ', '```json\n{"a": 1}\n```', '{"a": 1}, {"b": 2}', "[ 1]", "[1,2]"]
+    texts = [json.dumps(value(), ensure_ascii=False) for _ in range(1500)] + odd
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", jsonx.extract_json("t").alias("f"), jsonx.is_plain("t").alias("p"), jsonx.candidates("t").alias("c")).orderBy("i").collect()
+    want = jsonx._first_json(pd.Series([r.c for r in rows]))
+    assert [tuple(r.f) for r in rows] == list(zip(want.kind, want.value))
+    assert 300 < sum(r.p for r in rows) < 1500
+
+
+def test_typed_annotations(spark):
+    value = '[{"line_start": 1, "line_end": 3, "annotation": "a"}, {"line_start": "2", "line_end": 3, "annotation": 5}, {"line_start": 9, "line_end": 3}, 7, {"line_start": 1.5, "line_end": 99999999999, "annotation": null}, null]'
+    rows = spark.createDataFrame([(1, value, "x"), (2, '{"a": 1}', "x"), (3, "[1", "x"), (4, None, "x"), (5, "[]", "x")], "i int, value string, RAW string")
+    got = [(r.i, r.idx, r.line_start, r.line_end, r.annotation) for r in jsonx.typed_annotations(rows).collect()]
+    assert got == [(1, 0, 1, 3, "a"), (1, 1, None, 3, None), (1, 2, None, None, None), (1, 3, None, None, None), (1, 4, None, None, None), (1, 5, None, None, None)]
+
+
 def test_completion_dedupes_and_keeps_errors(spark):
     def failing(prompt):
         if prompt == "bad":
