@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 Completer = Callable[[str], str]
@@ -72,3 +72,29 @@ def complete(rows: DataFrame, completer: Completer = stub, key: str = "key", pro
     once = rows.groupBy(F.col(key).alias("key")).agg(F.min(prompt).alias("prompt"))
     answers = once.mapInPandas(run, "key string, response string, error string")
     return rows.join(answers.withColumnRenamed("key", "_key"), F.col(key) == F.col("_key"), "left").drop("_key")
+
+
+def register_stream(spark: SparkSession, name: str = "stream_completion", streamer: Streamer = stub_overview) -> None:
+    """Make streamed completion a table function of SQL: `SELECT * FROM name(TABLE(t) PARTITION BY key ORDER BY prompt)`.
+
+    t has key and prompt (and may have other columns); the result is key, seq, chunk, error as in stream(). The rows of a
+    key are one completion, of its first prompt; a key's chunks are passed on as they come. A null prompt has no chunks.
+    """
+
+    class Stream:
+        def __init__(self):
+            self.asked = False
+
+        def eval(self, row: Row):
+            if self.asked or row["prompt"] is None:
+                return
+            self.asked, seq = True, 0
+            try:
+                for chunk in streamer(row["prompt"]):
+                    if chunk:
+                        yield row["key"], seq, chunk, None
+                        seq += 1
+            except Exception as e:  # the provider may fail in any way; the row says how
+                yield row["key"], seq, None, f"{type(e).__name__}: {e}"
+
+    spark.udtf.register(name, F.udtf(Stream, returnType="key string, seq bigint, chunk string, error string"))

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import values as v
-from tessella.operators import flows
+from tessella.operators import completion, flows, prompts
 from tessella.operators.cache import micros
 from tessella.plans import queries as q
 from tessella.scratch import scratch_dir
-from tessella.streaming import live, serve
+from tessella.streaming import live, serve, sink
 
 #: Batches that a table comes in.
 BATCHES = 3
@@ -72,7 +72,27 @@ def overview_flow_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.overview(*q._overviews(spark, sf_dir), limit=q.QUOTA, serial=True).answers
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (ttl_live, quota_live, chunk_assembly_live, flow_stream, overview_flow_serial)}
+def completion_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every project's overview prompt, twice, through the table function: equal keys are one completion."""
+    prompt = prompts.overview_prompts(q.ranked_files(spark, sf_dir, v.MAX_FILES)).withColumnRenamed("project", "key")
+    completion.register_stream(spark)
+    asked = prompt.unionByName(prompt)
+    return spark.sql("SELECT key, seq, chunk, error FROM stream_completion(TABLE({asked}) PARTITION BY key ORDER BY prompt)", asked=asked)
+
+
+def events_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's turns through the event sink, and read back."""
+    sink.register(spark)
+    folder = scratch_dir(spark, "events")
+    if not folder.startswith(("file:", "/")):
+        raise ValueError("the event sink needs a shared folder that all executors mount")
+    folder = "/" + folder.removeprefix("file:").lstrip("/")
+    c = q.chunks(spark, sf_dir).select("request_id", F.col("seq").alias("i"), F.lit("chunk").alias("kind"), F.col("chunk").alias("payload"))
+    sink.rows(c).write.format("sse").mode("append").option("path", folder).save()
+    return sink.read_events(spark, folder).select(F.col("request_id").cast("long").alias("request_id"), "i", F.md5("event").alias("event_md5"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (ttl_live, quota_live, chunk_assembly_live, flow_stream, overview_flow_serial, completion_function, events_written)}
 
 _OWN = q._quote('{"summary": "') + " || length(prompt) || " + q._quote(' characters"}')
 _source = q._projects[: q._projects.index(",\nh AS (SELECT *, missing OR hit")].replace("WITH ", "WITH RECURSIVE ", 1)
@@ -100,3 +120,7 @@ SQL: dict[str, str] = {
         _step("status <> 200", 0, "status", "CAST(status AS VARCHAR)"),
     ]),
 }
+SQL["completion_function"] = q._prompts.replace("FROM p)\nop AS", "FROM p),\nop AS") + """,
+said AS (SELECT project, unnest(CASE WHEN contains(prompt, 'README') THEN ['{"summary": "', length(prompt) || ' characters', '"}'] ELSE ['no ', 'JSON'] END) AS chunk, unnest(CASE WHEN contains(prompt, 'README') THEN [0, 1, 2] ELSE [0, 1] END) AS seq FROM op)
+SELECT project AS key, CAST(seq AS BIGINT) AS seq, chunk, CAST(NULL AS VARCHAR) AS error FROM said"""
+SQL["events_written"] = "SELECT conv_id AS request_id, turn AS i, md5('data: ' || to_json({'chunk': text})::VARCHAR || chr(10) || chr(10)) AS event_md5 FROM conversations"
