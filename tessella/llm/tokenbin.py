@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tessella.llm._shared import byte_slices, lean, parallelism, scratch_dir, text_buffers
 from tessella.llm.tokens import encoder
 
-#: Bytes of texts for a task, and characters of a text that order equal ids.
-TASK_BYTES, LEAD = 128 << 20, 24
+#: Bytes of texts for a task, characters of a text that order equal ids, and rows of an id that one task takes.
+TASK_BYTES, LEAD, SAME_IDS = 128 << 20, 24, 10_000
 #: Parquet settings: version 2 pages have delta-packed integers where no dictionary pays; dictionaries
 #: serve the ids, whose vocabulary fits one dictionary page; every column has a page index.
 LAYOUT = {
@@ -64,11 +64,11 @@ def write_token_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2
     An empty table gives an empty directory of files. A text's ids are one list, whole in a task's memory.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if partitions is None:
-        total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        partitions = max(parallelism(docs.sparkSession), -(-total // TASK_BYTES))
+    same = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).agg(F.max("n").alias("most"), F.sum("bytes").alias("total")).first()
+    tasks = partitions or max(parallelism(docs.sparkSession), -(-(same["total"] or 0) // TASK_BYTES))
     order = [F.col("doc_id"), F.substring("text", 1, LEAD), F.xxhash64("text")]
-    rows = rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order, "text")
+    # Texts are read for the splitters only where an id has so many rows that they need splitting.
+    rows = rows.repartitionByRange(tasks, *(order if (same["most"] or 0) > SAME_IDS else order[:1])).sortWithinPartitions(*order, "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, total = TaskContext.get().partitionId(), 0

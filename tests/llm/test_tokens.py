@@ -58,7 +58,8 @@ def test_token_files(spark, docs):
     assert tokenbin.token_ids(df.limit(0), PATH).count() == 0
 
 
-def test_equal_ids_spread_over_files(spark):
+def test_equal_ids_spread_over_files(spark, monkeypatch):
+    monkeypatch.setattr(tokenbin, "SAME_IDS", 100)
     rows = [(None if i % 2 else 5, f"text {i}") for i in range(600)] + [(4, "before"), (6, "after")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     path = scratch_dir(spark, "equal-ids")
