@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tessella.llm._shared import byte_slices, lean, parallelism, scratch_dir, text_buffers
 from tessella.llm.tokens import encoder
 
-#: Bytes of texts for a task, characters of a text that order equal ids, and rows of an id that one task takes.
-TASK_BYTES, LEAD, SAME_IDS = 128 << 20, 24, 10_000
+#: Characters of a text that order equal ids, and rows of an id that one task takes.
+LEAD, SAME_IDS = 24, 10_000
 #: Parquet settings: version 2 pages have delta-packed integers where no dictionary pays; dictionaries
 #: serve the ids, whose vocabulary fits one dictionary page; every column has a page index.
 LAYOUT = {
@@ -59,16 +59,15 @@ def write_token_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2
     Columns: doc_id, part (number of the file's task), local_start (ids before the document in its
     file), n_tokens, tokens. A null text counts as empty and has the end id only; a null doc_id comes
     first; equal ids are ordered by the first LEAD characters of their texts, then a hash and the text, so
-    that any number of them spreads over tasks, and each keep their row. A task has TASK_BYTES of texts or so,
-    or less where there are fewer than the session's partitions. Other columns of docs are not read.
+    that any number of them spreads over tasks, and each keep their row. There are as many tasks as the input
+    has splits, or as the session has partitions if these are more. Other columns of docs are not read.
     An empty table gives an empty directory of files. A text's ids are one list, whole in a task's memory.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    same = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).agg(F.max("n").alias("most"), F.sum("bytes").alias("total")).first()
-    tasks = partitions or max(parallelism(docs.sparkSession), -(-(same["total"] or 0) // TASK_BYTES))
-    order = [F.col("doc_id"), F.substring("text", 1, LEAD), F.xxhash64("text")]
-    # Texts are read for the splitters only where an id has so many rows that they need splitting.
-    rows = rows.repartitionByRange(tasks, *(order if (same["most"] or 0) > SAME_IDS else order[:1])).sortWithinPartitions(*order, "text")
+    tasks = partitions or max(parallelism(docs.sparkSession), rows.rdd.getNumPartitions())
+    most = rows.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0  # reads ids only
+    order = [F.col("doc_id"), F.substring("text", 1, LEAD), F.xxhash64("text"), F.col("text")] if most > 1 else [F.col("doc_id")]
+    rows = rows.repartitionByRange(tasks, *order[: 3 if most > SAME_IDS else 1]).sortWithinPartitions(*order)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, total = TaskContext.get().partitionId(), 0

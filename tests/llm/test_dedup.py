@@ -110,28 +110,6 @@ def test_families_of_near_copies(spark):
             assert got == brute_components(rows, rule)
 
 
-def test_long_lists_of_unlinked_neighbours(spark, monkeypatch):
-    """A template that many documents fill in, each in its own way, and a few links among them: long lists of many components."""
-    rng = random.Random(21)
-    template, rows = [f"t{k}" for k in range(103)], []
-    for i in range(1150):
-        words = list(template)
-        for at in (10, 40, 70, 95):  # 16 of 100 shingles: two documents share 84 of 116
-            words[at] = f"own{i}at{at}"
-        rows.append((i, " ".join(words)))
-    for k in range(40):
-        i = rng.randrange(1150)
-        rows.append((2000 + k, rows[i][1] + f" more{k}"))
-    entered, real = [], jaccard.F.xxhash64
-    monkeypatch.setattr(jaccard, "LONG_LIST", 200)
-    monkeypatch.setattr(jaccard.F, "xxhash64", lambda *c: entered.append(c) or real(*c))
-    rule = jaccard.Rule(4, 85, 100)
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_groups(frame(spark, rows), rule).collect())
-    assert got == brute_components(rows, rule)
-    assert len({c for _, _, c in got}) == 1150
-    assert ("list", "second") in entered
-
-
 def test_all_links(spark):
     rule = jaccard.Rule(3, 70, 100)
     rows = corpus(n=120, seed=5)
