@@ -23,7 +23,7 @@ need(a, b) shingles. The join is exact at every step:
 * Dense lists and chunked ones that still hold several components are compared across them, after the
   same filters. Linked heavy sets agree in two parts at least; so in a list of very many components
   only members that share a second such list are compared (those that share a shorter one are
-  compared there).
+  compared there). A pair that meets in many lists is named by the first of them.
 
 Equal sets are one node, named by a 64-bit digest; shingles are 64-bit hashes.
 """
@@ -37,6 +37,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +73,8 @@ FEW_GONE = 1_000_000
 NEAREST = 2
 #: Pairs that a task remembers, to name each once, and members whose distances rule out pairs of a list.
 SEEN, PIVOTS = 100_000, 4
+#: Of each node's lists so many, the least ones, go with it: a pair that meets in one of these is left to that list.
+EARLIER = 32
 #: Followers of one hub in one task, about, and entries that a task gathers before it passes them on.
 FOLLOWERS, FLUSH = 2000, 500_000
 _LAST = (1 << 63) - 1
@@ -630,6 +633,8 @@ def _near_enough(rule: Rule):
 def _across(rule: Rule, nearest: int | None):
     """Pairs of members of one list block in different components that pass the filters, from rows sorted by block.
 
+    Of the lists that two members share, the first one names them; rows have the list's members' earlier lists, or some of
+    them, so that few pairs are named by another list as well. The filters say the same of a pair in each of its lists.
     At most `nearest` of any two components (by coarse cells), or all of them.
 
     What can't link is ruled out for all pairs of a block at once: by component, by size, and by the
@@ -638,6 +643,14 @@ def _across(rule: Rule, nearest: int | None):
 
     seen: set[tuple[int, int]] = set()  # pairs meet in many lists; a task names each once
 
+    def elsewhere(lists: np.ndarray, count: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs meet in an earlier list: at least in the first of all that both are in, they don't."""
+        met = np.zeros(len(i), bool)
+        for c in range(int(count[i].max(initial=0))):
+            at = np.flatnonzero(~met & (count[i] > c))
+            met[at] = (lists[i[at], c][:, None] == lists[j[at]]).any(1)
+        return met
+
     def passing(node: np.ndarray, n: np.ndarray, raw: list[bytes], i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(i), 50_000):
             x, y = i[k : k + 50_000], j[k : k + 50_000]
@@ -659,6 +672,9 @@ def _across(rule: Rule, nearest: int | None):
         block, low, high, chunk, node, comp, n = (rows.column(k).to_numpy() for k in range(7))
         raw = rows.column(7).to_pylist()
         coarse = _coarse(raw)
+        count = pc.list_value_length(rows.column(8)).to_numpy()
+        lists = np.repeat(block[:, None], max(1, int(count.max(initial=0))), axis=1)  # filled up with the row's own list, which is no earlier one
+        lists[np.arange(lists.shape[1]) < count[:, None]] = pc.list_flatten(rows.column(8)).to_numpy()
         edge = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
         for a, g in zip(edge.tolist(), np.diff(np.append(edge, len(block))).tolist()):
             own = slice(a, a + g)
@@ -681,6 +697,8 @@ def _across(rule: Rule, nearest: int | None):
                     gap = np.abs(coarse[u] - coarse[v]).sum(1)
                     near = gap <= _most(rule, n[u], n[v])
                     u, v, gap = u[near], v[near], gap[near]
+                    first = ~elsewhere(lists, count, u, v)
+                    u, v, gap = u[first], v[first], gap[first]
                     if nearest is not None and len(u):
                         p, r = np.minimum(comp[u], comp[v]), np.maximum(comp[u], comp[v])
                         order = np.lexsort((gap, r, p))
@@ -788,10 +806,13 @@ def _between(rule: Rule, placed: DataFrame, figures: DataFrame, block: int, near
         twice = twice.select(F.xxhash64("list", "second").alias("list"), "node", "component")
         both = twice.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).filter("x <> y").select("list", "members")
         narrow = narrow.unionByName(twice.join(both, "list").select("list", "node", "component", "members"))
+    least = narrow.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("list")), 1, EARLIER).alias("least"))
+    mine = figures.select("node", "n", "cells").join(least, "node")
     chunks = F.ceil(F.col("members") / F.lit(block)).cast("int")
     spread = narrow.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    spread = spread.select("list", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "component").join(figures.select("node", "n", "cells"), "node")
-    spread = spread.select("list", "low", "high", "chunk", "node", "component", "n", "cells").repartition("list", "low", "high").sortWithinPartitions("list", "low", "high")
+    spread = spread.select("list", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "component").join(mine, "node")
+    earlier = F.filter("least", lambda x: x < F.col("list")).alias("earlier")
+    spread = spread.select("list", "low", "high", "chunk", "node", "component", "n", "cells", earlier).repartition("list", "low", "high").sortWithinPartitions("list", "low", "high")
     more = written(spread.mapInArrow(lean(_across(rule, nearest)), "hub long, node long, far long").distinct(), "across")
     discard(open_)
     return more

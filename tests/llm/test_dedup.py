@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from tessella.llm import exact, jaccard, substring
@@ -226,3 +227,25 @@ def test_repeats_of_one_word(spark):
     rows = [(i, "w " * (45 + i % 30)) for i in range(1500)] + [(9000, "w " * 40_000), (9001, "v " * 3000), (9002, "u " + "v " * 2000)]
     got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(frame(spark, rows)).collect())
     assert got == sorted(brute_repeats(rows, 50))
+
+
+def test_a_pair_of_many_lists_is_named_once():
+    """Each list in a task of its own: what one task remembers is of no use to another."""
+    rng = random.Random(4)
+    nodes = [(k + 1, 1000 + k, 40, bytes(rng.randrange(2) for _ in range(64))) for k in range(12)]
+    lists = [5, -3, 9, 70, 12]
+
+    def named(earlier, nearest=None):
+        out = []
+        for x in lists:
+            rows = [(x, 0, 0, 0, node, part, n, cells, sorted(y for y in earlier if y < x)) for node, part, n, cells in nodes]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=list("abcdefghi"))
+            for b in jaccard._across(jaccard.Rule(4, 30, 100), nearest)(iter([batch])):
+                out += zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+        return out
+
+    every = named(lists)
+    assert len(every) == len(set(every)) > 20
+    assert set(named([])) == set(every) == set(named([9, 12]))  # with a part of the earlier lists no pair is lost
+    assert len(named(lists, 1)) == len(set(named([], 1)))
