@@ -198,7 +198,9 @@ def file_annotations(counts: DataFrame) -> DataFrame:
 
 def annotation_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = written(line_counts(spark, sf_dir), "line-counts")  # texts are read once
-    return annotations.lookup(file_lines(counts), file_annotations(counts), ("doc_id",))
+    parts = annotations.tasks(spark, counts.agg(F.sum("n")).first()[0] or 0)
+    spread = counts.repartition(parts, "doc_id")  # a small table of many lines
+    return annotations.lookup(file_lines(spread), file_annotations(spread), ("doc_id",), parts)
 
 
 def annotation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

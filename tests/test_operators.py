@@ -310,3 +310,13 @@ def test_default_preview_keeps_80_lines(spark, tmp_path):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_lines_are_looked_up_in_tasks_of_some_size(spark, monkeypatch):
+    """Small rows, which would all fit in one partition by their bytes."""
+    monkeypatch.setattr(annotations, "TASK_LINES", 100, raising=False)
+    lines = spark.createDataFrame([(d, n) for d in range(10) for n in range(1, 201)], "doc_id int, line int")
+    notes = spark.createDataFrame([(d, 0, 5, 150, "n") for d in range(10)], "doc_id int, idx int, line_start int, line_end int, annotation string")
+    found = annotations.lookup(lines, notes, ("doc_id",))
+    assert found.count() == 2000 and found.filter("annotation = 'n'").count() == 10 * 146
+    assert found.rdd.getNumPartitions() >= 20
