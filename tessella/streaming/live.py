@@ -2,7 +2,8 @@
 
 * assemble: a request's chunks go to a list that a batch only appends to; it is read once, at the end.
 * hits: of each key, until when its entry is live; forgotten when the watermark has passed that.
-* quota: of each client, the countable requests of each day; days that the watermark has passed are forgotten.
+* quota: of each client, the countable requests of its days, read and written as one value; days that the watermark has
+  passed are forgotten when the client comes again, at the latest when it has passed the client's last day.
 
 Within a batch rows of a key are taken by time and id, batches as they come. Rows behind the watermark that earlier
 batches have set are left out. State is kept in RocksDB, which the functions' queries need: see rocksdb().
@@ -94,7 +95,10 @@ def assemble(chunks: DataFrame, remembered: int | None = REMEMBERED) -> DataFram
 
 def _ordered(rows: Iterator[pd.DataFrame], watermark: int) -> pd.DataFrame:
     """A key's rows of a batch in order, without those behind the watermark (in milliseconds)."""
-    pdf = pd.concat(list(rows))
+    pdfs = list(rows)
+    pdf = pdfs[0] if len(pdfs) == 1 else pd.concat(pdfs)
+    if len(pdf) == 1 and pdf["at"].iat[0] >= watermark * 1000:
+        return pdf
     pdf = pdf[pdf["at"] >= watermark * 1000]
     return pdf.sort_values(["at", "tie"], kind="stable")
 
@@ -153,27 +157,39 @@ class _Quota(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.days = handle.getMapState("days", "day long", "requests long")
+        self.days = handle.getValueState("days", "day array<long>, requests array<long>")
+
+    def _known(self) -> dict[int, int]:
+        return dict(zip(*self.days.get())) if self.days.exists() else {}
+
+    def _keep(self, known: dict[int, int], before: int) -> None:
+        """Keeps the days that end behind a time (in milliseconds)."""
+        left = {d: n for d, n in known.items() if (d + 1) * DAY_MS > before}
+        self.days.update((list(left), list(left.values()))) if left else self.days.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows, timerValues.getCurrentWatermarkInMs())
+        watermark = timerValues.getCurrentWatermarkInMs()
+        pdf = _ordered(rows, watermark)
         day, countable = pdf["day"].to_numpy(np.int64), ~pdf["free"].to_numpy(bool)
-        before = np.zeros(len(pdf), np.int64)
-        for d in np.unique(day).tolist():
-            mine = np.flatnonzero(day == d)
-            known = self.days.containsKey((d,))
-            start = self.days.getValue((d,))[0] if known else 0
-            counted = np.cumsum(countable[mine])
-            before[mine] = start + counted - countable[mine]
-            if counted[-1]:
-                self.days.updateValue((d,), (start + int(counted[-1]),))
-                if not known:
-                    self.handle.registerTimer((d + 1) * DAY_MS)
+        known = self._known()
+        first = np.flatnonzero(np.diff(day, prepend=day[:1] - 1))  # days come in order, as times do
+        size = np.diff(np.append(first, len(day)))
+        counted = np.cumsum(countable) - countable
+        start = np.array([known.get(d, 0) for d in day[first].tolist()], np.int64)
+        before = counted + np.repeat(start - counted[first], size)
+        last = max(known, default=None)
+        if countable.any():
+            for d, n in zip(day[first].tolist(), np.add.reduceat(countable, first, dtype=np.int64).tolist()):
+                if n:
+                    known[d] = known.get(d, 0) + n
+            self._keep(known, watermark)
+            if max(known) != last:
+                self.handle.registerTimer((max(known) + 1) * DAY_MS)
         left = np.maximum(self.limit - before, 0)
         yield pd.DataFrame({"tie": pdf["tie"], "allowed": ~countable | (left > 0), "remaining": left})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.days.removeKey((expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - 1,))
+        self._keep(self._known(), expiredTimerInfo.getExpiryTimeInMs())
         return iter(())
 
     def close(self) -> None:

@@ -84,3 +84,12 @@ def test_quota_equals_the_window(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
     kept = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
     assert kept[-1] <= 8 * 4  # of eight clients, the latest days and their timers
+
+
+def test_quota_keeps_a_row_for_a_client(spark):
+    """However many days a batch has, a client's counters are one value and one timer."""
+    rows = [(40 * k + i, START + dt.timedelta(days=i % 20, seconds=i), f"k{k}", False) for k in range(3) for i in range(40)]
+    rows = sorted(rows, key=lambda r: (r[1], r[0]))
+    got, progress = stream(spark, [rows], SCHEMA, lambda s: live.quota(s, client="key", limit=1), True)
+    assert sorted(r.remaining for r in got) == [0] * 60 + [1] * 60
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]) <= 3 * 3
