@@ -1,7 +1,8 @@
 """The `source_tree` data source: the regular files of a directory tree, read on the executors.
 
 Folders are listed on the driver, from the top, until there are PARTS partitions or only single folders
-are left; a folder with many files is dealt over several partitions, each with the names that it reads. Skipped
+are left; those that are still to be entered then are dealt over PARTS partitions, and over more where these would have
+over NAMES folders. A folder with many files is dealt over several partitions, each with the names that it reads. Skipped
 folders are not entered; links, skipped extensions, too large and empty files are not opened; files with a NUL among
 their first bytes, and unreadable files and folders, are left out; a root that is missing has no files. Hidden and
 underscored names are ordinary names, unlike in Spark's file sources. The tree must be on a file system that all
@@ -28,15 +29,15 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tessella.functions import values as v
 
 
-#: Partitions that the driver splits a tree into, about, and names of one folder that a partition reads.
+#: Partitions that the driver splits a tree into, about, and names of one folder, or folders, that a partition reads.
 PARTS, NAMES = 256, 10_000
 
 
 class _Entry(InputPartition):
-    """A folder with all that is below it, or (names) some of the files that are directly in it."""
+    """Folders with all that is below them, or (names) some of the files that are directly in the one folder."""
 
-    def __init__(self, folder: str, names: list[str] | None = None):
-        self.folder, self.names = folder, names
+    def __init__(self, folders: list[str], names: list[str] | None = None):
+        self.folders, self.names = folders, names
 
 
 def _skipped(name: str) -> bool:
@@ -94,16 +95,17 @@ class _Reader(DataSourceReader):
         while self.most is None and waiting and len(waiting) + len(out) < PARTS:
             folder = waiting.popleft()
             folders, names = self._listed(folder)
-            out += [_Entry(folder, names[i : i + NAMES]) for i in range(0, len(names), NAMES)]
+            out += [_Entry([folder], names[i : i + NAMES]) for i in range(0, len(names), NAMES)]
             waiting += folders
-        return [*out, *map(_Entry, waiting)] or [_Entry(self.root, [])]
+        left, parts = list(waiting), max(PARTS, -(-len(waiting) // NAMES))
+        return [*out, *(_Entry(left[i::parts]) for i in range(min(parts, len(left))))] or [_Entry([self.root], [])]
 
     def read(self, partition: _Entry) -> Iterator[tuple[str, bytearray, int]]:
         found = self._walk(partition)
         yield from found if self.most is None else islice(found, self.most)
 
     def _walk(self, partition: _Entry) -> Iterator[tuple[str, bytearray, int]]:
-        waiting = [partition.folder]
+        waiting = partition.folders[::-1]
         while waiting:
             folder = waiting.pop()
             folders, names = self._listed(folder) if partition.names is None else ([], partition.names)

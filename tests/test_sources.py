@@ -115,3 +115,13 @@ def test_what_is_read_through_stays_in_memory(spark):
     assert sorted((r.id, r.content) for r in got.collect()) == [("a", "A"), ("b", None), ("c", None), ("d", None)]
     live, of = store.purge_projects(stored, files, F.lit("2024-01-12").cast("timestamp"))
     assert [r.id for r in live.collect()] == ["b"] and of.count() == 0
+
+
+def test_many_folders_are_few_partitions(tmp_path, monkeypatch):
+    make(tmp_path, {f"s{i % 3}/{i}/README.md": b"x" for i in range(400)} | {f"s{i % 3}/{i}.py": b"y" for i in range(20)})
+    monkeypatch.setattr(tree, "PARTS", 8)
+    reader = tree._Reader({"path": str(tmp_path)})
+    assert len(reader.partitions()) <= 8 + 3
+    assert len({path for path, _ in opened(reader)[1]}) == 420
+    monkeypatch.setattr(tree, "NAMES", 20)
+    assert max(len(p.folders) for p in reader.partitions()) <= 20 and len(opened(reader)[1]) == 420
