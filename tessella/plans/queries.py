@@ -339,10 +339,12 @@ def sse_stream_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = c.groupBy("request_id").agg((F.max("seq") + 1).alias("seq")).withColumn("chunk", F.lit("data: [DONE]\n\ndata: {\"chunk\":\"late\"}\n\n"))
     data = F.encode("response", "UTF-8")
     piece = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("response") - 1) / 13).cast("int")), lambda i: F.struct(i.cast("long").alias("seq"), F.substring(data, i * 13 + 1, F.lit(13)).alias("data")))
-    texts = sse.assemble(whole.unionByName(ends)).select(F.col("request_id").cast("string").alias("request_id"), F.explode(piece).alias("p"), F.octet_length("response").alias("n"))
-    path, files = scratch_dir(spark, "pieces"), 8
+    path, files = scratch_dir(spark, "pieces"), max(8, spark.sparkContext.defaultParallelism)
+    responses = written(sse.assemble(whole.unionByName(ends)), "responses")  # whole ones are dealt out, and cut where they arrive
+    texts = responses.select(F.col("request_id").cast("string").alias("request_id"), "response").repartition(files, "request_id")
+    texts = texts.select("request_id", F.explode(piece).alias("p"), F.octet_length("response").alias("n"))
     for half in (F.col("p.seq") * 26 < F.col("n"), F.col("p.seq") * 26 >= F.col("n")):
-        texts.filter(half).select("request_id", "p.seq", "p.data").repartition(files, "request_id").write.mode("append").parquet(path)
+        texts.filter(half).select("request_id", "p.seq", "p.data").write.mode("append").parquet(path)
     stream = spark.readStream.schema("request_id string, seq long, data binary").option("maxFilesPerTrigger", files).parquet(path)
     out = scratch_dir(spark, "events")
     query = sse.decode_stream(stream, remembered=None).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_dir(spark, "progress")).trigger(availableNow=True).start()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,14 +102,29 @@ def _event(line: bytes) -> tuple[str, str] | None:
     return None
 
 
+def _in_order(batches: Iterator[pd.DataFrame]) -> list[bytes]:
+    """The pieces of a request by seq, those of one seq by what they hold."""
+    seqs, data = [], []
+    for pdf in batches:
+        there = pdf["data"].notna().to_numpy()
+        seqs.append(pdf["seq"].to_numpy()[there].astype(np.int64))
+        data += pdf["data"].to_numpy()[there].tolist()
+    seq = np.concatenate(seqs) if seqs else np.zeros(0, np.int64)
+    if (seq[1:] > seq[:-1]).all():
+        return data
+    order = np.argsort(seq, kind="stable")
+    if (seq[order[1:]] > seq[order[:-1]]).all():
+        return [data[i] for i in order.tolist()]
+    return [d for _, d in sorted(zip(seq.tolist(), data))]
+
+
 def _carry(lasting: int | None):
     def decode_pieces(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         rest, count, ended = state.get if state.exists else (b"", 0, False)
-        pieces = sorted((int(s), bytes(d)) for pdf in batches for s, d in zip(pdf["seq"], pdf["data"]) if d is not None)
-        *lines, rest = (bytes(rest) + b"".join(d for _, d in pieces)).split(b"\n")
+        *lines, rest = (bytes(rest) + b"".join(_in_order(batches))).split(b"\n")
         rows = []
         for line in lines:
             if ended or not line.startswith(PREFIX.encode()):

@@ -54,3 +54,16 @@ def test_scratch_tables_go_at_the_end(tmp_path, how):
     run = subprocess.run([sys.executable, "-c", RUN, str(tmp_path), how], capture_output=True, text=True, cwd=root, timeout=120, env=os.environ | {"PYTHONPATH": root})
     assert run.returncode == 0, run.stderr[-1500:]
     assert not [n for n in os.listdir(tmp_path) if n.startswith("tessella-")]
+
+
+def test_pieces_in_order():
+    """Of several batches, out of order, with nulls and with pieces of one seq."""
+    import pandas as pd
+
+    from tessella.streaming import sse
+
+    batch = lambda *rows: pd.DataFrame({"seq": [s for s, _ in rows], "data": [d for _, d in rows]})
+    assert sse._in_order(iter([batch((0, b"a"), (1, b"b")), batch((2, b"c"))])) == [b"a", b"b", b"c"]
+    assert sse._in_order(iter([batch((5, b"f"), (1, None)), batch((3, b"d"), (4, b""))])) == [b"d", b"", b"f"]
+    assert sse._in_order(iter([batch((2, b"z"), (1, b"b"), (2, b"a"))])) == [b"b", b"a", b"z"]
+    assert sse._in_order(iter([])) == [] == sse._in_order(iter([batch((1, None))]))
